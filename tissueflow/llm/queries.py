@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +36,34 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "times", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op5_secrets, op9_licenses, op10_mixing)}
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import without_repeats
+
+    return without_repeats(_documents(spark, sf_dir)).drop("kept")
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir), size=3, percent=85)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out
+    from .toxicity import THRESHOLD, toxicity
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = toxicity(_documents(spark, sf_dir), labels.filter(~held_out(F.col("doc_id"), 3, 1)))
+    return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, predicted, training_text
+
+    docs = _documents(spark, sf_dir)
+    texts = training_text(docs.filter(~held_out(F.col("doc_id"), 4, 2)))
+    return predicted(docs.select("doc_id", "text"), texts).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_substring_dedup, op3_near_duplicates, op5_secrets, op6_toxicity, op7_language_id, op9_licenses, op10_mixing)}
 ORACLE: dict[str, str] = {}
