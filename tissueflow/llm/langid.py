@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import column_bytes, passes
 
@@ -173,7 +174,7 @@ def predicted(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     # only text goes to Python beside a row's own columns, which come back unchanged
     names = [f.name for f in docs.schema if f.name not in ("lang_pred", "score", "phrase_rate")]
     d = docs.select(*names)
-    schema = d.schema.add("lang_pred", "string").add("score", "double").add("phrase_rate", "double")
+    schema = StructType([*d.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("phrase_rate", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _parser(texts)

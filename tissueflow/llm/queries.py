@@ -18,6 +18,12 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import leaks
+
+    return leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digest, secrets
 
@@ -65,5 +71,5 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted(docs.select("doc_id", "text"), texts).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_substring_dedup, op3_near_duplicates, op5_secrets, op6_toxicity, op7_language_id, op9_licenses, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_substring_dedup, op3_near_duplicates, op4_decontamination, op5_secrets, op6_toxicity, op7_language_id, op9_licenses, op10_mixing)}
 ORACLE: dict[str, str] = {}

@@ -156,7 +156,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                     z = np.add.reduceat(z, begin)
                     p = np.where(z > 0, 1 / (1 + np.exp(-np.clip(z + bias, -30, 30))), 0.0)  # no evidence at all is no score
                     doc = w.doc_of(begin)
-                    own = -np.expm1(np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=b - a))
+                    own = 0.0 - np.expm1(np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=b - a))
                     hits = np.flatnonzero(p >= OFFENDING)
                     if len(hits):
                         chars = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
