@@ -75,8 +75,9 @@ class Encoder:
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            for p in set(parts) - known.keys():
-                known[p] = self._part(p)
+            for p in parts:
+                if p not in known:
+                    known[p] = self._part(p)
             return b"".join(map(known.__getitem__, parts))
 
 
