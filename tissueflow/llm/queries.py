@@ -30,6 +30,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secrets(_documents(spark, sf_dir)))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import licenses
 
@@ -71,5 +77,5 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted(docs.select("doc_id", "text"), texts).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_substring_dedup, op3_near_duplicates, op4_decontamination, op5_secrets, op6_toxicity, op7_language_id, op9_licenses, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_substring_dedup, op3_near_duplicates, op4_decontamination, op5_secrets, op6_toxicity, op7_language_id, op8_nearest_neighbours, op9_licenses, op10_mixing)}
 ORACLE: dict[str, str] = {}
