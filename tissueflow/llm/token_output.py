@@ -26,7 +26,7 @@ from .wavelet import WaveletMatrix
 
 BLOCK_TOKENS = 1 << 19
 #: Pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 END_ID = 1
 
 BLOCKS = "shard int, block int, first long, n_tokens long, bits int, planes array<binary>, zeros array<long>, ranks array<binary>, doc_ids array<long>, doc_tokens array<long>"
@@ -57,11 +57,12 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.bits = max(1, (self.whole.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.model, self.letters, self.known = self.whole.model, _byte_letters(), {}
+        self.four = [k.to_bytes(4, "little") for k in range(1 << self.bits)]
         self.added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
 
     def _part(self, part: str) -> bytes:
         letters = part.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
+        return b"".join([self.four[t.id] for t in self.model.tokenize(letters)])
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

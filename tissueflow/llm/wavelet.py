@@ -33,22 +33,25 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, zeros = [], []
         for level in range(bits - 1, -1, -1):
-            one = ((now >> level) & 1).astype(bool)
+            one = (now & now.dtype.type(1 << level)) != 0
             planes.append(np.packbits(one, bitorder="little").tobytes())
-            low = now[~one]
+            low = np.compress(~one, now)
             zeros.append(len(low))
-            now = np.concatenate([low, now[one]])
+            now = np.concatenate([low, np.compress(one, now)])
         return cls(len(ids), bits, planes, zeros)
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane up."""
         now = np.zeros(self.n, dtype=np.uint16 if self.bits <= 16 else np.uint32)
+        place = np.arange(self.n, dtype=np.int32)
         for k in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
-            up = np.empty_like(now)
-            up[~one] = now[: self.zeros[k]]
-            up[one] = now[self.zeros[k] :] | now.dtype.type(1 << (self.bits - 1 - k))
-            now = up
+            one = np.unpackbits(self.planes[k], count=self.n, bitorder="little")
+            ones = np.cumsum(one, dtype=np.int32)
+            zero_at = place - ones
+            # where each id went in the stable partition, without a branch for each bit
+            went = zero_at + one * (ones + np.int32(self.zeros[k] - 1) - zero_at)
+            now = now.take(went)
+            now |= one.astype(now.dtype) << now.dtype.type(self.bits - 1 - k)
         return now.astype(np.uint32)
 
     def _ones(self, k: int, i: int) -> int:
