@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 # The class labels of the segmentation.
 CLASS_LABELS = {"Connective": 0, "Dead": 1, "Epithelial": 2, "Inflammatory": 3, "Neoplastic": 4, "Nolabel": -1}
@@ -127,7 +128,7 @@ def nb_log_prob_values(x: np.ndarray, mu: np.ndarray, theta: np.ndarray, eps: fl
     return theta * (np.log(theta + eps) - both) + x * (np.log(mu + eps) - both) + _lgamma(x + theta) - _lgamma(theta) - _lgamma(x + 1)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def nb_log_prob(x: pd.Series, mu: pd.Series, theta: pd.Series) -> pd.Series:
     """Log-probability of counts under a negative binomial (Spark has no ln gamma)."""
     return pd.Series(nb_log_prob_values(*(s.to_numpy(dtype=float) for s in (x, mu, theta))))
@@ -145,6 +146,6 @@ def zinb_log_prob_values(x: np.ndarray, mu: np.ndarray, theta: np.ndarray, pi: n
     return np.where(x < eps, zero, positive)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def zinb_log_prob(x: pd.Series, mu: pd.Series, theta: pd.Series, pi: pd.Series) -> pd.Series:
     return pd.Series(zinb_log_prob_values(*(s.to_numpy(dtype=float) for s in (x, mu, theta, pi))))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tissueflow.functions.scalars import nb_log_prob
 
 
-def align(truth: DataFrame, pred: DataFrame) -> DataFrame:
-    """spot_id, gene, y, p for the genes that both have; a spot that one lacks has zero there."""
+def align(truth: DataFrame, pred: DataFrame, obs: DataFrame) -> DataFrame:
+    """spot_id, gene, y, p for all spots and the genes that both tables have; absent rows are zeros and count."""
     shared = truth.select("gene").distinct().join(pred.select("gene").distinct(), "gene")
-    t = truth.join(shared, "gene", "left_semi").select("spot_id", "gene", F.col("value").alias("y"))
-    p = pred.join(shared, "gene", "left_semi").select("spot_id", "gene", F.col("value").alias("p"))
-    return t.join(p, ["spot_id", "gene"], "full").na.fill(0.0, ["y", "p"])
+    every = obs.select("spot_id").distinct().crossJoin(shared)
+    t, p = (d.select("spot_id", "gene", F.col("value").alias(c)) for d, c in ((truth, "y"), (pred, "p")))
+    return every.join(t, ["spot_id", "gene"], "left").join(p, ["spot_id", "gene"], "left").na.fill(0.0, ["y", "p"])
 
 
 def gene_overlap(truth: DataFrame, pred: DataFrame) -> DataFrame:

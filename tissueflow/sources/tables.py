@@ -76,7 +76,7 @@ def load_runs(spark: SparkSession, path: str) -> DataFrame:
 
     A key is what follows its last dot. A parameter becomes a number if every value of it parses.
     """
-    run = lambda: F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    run = lambda: F.regexp_extract("_metadata.file_path", r"([^/]+)/(?:metrics\.json|overrides\.txt)", 1)
     metrics = spark.read.json(f"{path}/*/metrics.json").withColumn("run", run())
     lines = spark.read.text(f"{path}/*/overrides.txt").withColumn("run", run())
     pair = F.split(F.trim(F.regexp_replace("value", "^- *", "")), "=", 2)
