@@ -98,17 +98,17 @@ register("u5_common_radius", lambda t: t.slide_meta.withColumn("radius", F.lit(s
 register("f12_panel_report", lambda t: genes.panel_report(t.expression, t.gene_list), "expression gene_list", "SELECT DISTINCT gene FROM gene_list SEMI JOIN expression USING (gene)")
 register("f12_restrict_panel", lambda t: genes.restrict_panel(t.expression, t.gene_list), "expression gene_list", "SELECT * FROM expression WHERE gene IN (SELECT gene FROM gene_list)")
 register("u1_panel_union", lambda t: genes.panel_union(t.transcripts.withColumnRenamed("feature_name", "gene")), "transcripts", "SELECT DISTINCT feature_name AS gene FROM transcripts WHERE NOT regexp_matches(feature_name, '^(BLANK_|NegControlCodeword_|NegControlProbe_|antisense_)')")
-_some = lambda t: t.expression.filter("count > 40 or length(gene) = 3")
+_some = lambda t: t.stored("expression").filter("count > 40 or length(gene) = 3")
 register("u2_common_genes", lambda t: genes.common_genes(_some(t)), "expression", "SELECT gene FROM expression WHERE count > 40 OR length(gene) = 3 GROUP BY 1 HAVING count(DISTINCT sample_id) = 3")
 register("u3_stack", lambda t: genes.stack({s: _some(t).filter(F.col("sample_id") == s) for s in ("SA", "SN", "SR")}), "expression", """, s AS (SELECT * FROM expression WHERE count > 40 OR length(gene) = 3)
     SELECT *, sample_id AS batch, concat(spot_id, '_', sample_id) AS row_id FROM s WHERE gene IN (SELECT gene FROM s GROUP BY 1 HAVING count(DISTINCT sample_id) = 3)""")
 register("t3_gene_order", lambda t: t.signature.select("gene").distinct().orderBy("gene"), "signature", "SELECT DISTINCT gene FROM signature")
 register("w9_unique_names", lambda t: genes.unique_names(t.raw("part").select(F.concat_ws("-", "p_brand", F.when(F.col("p_size") % 9 == 0, F.lit("2"))).alias("gene"), F.col("p_partkey").alias("pos"))), "", """WITH d AS (SELECT CASE WHEN p_size % 9 = 0 THEN concat(p_brand, '-2') ELSE p_brand END AS gene, p_partkey AS pos FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY pos) - 1 AS k FROM d)
     SELECT gene, pos, CASE WHEN k = 0 THEN gene WHEN k >= 2 AND concat(gene, '-2') IN (SELECT gene FROM d) THEN concat(gene, '-', k + 1) ELSE concat(gene, '-', k) END AS "unique" FROM k""")
-register("a17_highly_variable", lambda t: genes.highly_variable(t.expression.filter("sample_id = 'SA'"), t.spots.filter("sample_id = 'SA'"), 50))
-register("a18_common_highly_variable", lambda t: genes.common_highly_variable(t.expression, t.spots, 50))
+register("a17_highly_variable", lambda t: genes.highly_variable(t.stored("expression").filter("sample_id = 'SA'"), t.spots.filter("sample_id = 'SA'"), 50))
+register("a18_common_highly_variable", lambda t: genes.common_highly_variable(t.stored("expression"), t.spots, 50))
 register("a21_common_highly_expressed", lambda t: genes.common_highly_expressed(t.expression, t.spots, 25), "expression spots", "SELECT gene, round(sum(count / 500.0::DOUBLE) / 3, 6) AS score FROM expression GROUP BY 1 ORDER BY sum(count) DESC, gene LIMIT 25")
-_value = lambda t: qc.log1p(qc.normalise_median(t.ref_expression))
+_value = lambda t: qc.log1p(qc.normalise_median(t.stored("ref_expression")))
 _TYPES = """, s AS (SELECT cell_id, sum(count) AS total FROM ref_expression GROUP BY 1), v AS (SELECT cell_id, gene, ln(1 + count * (SELECT median(total) FROM s) / total) AS value FROM ref_expression JOIN s USING (cell_id)),
     dense AS (SELECT c.cell_id, c.cell_type, g.gene, coalesce(value, 0) AS value FROM ref_cells c CROSS JOIN (SELECT DISTINCT gene FROM ref_expression) g LEFT JOIN v ON v.cell_id = c.cell_id AND v.gene = g.gene),
     every AS (SELECT t.cell_type AS own, d.* FROM dense d CROSS JOIN (SELECT DISTINCT cell_type FROM ref_cells) t),
@@ -122,7 +122,7 @@ register("w4_merge_groups", lambda t: genes.merge_groups(t.ref_cells, "cell_type
 register("j9_scores_keep_genes", lambda t: genes.top_markers(_scores(t), 3).select("cell_type", "gene", "rank"), "ref_cells ref_expression", f"{_TOP} SELECT cell_type, gene, rank FROM top WHERE rank <= 3")
 register("j15_marker_mask", lambda t: genes.marker_mask(t.expression.select("gene"), t.signature), "expression signature", """, c AS (SELECT unnest(['Connective', 'Dead', 'Epithelial', 'Inflammatory', 'Neoplastic', 'Nolabel']) AS celltype), g AS (SELECT DISTINCT gene FROM expression)
     SELECT celltype, gene, CASE WHEN gene NOT IN (SELECT gene FROM signature) THEN 1 ELSE CAST(EXISTS (SELECT 1 FROM signature s WHERE s.gene = g.gene AND s.celltype = c.celltype) AS BIGINT) END AS mask FROM c CROSS JOIN g""")
-register("a23_marker_set_score", lambda t: genes.marker_set_score(t.expression, t.spots, t.signature.withColumnRenamed("celltype", "set"), "count"), "expression spots signature", """, m AS (SELECT DISTINCT celltype AS "set", gene FROM signature WHERE gene IN (SELECT gene FROM expression))
+register("a23_marker_set_score", lambda t: genes.marker_set_score(t.stored("expression"), t.spots, t.signature.withColumnRenamed("celltype", "set"), "count"), "expression spots signature", """, m AS (SELECT DISTINCT celltype AS "set", gene FROM signature WHERE gene IN (SELECT gene FROM expression))
     SELECT s.sample_id, s.spot_id, m."set", round(sum(coalesce(count, 0)) / count(*), 6) AS score FROM spots s CROSS JOIN m LEFT JOIN expression e ON e.spot_id = s.spot_id AND e.gene = m.gene GROUP BY ALL""")
 
 # metrics
@@ -135,13 +135,13 @@ def _scored(by: str) -> str:
     metrics AS (SELECT {by}, CASE WHEN min(y) < max(y) AND min(p) < max(p) THEN corr(y, p) END AS pcc, CASE WHEN min(y) < max(y) AND min(p) < max(p) THEN corr(ry, rp) END AS scc, avg((y - p) * (y - p)) AS mse FROM r GROUP BY 1)"""
 
 
-_aligned = lambda t: metrics.align(t.truth, t.pred, t.spots)
+_aligned = lambda t: metrics.align(t.stored("truth"), t.stored("pred"), t.spots)
 _metrics = lambda t: metrics.regression_metrics(_aligned(t))
 _M = "truth pred spots"
 _R = "round(pcc, 6) AS pcc, round(scc, 6) AS scc, round(mse, 6) AS mse"
 register("s8_save_results", _results, _M, f"{_scored('gene')} SELECT 'a=1;b=HVG:10' AS exp_tag, test_slide, 'bag' AS infer_mode, count(*) AS n FROM metrics CROSS JOIN (SELECT unnest(['SA', 'SN']) AS test_slide) GROUP BY 1, 2, 3")
 register("j6_align", _aligned, _M, f"{_ALIGN} SELECT spot_id, gene, round(y, 6) AS y, round(p, 6) AS p FROM aligned")
-register("j6_gene_overlap", lambda t: metrics.gene_overlap(t.truth, t.pred), "truth pred", "SELECT count(DISTINCT gene) AS n_measured, (SELECT count(DISTINCT gene) FROM pred) AS n_predicted, (SELECT count(*) FROM (SELECT gene FROM truth INTERSECT SELECT gene FROM pred)) AS n_both FROM truth")
+register("j6_gene_overlap", lambda t: metrics.gene_overlap(t.stored("truth"), t.stored("pred")), "truth pred", "SELECT count(DISTINCT gene) AS n_measured, (SELECT count(DISTINCT gene) FROM pred) AS n_predicted, (SELECT count(*) FROM (SELECT gene FROM truth INTERSECT SELECT gene FROM pred)) AS n_both FROM truth")
 register("w1_average_ranks", lambda t: metrics.average_ranks(t.expression.select("spot_id", "gene", "count"), "count", "rank"), "expression", "SELECT spot_id, gene, count, rank() OVER (PARTITION BY gene ORDER BY count) + (count(*) OVER (PARTITION BY gene, count) - 1) / 2.0::DOUBLE AS rank FROM expression")
 register("a6_gene_metrics", _metrics, _M, f"{_scored('gene')} SELECT gene, {_R} FROM metrics")
 register("a6_mean_metrics", lambda t: metrics.mean_metrics(_metrics(t)), _M, f"{_scored('gene')} SELECT round(avg(pcc), 6) AS pcc, round(avg(scc), 6) AS scc, round(avg(mse), 6) AS mse FROM metrics")
@@ -167,7 +167,7 @@ register("j10_long_metrics", lambda t: metrics.long_metrics(_tagged(t)), _M, f"{
 register("a27_metric_quartiles", lambda t: metrics.metric_quartiles(t.raw("part").select("p_retailprice", "p_brand", "p_size"), ["p_brand", "p_size"], "p_retailprice"), "", """SELECT param, setting, count(*) AS n, round(min(m), 6) AS least, round(quantile_cont(m, 0.25), 6) AS q1, round(quantile_cont(m, 0.5), 6) AS median, round(quantile_cont(m, 0.75), 6) AS q3, round(max(m), 6) AS most
     FROM (SELECT 'p_brand' AS param, p_brand AS setting, p_retailprice AS m FROM part UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR), p_retailprice FROM part) GROUP BY 1, 2""")
 register("t1_top_cells", lambda t: metrics.top_cells(t.ref_expression, "G20", 15), "ref_expression", "SELECT * FROM ref_expression WHERE gene = 'G20' ORDER BY count DESC, cell_id LIMIT 15")
-register("t2_top_genes", lambda t: metrics.top_genes(_metrics(t), t.truth, t.pred), _M, f"{_scored('gene')} SELECT gene, {_R} FROM metrics ORDER BY scc DESC NULLS LAST, gene LIMIT 10")
+register("t2_top_genes", lambda t: metrics.top_genes(_metrics(t), t.stored("truth"), t.stored("pred")), _M, f"{_scored('gene')} SELECT gene, {_R} FROM metrics ORDER BY round(scc, 9) DESC NULLS LAST, gene LIMIT 10")
 
 # scalar functions
 _tag = lambda: F.concat(F.lit("model=mil;lr="), F.col("p_size").cast("string"), F.lit(";genes=HVG:"), F.col("p_partkey").cast("string"))

@@ -7,6 +7,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tissueflow.sources.store import written
+
 _LINES = "(SELECT *, least(l_partkey % 200, (l_partkey * 7 + l_suppkey * 13 + l_linenumber * 31) % 200) AS g FROM {lineitem})"
 _GENE = "concat(CASE WHEN g < 5 THEN 'MT-G' ELSE 'G' END, CAST(g AS STRING))"
 _THREE = "(SELECT 'SA' AS sample_id UNION ALL SELECT 'SN' UNION ALL SELECT 'SR')"
@@ -65,7 +67,7 @@ class Tables:
     """The driver's tables and those made from them, as DataFrames by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._stored = spark, sf_dir, {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -76,6 +78,12 @@ class Tables:
         text = _text(name, True)
         return self.spark.sql(text, **{n: self.raw(n) for n in set(re.findall(r"\{(\w+)\}", text))})
 
+    def stored(self, name: str) -> DataFrame:
+        """The table written once, for jobs that pass over it several times (their real inputs are stored tables)."""
+        if name not in self._stored:
+            self._stored[name] = written(getattr(self, name), name)
+        return self._stored[name]
+
     @cached_property
     def genes20(self) -> list[str]:
         return [f"G{k}" for k in range(13, 33)]

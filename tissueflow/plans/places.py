@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tissueflow.operators import genes, qc, sampling, spatial
+from tissueflow.operators import genes, sampling, spatial
 from tissueflow.operators.pseudobulk import type_means
 from tissueflow.plans.registry import register
 
@@ -20,7 +20,7 @@ register("j2_cells_of_spot", lambda t: _assigned(t, 40).filter("spot_id = 's77_S
 register("a26_coverage", lambda t: spatial.coverage(_assigned(t), t.spots), "cells spots", f""", {_hit(60)} SELECT a.sample_id, count(*) AS n_cells, count(spot_id) AS n_matched, count(DISTINCT spot_id) AS n_spots_with_cells, 500 AS n_spots, round(100.0::DOUBLE * count(spot_id) / count(*), 6) AS percent FROM assigned a GROUP BY 1""")
 register("a2_spot_cell_lists", lambda t: spatial.spot_cell_lists(_assigned(t)).withColumn("cells", F.array_join(F.col("cells").cast("array<string>"), ",")), "cells spots", f", {_hit(60)} SELECT sample_id, spot_id, string_agg(CAST(cell_idx AS VARCHAR), ',' ORDER BY cell_idx) AS cells FROM assigned WHERE spot_id IS NOT NULL GROUP BY 1, 2")
 register("a3_cells_per_spot", lambda t: spatial.cells_per_spot(t.spots, _assigned(t, 40)).select("sample_id", "spot_id", F.col("n_cells").cast("double").alias("n_cells")), "cells spots", f", {_hit(40)} SELECT s.sample_id, s.spot_id, CAST(nullif(count(a.cell_idx), 0) AS DOUBLE) AS n_cells FROM spots s LEFT JOIN assigned a ON a.spot_id = s.spot_id GROUP BY ALL")
-register("j3_bags", lambda t: spatial.bags(qc.VISIUM.prepare(t.expression, t.spots).filter("spot_pos % 9 <> 0"), _assigned(t, 40)).withColumn("cells", F.array_join(F.col("cells").cast("array<string>"), ",")), "cells spots expression", f", {_hit(40)} SELECT sample_id, spot_id, string_agg(CAST(cell_idx AS VARCHAR), ',' ORDER BY cell_idx) AS cells FROM assigned a WHERE EXISTS (SELECT 1 FROM expression e WHERE e.spot_id = a.spot_id AND e.spot_pos % 9 <> 0) GROUP BY 1, 2")
+register("j3_bags", lambda t: spatial.bags(t.expression.filter("spot_pos % 9 <> 0"), _assigned(t, 40)).withColumn("cells", F.array_join(F.col("cells").cast("array<string>"), ",")), "cells spots expression", f", {_hit(40)} SELECT sample_id, spot_id, string_agg(CAST(cell_idx AS VARCHAR), ',' ORDER BY cell_idx) AS cells FROM assigned a WHERE EXISTS (SELECT 1 FROM expression e WHERE e.spot_id = a.spot_id AND e.spot_pos % 9 <> 0) GROUP BY 1, 2")
 register("j3_bag_coverage", lambda t: spatial.bag_coverage(t.expression.filter("spot_pos % 9 <> 0"), _assigned(t, 40)), "cells spots expression", f""", {_hit(40)}, e AS (SELECT DISTINCT sample_id, spot_id FROM expression WHERE spot_pos % 9 <> 0), c AS (SELECT DISTINCT sample_id, spot_id FROM assigned WHERE spot_id IS NOT NULL)
     SELECT coalesce(e.sample_id, c.sample_id) AS sample_id, count(e.spot_id) AS n_expression, count(c.spot_id) AS n_cells, count(*) FILTER (e.spot_id IS NOT NULL AND c.spot_id IS NOT NULL) AS n_both, round(count(*) FILTER (e.spot_id IS NOT NULL AND c.spot_id IS NOT NULL) / count(e.spot_id)::DOUBLE, 6) AS of_expression, round(count(*) FILTER (e.spot_id IS NOT NULL AND c.spot_id IS NOT NULL) / count(c.spot_id)::DOUBLE, 6) AS of_cells FROM e FULL JOIN c ON e.spot_id = c.spot_id GROUP BY 1""")
 register("f4_patch_boxes", lambda t: spatial.patch_boxes(t.cells, t.slide_meta).select("cell_idx", "left", "top", "size"), "cells slide_meta", """SELECT cell_idx, CAST(trunc(l) AS BIGINT) AS "left", CAST(trunc(u) AS BIGINT) AS top, CAST(trunc(size) AS BIGINT) AS size
@@ -38,7 +38,7 @@ _MORAN = f"""expr AS (SELECT * FROM expression WHERE gene IN (SELECT gene FROM s
     z AS (SELECT *, v - avg(v) OVER (PARTITION BY sample_id, gene) AS z FROM dense), moran AS (SELECT n.sample_id, n.gene, n.n / n.sw * x.s / n.zz AS i FROM
     (SELECT z.sample_id, gene, count(*) AS n, sum(z * z) AS zz, any_value(sw) AS sw FROM z JOIN (SELECT sample_id, sum(w) AS sw FROM w GROUP BY 1) t ON t.sample_id = z.sample_id GROUP BY ALL) n JOIN
     (SELECT a.sample_id, a.gene, sum(w * a.z * b.z) AS s FROM w JOIN z a ON a.spot_id = w.src JOIN z b ON b.spot_id = w.dst AND b.gene = a.gene GROUP BY ALL) x ON x.sample_id = n.sample_id AND x.gene = n.gene)"""
-_expr = lambda t: t.expression.join(t.signature.select("gene").distinct(), "gene", "left_semi")
+_expr = lambda t: t.stored("expression").join(t.signature.select("gene").distinct(), "gene", "left_semi")
 _moran = lambda t: spatial.morans_i(_expr(t), t.spots, spatial.hex_neighbours(t.spots))
 register("a19_morans_i", _moran, "expression spots signature", f", {_MORAN} SELECT sample_id, gene, round(i, 6) AS i FROM moran")
 register("a19_spatially_variable", lambda t: genes.spatially_variable(_expr(t), t.spots, spatial.hex_neighbours(t.spots), 10).select("sample_id", "gene", "rank"), "expression spots signature", f", {_MORAN} SELECT sample_id, gene, row_number() OVER (PARTITION BY sample_id ORDER BY i DESC, gene) AS rank FROM moran QUALIFY rank <= 10")

@@ -16,7 +16,7 @@ from tissueflow.sources.store import written
 
 def training_bags(t: Tables) -> DataFrame:
     """Scaled expression of the panel in every spot that has counts and cells, with its number of cells."""
-    prepared = written(qc.log_normalised(qc.VISIUM.prepare(t.expression, t.spots)), "prepared")
+    prepared = written(qc.log_normalised(qc.VISIUM.prepare(t.stored("expression"), t.spots)), "prepared")
     panel = genes.common_genes(genes.restrict_panel(prepared, t.signature))
     bags = spatial.bags(prepared, spatial.radius_join(t.cells, t.spots, 40)).select("sample_id", "spot_id", F.size("cells").alias("n_cells"))
     dense = qc.densify(prepared, bags, panel)
@@ -35,7 +35,7 @@ def predict_and_score(t: Tables) -> DataFrame:
     """Cells to predictions to bag means, scored by gene against measured expression."""
     names = ["G20", "G21", "G22"]
     bags = written(vectors.bag_means(vectors.predict_cells(t.embedded, _ONE), names), "bag-means")
-    truth = qc.log_normalised(t.expression)
+    truth = qc.log_normalised(t.stored("expression"))
     return metrics.regression_metrics(metrics.align(truth, bags, bags.select("spot_id").distinct()))
 
 
