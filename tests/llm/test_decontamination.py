@@ -23,7 +23,7 @@ def test_search_finds_all_above_threshold():
         terms = sorted(rng.sample(range(len(index.terms)), rng.randint(1, 30)))
         total = np.zeros(len(index.ids))
         for t in terms:
-            total[index.items[t]] += index.impacts[t]
+            total[index.items[t]] += np.array(index.impacts[t])
         for threshold in (0.3, 0.6, 0.9):
             got = sorted(index.search(terms, threshold))
             want = [(i, s) for i, s in enumerate(total) if s >= threshold - 1e-9]

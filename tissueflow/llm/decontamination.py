@@ -8,8 +8,8 @@ retrieved, without a limit. Each is then verified in the document: the share of
 question (all sentences but the last) and of its answer (the last) must both reach OVERLAP, or that of the whole item.
 
 The index is built from items in blocks of ITEMS, so what is sent to workers is bounded; a larger benchmark means
-more passes over the texts. Before WAND starts, sums of the terms' bounds over each passage (numpy, whole batches)
-show that most passages cannot reach the threshold at all: this is WAND's own first test.
+more passes over the texts. Block bounds (the largest impact of a term among ITEMS_BLOCK items) are first summed for
+all passages of a batch at once in numpy; the walk then goes through the blocks that reach the threshold.
 
 Defined results: null and empty texts hold nothing; items without words match nothing; items alike in text all
 match; repeated rows get equal results; an empty table on either side gives no leaks.
@@ -18,6 +18,7 @@ match; repeated rows get equal results; an empty table on either side gives no l
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
 ITEMS = 20_000
-POSTINGS_BLOCK = 32
+ITEMS_BLOCK = 4
 K1, B = 1.2, 0.75
 _TABLE = byte_table(lower=True, seed=4)
 _NOT_WORD = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
@@ -83,7 +84,16 @@ class Index:
         self.items = [np.array([i for i, _ in postings[t]], dtype=np.int64) for t in self.terms.tolist()]
         self.impacts = [np.array([s for _, s in postings[t]]) for t in self.terms.tolist()]
         self.most = np.array([x.max() for x in self.impacts])
-        self.block_most = [np.maximum.reduceat(x, np.arange(0, len(x), POSTINGS_BLOCK)) for x in self.impacts]
+        # the largest impact of each term in each block of items that its postings touch, one term after another
+        blocks = [i // ITEMS_BLOCK for i in self.items]
+        starts = [np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) for b in blocks]
+        self.block = np.concatenate([b[s] for b, s in zip(blocks, starts, strict=True)]) if blocks else np.zeros(0, np.int64)
+        self.block_most = np.concatenate([np.maximum.reduceat(x, s) for x, s in zip(self.impacts, starts, strict=True)]) if blocks else np.zeros(0)
+        self.first_block = np.concatenate([[0], np.cumsum([len(s) for s in starts])]).astype(np.int64)
+        self.n_blocks = -(-n // ITEMS_BLOCK)
+        # for the walk, plain numbers and a look-up of each term's block bounds
+        self.near = [dict(zip(b[s].tolist(), np.maximum.reduceat(x, s).tolist(), strict=True)) for b, s, x in zip(blocks, starts, self.impacts, strict=True)]
+        self.items, self.impacts, self.bound = [x.tolist() for x in self.items], [x.tolist() for x in self.impacts], self.most.tolist()
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """The term of each word hash, or -1."""
@@ -92,15 +102,20 @@ class Index:
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         return np.where(self.terms[at] == h, at, -1)
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items whose impacts over the terms sum to threshold or more, by block-max WAND."""
-        end, out, slack = len(self.ids), [], threshold - 1e-9
-        cursors = [[int(self.items[t][0]), t, 0] for t in terms]  # item, term, place in its postings
+    def search(self, terms: list[int], threshold: float, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
+        """All items (from low up to high) whose impacts over the terms sum to threshold or more, by block-max WAND."""
+        end, out, slack = len(self.ids) if high is None else min(high, len(self.ids)), [], threshold - 1e-9
+        cursors = []  # item, term, place in its postings
+        for t in terms:
+            items = self.items[t]
+            at = bisect_left(items, low)
+            if at < len(items) and items[at] < end:
+                cursors.append([items[at], t, at])
 
         def move(c: list, target: int) -> None:
             items = self.items[c[1]]
-            c[2] = int(np.searchsorted(items, target))
-            c[0] = int(items[c[2]]) if c[2] < len(items) else end
+            c[2] = bisect_left(items, target, c[2])
+            c[0] = min(end, items[c[2]]) if c[2] < len(items) else end
 
         while True:
             cursors.sort()
@@ -108,7 +123,7 @@ class Index:
             for k, c in enumerate(cursors):
                 if c[0] >= end:
                     break
-                bound += self.most[c[1]]
+                bound += self.bound[c[1]]
                 if bound >= slack:
                     pivot = k
                     break
@@ -118,14 +133,12 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             # bounds of the blocks in which item would stand
-            near, until = 0.0, end
+            near, until = 0.0, (item // ITEMS_BLOCK + 1) * ITEMS_BLOCK
             for c in cursors[: pivot + 1]:
                 items = self.items[c[1]]
-                at = int(np.searchsorted(items, item))
-                if at < len(items):
-                    block = at // POSTINGS_BLOCK
-                    near += self.block_most[c[1]][block]
-                    until = min(until, int(items[min(len(items), (block + 1) * POSTINGS_BLOCK) - 1]) + 1)
+                at = bisect_left(items, item, c[2])
+                if at < len(items) and items[at] // ITEMS_BLOCK == item // ITEMS_BLOCK:
+                    near += self.near[c[1]][items[at] // ITEMS_BLOCK]
             if near < slack:
                 after = cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end
                 target = max(item + 1, min(until, after))
@@ -133,7 +146,7 @@ class Index:
                     if c[0] < target:
                         move(c, target)
             elif cursors[0][0] == item:
-                score = sum(float(self.impacts[c[1]][c[2]]) for c in cursors[: pivot + 1])
+                score = sum(self.impacts[c[1]][c[2]] for c in cursors[: pivot + 1])
                 if score >= slack:
                     out.append((item, score))
                 for c in cursors[: pivot + 1]:
@@ -147,21 +160,18 @@ class Index:
         """document, item, score, and shares of the question, the answer and the whole item, best passage of each."""
         h = w.hashes(_TABLE)
         term = self.lookup(h)
-        weight = np.concatenate([[0.0], np.cumsum(np.where(term >= 0, self.most[term] if len(self.most) else 0.0, 0.0))])
         half = self.longest
         count = np.diff(w.first)
         many = np.maximum(1, -(-count // half) - 1) * (count > 0)
+        first = np.cumsum(many) - many
         doc = np.repeat(np.arange(len(count)), many)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-        begin = w.first[doc] + nth * half
+        begin = w.first[doc] + (np.arange(len(doc)) - first[doc]) * half
         stop = np.minimum(begin + 2 * half, w.first[doc + 1])
         best: dict[tuple[int, int], tuple] = {}
-        for p in np.flatnonzero(weight[stop] - weight[begin] >= threshold - 1e-9).tolist():
+        for p, block in self._passages(w, term, first, many, threshold).tolist():
             terms = np.unique(term[begin[p] : stop[p]])
             terms = terms[terms >= 0]
-            if self.most[terms].sum() < threshold - 1e-9:
-                continue
-            for item, score in self.search(terms.tolist(), threshold):
+            for item, score in self.search(terms.tolist(), threshold, block * ITEMS_BLOCK, (block + 1) * ITEMS_BLOCK):
                 key = (int(doc[p]), item)
                 whole, question, answer = self._shares(h[begin[p] : stop[p]], item)
                 if whole >= overlap or min(question, answer) >= overlap:
@@ -169,6 +179,23 @@ class Index:
         for (d, item), (score, question, answer, whole) in best.items():
             yield d, self.ids[item], score, question, answer, whole
 
+    def _passages(self, w: Words, term: np.ndarray, first: np.ndarray, many: np.ndarray, threshold: float) -> np.ndarray:
+        """Passages and blocks of items for which the bounds of the passage's terms sum to threshold."""
+        at = np.flatnonzero(term >= 0)
+        if not len(at):
+            return np.zeros((0, 2), np.int64)
+        doc = w.doc_of(at)
+        nth = (at - w.first[doc]) // self.longest
+        # a word stands in the passage that begins in its half, and in the one before; the last one goes on to the end
+        here, before = nth < many[doc], nth > 0
+        passage = np.concatenate([(first[doc] + nth)[here], (first[doc] + nth - 1)[before]])
+        pair = np.unique(passage * len(self.terms) + np.concatenate([term[at][here], term[at][before]]))
+        passage, t = np.divmod(pair, len(self.terms))
+        n = self.first_block[t + 1] - self.first_block[t]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first_block[t], n)
+        bound = np.bincount(np.repeat(passage, n) * self.n_blocks + self.block[place], weights=self.block_most[place])
+        return np.stack(np.divmod(np.flatnonzero(bound >= threshold - 1e-9), self.n_blocks), axis=1)
+
     def _shares(self, h: np.ndarray, item: int) -> list[float]:
         """Shares of the shingles of the whole item, its question and its answer that stand in a passage."""
         have: dict[int, np.ndarray] = {}
