@@ -25,16 +25,16 @@ from .common import shared_folder
 from .wavelet import WaveletMatrix
 
 BLOCK_TOKENS = 1 << 19
-#: Pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+#: Words, and pre-tokens, that a worker remembers before it starts anew.
+REMEMBERED = 250_000
 END_ID = 1
 
 BLOCKS = "shard int, block int, first long, n_tokens long, bits int, planes array<binary>, zeros array<long>, ranks array<binary>, doc_ids array<long>, doc_tokens array<long>"
 
 # The split pattern of the tokenizer file, with its letters narrowed to those of SIMPLE.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\x0b\x0c\r0-9a-zß-öø-ÿ]+")
-#: Texts of these characters only: no normalisation changes them but lower case.
-_SIMPLE = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+#: Texts of these characters only: no normalisation changes them but lower case, and str.split cuts where the tokenizer sees white space.
+_SIMPLE = re.compile("[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]*")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -47,8 +47,8 @@ def _byte_letters() -> dict[int, int]:
 class Encoder:
     """The tokenizers library, asked once for each distinct pre-token.
 
-    BPE never crosses a pre-token, so the ids of a text are those of its pre-tokens in order. Texts with
-    characters outside SIMPLE go to the library whole.
+    BPE never crosses a pre-token and no pre-token crosses white space, so the ids of a text are those of its words
+    in order, and those of a word are those of its pre-tokens. Texts with characters outside SIMPLE go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -56,7 +56,7 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.bits = max(1, (self.whole.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.model, self.letters, self.known = self.whole.model, _byte_letters(), {}
+        self.model, self.letters, self.parts, self.words = self.whole.model, _byte_letters(), {}, {}
         self.four = [k.to_bytes(4, "little") for k in range(1 << self.bits)]
         self.added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
 
@@ -69,17 +69,27 @@ class Encoder:
         low = text.lower()
         if not _SIMPLE.fullmatch(text) or any(a in low for a in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        parts = _SPLIT.findall(low)
-        known = self.known
+        words, known = low.split(), self.words
         try:
-            return b"".join(map(known.__getitem__, parts))
+            return b"".join(map(known.__getitem__, words))
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            for p in parts:
-                if p not in known:
-                    known[p] = self._part(p)
-            return b"".join(map(known.__getitem__, parts))
+            for w in words:
+                if w not in known:
+                    known[w] = self._word(w)
+            return b"".join(map(known.__getitem__, words))
+
+    def _word(self, word: str) -> bytes:
+        out, parts = [], self.parts
+        if len(parts) > REMEMBERED:
+            parts.clear()
+        for p in _SPLIT.findall(word):
+            got = parts.get(p)
+            if got is None:
+                got = parts[p] = self._part(p)
+            out.append(got)
+        return b"".join(out)
 
 
 def _encoder(path: str, kept: dict = {}) -> Encoder:  # noqa: B006  one for each worker process
