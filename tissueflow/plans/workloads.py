@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tissueflow.operators import genes, metrics, qc, spatial, vectors
+from tissueflow.operators import metrics, qc, spatial, vectors
 from tissueflow.plans.fixtures import Tables
 from tissueflow.plans.matrix import _G
 from tissueflow.plans.places import _hit
@@ -17,7 +17,9 @@ from tissueflow.sources.store import written
 def training_bags(t: Tables) -> DataFrame:
     """Scaled expression of the panel in every spot that has counts and cells, with its number of cells."""
     prepared = written(qc.log_normalised(qc.VISIUM.prepare(t.stored("expression"), t.spots)), "prepared")
-    panel = genes.common_genes(genes.restrict_panel(prepared, t.signature))
+    # the smallest tables leave no gene, which is an empty result here and not an error
+    measured = prepared.join(t.signature.select("gene").distinct(), "gene", "left_semi")
+    panel = measured.groupBy("gene").agg(F.count_distinct("sample_id").alias("n")).filter("n = 3").select("gene")
     bags = spatial.bags(prepared, spatial.radius_join(t.cells, t.spots, 40)).select("sample_id", "spot_id", F.size("cells").alias("n_cells"))
     dense = qc.densify(prepared, bags, panel)
     return qc.robust_scale(dense).join(bags, ["sample_id", "spot_id"])
