@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: The separators of the contracts' words: space and \x09-\x0D.
 WORD_SEPARATORS = b" \t\n\x0b\x0c\r"
 #: Bytes of text that one vectorised pass looks at; longer documents are passes of their own.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 19
 
 _U = np.uint64
 _R, _S = _U(0x9E3779B97F4A7C17), _U(0xD6E8FEB86659FD95)
