@@ -29,6 +29,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import column_bytes, passes
 
 SAMPLE_DOCS, SLICE = 160, 300
+SHARES = 16
 MAX_LETTERS = 120
 BLOCK = 256
 UNKNOWN = "und"
@@ -37,8 +38,11 @@ UNKNOWN = "und"
 def training_text(labelled: DataFrame) -> dict[str, str]:
     """A bounded sample of labelled(text, lang): the same for the same rows, in whatever order."""
     d = labelled.filter("lang is not null and length(text) > 0").select("lang", "text", F.xxhash64("text").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h")
-    picks = d.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_DOCS).select("lang", "h")
+    # the least hashes of each language, first in each of its shares, then of what is left: no language meets whole
+    picks = d.select("lang", "h", F.pmod("h", F.lit(SHARES)).alias("share")).distinct()
+    for keys in (["lang", "share"], ["lang"]):
+        picks = picks.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("n") <= SAMPLE_DOCS)
+    picks = picks.select("lang", "h")
     at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - SLICE + 1)).cast("int") + 1
     rows = picks.collect()  # SAMPLE_DOCS for each language
     few = labelled.sparkSession.createDataFrame(rows, "lang string, h long")
