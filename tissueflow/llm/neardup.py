@@ -38,6 +38,8 @@ REGISTERS = 280
 BASE, RATE, LEVELS = 1.001, 20.0, (1 << 16) - 2
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 20
+#: A class with this share of all rows is a hot one; there are at most as many.
+HOT = 1000
 MISS = 1e-6
 #: A pair is verified if its estimate comes within this of the threshold (over four standard deviations).
 MARGIN = 0.13
@@ -183,8 +185,8 @@ def links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     if xs:
         xs, ys, same, more = (np.concatenate(v) for v in (xs, ys, same, more))
         guess = np.zeros(len(xs))
-        for a in range(0, len(xs), 20_000):
-            s = slice(a, a + 20_000)
+        for a in range(0, len(xs), 2000):  # a hundred doubles a pair
+            s = slice(a, a + 2000)
             guess[s] = likeliest(same[s], more[s], k.shape[1] - same[s] - more[s], n[xs[s]].astype(float), n[ys[s]].astype(float))
         root = list(range(len(group)))
 
@@ -235,10 +237,20 @@ def _members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return d.mapInArrow(run, d.drop("text").schema.add("shingles", "binary")).dropDuplicates(["cid"])
 
 
+def _with_component(digest: DataFrame, of: DataFrame) -> DataFrame:
+    """digest with the component of its class. Classes of at least an HOT-th of all rows, HOT at most, are broadcast, so no task gets all copies of one text."""
+    of = written(of, "set-components")
+    least = max(1, digest.count()) / HOT
+    hot = F.broadcast(of.filter(F.col("copies") >= least).select("cid", F.col("component").alias("hot")))
+    d = digest.join(hot, "cid", "left")
+    rest = d.filter("hot is null").drop("hot").join(of.filter(F.col("copies") < least).drop("copies"), "cid", "left")
+    return d.filter("hot is not null").withColumnRenamed("hot", "component").select(rest.columns).union(rest)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document: links at 100 * intersection >= percent * union."""
     digest = digests(docs, size)
-    classes = digest.filter("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    classes = digest.filter("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.count("*").alias("copies"))
     fid = F.conv(F.hex(F.substring("cid", 1, 7)), 16, 10).cast("long")
     classes = written(classes.withColumn("fid", fid), "set-classes")
     bands = _buckets(classes, rows_per_band(percent / 100))
@@ -254,12 +266,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     groups = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other", "blocks")
     found = groups.groupBy("label", "i", "j").applyInPandas(lambda g: links(g, percent), "a binary, b binary")
     labels = components(found)
-    classes = classes.select("cid", "rep")
+    classes = classes.select("cid", "rep", "copies")
     linked = labels.select(F.col("node").alias("cid"), "label").join(classes, "cid")
     least = linked.groupBy("label").agg(F.min("rep").alias("component"))
     of = classes.join(linked.select("cid", "label").join(least, "label").select("cid", "component"), "cid", "left")
-    of = of.select("cid", F.coalesce("component", "rep").alias("component"))
-    out = digest.drop("registers").join(of, "cid", "left")
+    of = of.select("cid", "copies", F.coalesce("component", "rep").alias("component"))
+    out = _with_component(digest.drop("registers"), of)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
