@@ -22,13 +22,13 @@ KINDS = {
     "access": "AKIA[A-Z0-9]{16,}",
     "hex": "[0-9a-f]{24,}",
 }
-#: A long token with both letters and digits.
-OWNED = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{32,}"
+#: A long token; it must have both letters and digits.
+OWNED = "[A-Za-z0-9+/_-]{32,}"
 MIN_VALUE = 6
 MAX_OWNERS = 1
 
 
-def spans(text: Column, kind: int, pattern: str, value_group: int = 0, least: int = 0) -> Column:
+def spans(text: Column, kind: int, pattern: str, value_group: int = 0, least: int = 0, mixed: bool = False) -> Column:
     """start, kind, end and hash of the value of each match, leftmost and non-overlapping.
 
     The pieces between matches and the matches alternate, so running lengths give the offsets.
@@ -41,7 +41,10 @@ def spans(text: Column, kind: int, pattern: str, value_group: int = 0, least: in
         start = acc["at"] + F.char_length(x["gap"])
         end = start + F.char_length(x["hit"])
         row = F.struct(start.cast("int").alias("start"), F.lit(kind).alias("kind"), end.cast("int").alias("end"), F.sha2(x["value"], 256).alias("hash"))
-        return F.struct(end.cast("int").alias("at"), F.when(F.char_length(x["value"]) >= least, F.concat(acc["found"], F.array(row))).otherwise(acc["found"]).alias("found"))
+        ok = F.char_length(x["value"]) >= least
+        if mixed:
+            ok = ok & x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")
+        return F.struct(end.cast("int").alias("at"), F.when(ok, F.concat(acc["found"], F.array(row))).otherwise(acc["found"]).alias("found"))
 
     found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("found")), step)["found"]
     return F.when(text.rlike(pattern), found).otherwise(empty)
@@ -56,7 +59,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     """row, doc_id, owner, base and candidates of each document, as a table in the shared folder (no texts)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(*[spans(text, k, p, 2 if n == "assign" else 0, MIN_VALUE if n == "assign" else 0) for k, (n, p) in enumerate(KINDS.items())])
-    more = spans(text, len(KINDS), OWNED)
+    more = spans(text, len(KINDS), OWNED, mixed=True)
     return written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("source").alias("owner"), base.alias("base"), more.alias("more")), "secrets")
 
 
