@@ -1,7 +1,8 @@
 """Operator 9, license scans as an exact set-similarity join. DataFrame functions only.
 
-Blocks (lines) of text are joined with license templates by containment: at least CONTAINMENT of a template's
-distinct words stand in the block. Template words are put in order of their frequency in the whole corpus,
+Blocks of text are joined with license templates by containment: at least CONTAINMENT of a template's distinct
+words stand in the block. Blocks are lines and, for notices wrapped over several lines, all runs of consecutive
+words twice as long as the template. Template words are put in order of their frequency in the whole corpus,
 rarest first. A block that reaches the threshold must hold one of the first |T| - need + 1 words (prefix filter), have at least
 need distinct words (length filter), and, where its first shared word is the template's i-th, |T| - i must still
 reach need (positional filter). What passes is counted exactly.
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 CONTAINMENT = 0.8
+#: A notice over line ends is looked for in runs of RUN times a template's words; a stretch has STEP places of a run.
+RUN, STEP = 2, 64
 
 #: Notices of widely used public licenses, as their holders ask them to be quoted.
 TEMPLATES = [
@@ -42,6 +45,7 @@ TEMPLATES = [
     ("cc-by-sa", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
 ]
+_WORD = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,7 +61,7 @@ def spaced(text: Column) -> Column:
 
 
 def template_words(text: str) -> list[str]:
-    return sorted(set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())))
+    return sorted(set(re.findall(_WORD, text.lower())))
 
 
 def _spaces(x: Column) -> Column:
@@ -89,9 +93,13 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def _some(near: list[str]) -> str:
+    return "(?<![0-9a-z\\x{80}-\\x{10FFFF}])(?:" + "|".join(map(re.escape, near)) + ")(?![0-9a-z\\x{80}-\\x{10FFFF}])"
+
+
 def blocks(docs: DataFrame, near: list[str]) -> DataFrame:
     """key, block and the distinct words of each line that holds one of the words in near."""
-    some = "(?<![0-9a-z\\x{80}-\\x{10FFFF}])(?:" + "|".join(map(re.escape, near)) + ")(?![0-9a-z\\x{80}-\\x{10FFFF}])"
+    some = _some(near)
     d = docs.select(_key().alias("key"), lowered(F.coalesce("text", F.lit(""))).alias("t")).filter(F.col("t").rlike(some))
     d = d.select("key", F.posexplode(F.split("t", "\n", -1)).alias("block", "line")).filter(F.col("line").rlike(some))
     return d.select("key", "block", F.array_distinct(F.split(spaced(F.col("line")), " ", -1)).alias("words"))
@@ -104,29 +112,61 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {w: 0 for w in vocabulary} | {r["word"]: r["count"] for r in rows}
 
 
+class Prefixes:
+    """Template words in order of frequency: the table of each template's first words, and what bounds the search."""
+
+    def __init__(self, docs: DataFrame, templates: list[tuple[str, str]], threshold: float):
+        sets = [(label, template_words(t), RUN * len(re.findall(_WORD, t))) for label, t in templates]
+        count = frequencies(docs, sorted({w for _, s, _ in sets for w in s}))
+        rows = []
+        for k, (label, s, run) in enumerate(sets):
+            order = sorted(s, key=lambda w: (count[w], w))
+            need = math.ceil(threshold * len(order) - 1e-9)
+            rows += [(k, label, w, i, order, need, run) for i, w in enumerate(order[: len(order) - need + 1])]
+        self.table = docs.sparkSession.createDataFrame(rows, "template int, label string, word string, i int, ordered array<string>, need int, run int")  # as large as the templates
+        self.near = sorted({r[2] for r in rows})
+        self.longest = max((r[6] for r in rows), default=1)
+
+    def pairs(self, words: DataFrame) -> DataFrame:
+        """Rows with words (distinct) and each template of which they hold as many words as it needs, each pair once."""
+        held = words.select("*", F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in self.near]))).alias("word"))
+        pairs = held.join(F.broadcast(self.table), "word").filter((F.size("words") >= F.col("need")) & (F.size("ordered") - F.col("i") >= F.col("need")))
+        shared = F.array_intersect("ordered", "words")
+        return pairs.filter((F.size(shared) >= F.col("need")) & (F.get(shared, F.lit(0)) == F.col("word")))
+
+
+def _lines(docs: DataFrame, p: Prefixes) -> DataFrame:
+    score = F.size(F.array_intersect("ordered", "words")) / F.size("ordered")
+    return p.pairs(blocks(docs, p.near)).select("key", "block", "label", score.alias("score")).distinct()
+
+
 def containment_join(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
-    """key, block, label, score of every block that holds at least threshold of a template's words."""
-    spark = docs.sparkSession
-    sets = [(label, template_words(t)) for label, t in templates]
-    count = frequencies(docs, sorted({w for _, s in sets for w in s}))
-    rows = []
-    for k, (label, s) in enumerate(sets):
-        order = sorted(s, key=lambda w: (count[w], w))
-        need = math.ceil(threshold * len(order) - 1e-9)
-        rows += [(k, label, w, i, order, need) for i, w in enumerate(order[: len(order) - need + 1])]
-    table = spark.createDataFrame(rows, "template int, label string, word string, i int, ordered array<string>, need int")  # as large as the templates
-    near = sorted({r[2] for r in rows})
-    b = blocks(docs, near)
-    held = b.select("key", "block", "words", F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in near]))).alias("word"))
-    pairs = held.join(F.broadcast(table), "word").filter((F.size("words") >= F.col("need")) & (F.size("ordered") - F.col("i") >= F.col("need")))
-    overlap = F.size(F.array_intersect("ordered", "words"))
-    pairs = pairs.filter(overlap >= F.col("need")).select("key", "block", "label", (overlap / F.size("ordered")).alias("score"))
-    return pairs.distinct()
+    """key, block, label, score of every line that holds at least threshold of a template's words."""
+    return _lines(docs, Prefixes(docs, templates, threshold))
+
+
+def _over_lines(docs: DataFrame, p: Prefixes) -> DataFrame:
+    """key, label, score of runs of a text's words, whatever its line ends: the best run of each stretch of STEP places.
+
+    A stretch is followed by the words that its last run still needs. The prefix, length and positional filters look
+    at it whole; only what passes is counted run by run, from each place that holds a word of the template.
+    """
+    d = docs.select(_key().alias("key"), lowered(F.coalesce("text", F.lit(""))).alias("t"))
+    d = d.filter(F.col("t").contains("\n") & F.col("t").rlike(_some(p.near)))
+    d = d.select("key", F.split(spaced(F.col("t")), " ", -1).alias("all"))
+    places = F.sequence(F.lit(1), F.size("all"), F.lit(STEP))
+    d = d.select("key", F.transform(places, lambda k: F.slice("all", k, STEP + p.longest - 1)).alias("stretches"))
+    d = d.select("key", F.explode("stretches").alias("stretch")).filter(F.arrays_overlap("stretch", F.array(*[F.lit(w) for w in p.near])))
+    pairs = p.pairs(d.select("key", "stretch", F.array_distinct("stretch").alias("words")))
+    begin = F.filter(F.sequence(F.lit(1), F.least(F.lit(STEP), F.size("stretch"))), lambda k: F.array_contains("ordered", F.get("stretch", k - 1)))
+    overlap = F.array_max(F.transform(begin, lambda k: F.size(F.array_intersect("ordered", F.slice("stretch", k, F.col("run"))))))
+    return pairs.select("key", "label", "ordered", "need", overlap.alias("n")).filter(F.col("n") >= F.col("need")).select("key", "label", (F.col("n") / F.size("ordered")).alias("score"))
 
 
 def licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
     """Per document the base places and labels, the labels of both ways, and the best score."""
-    found = containment_join(docs, templates, threshold).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
+    p = Prefixes(docs, templates, threshold)
+    found = _lines(docs, p).drop("block").unionByName(_over_lines(docs, p)).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
     rows = base(docs).join(found, "key", "left")
     both = F.array_union("base_labels", F.coalesce("found", F.array().cast("array<string>")))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("score", F.lit(0.0)))
