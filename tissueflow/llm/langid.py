@@ -8,7 +8,8 @@ The automata are built from a bounded sample: SAMPLE_DOCS documents per language
 Workers build them once and step through all blocks of a batch together, one table lookup per symbol and language.
 A text is parsed whole, in blocks of BLOCK symbols, each at most one phrase more.
 
-Symbols are lower-case letters; all else is one separator. Letters that no sample holds never match.
+Symbols are lower-case letters; all else is one separator. Every letter of the samples is a symbol of its own;
+letters that no sample holds never match.
 
 Defined results: a null text or one without a letter is "und" with score 0; with no labelled rows everything is
 "und"; ties go to the smaller name; repeated rows get equal results; an empty table gives an empty result;
@@ -30,7 +31,8 @@ from .common import column_bytes, passes
 
 SAMPLE_DOCS, SLICE = 160, 300
 SHARES = 16
-MAX_LETTERS = 120
+#: Bytes of the table of the most frequent letters; what other letters lead to is kept as sorted keys.
+DENSE_BYTES = 1 << 26
 BLOCK = 256
 UNKNOWN = "und"
 
@@ -58,11 +60,11 @@ class Alphabet:
     """A class for each code point: 0 separator, 1 a letter of no sample, from 2 on the letters of the samples."""
 
     def __init__(self, texts: list[str]):
-        count = Counter(c for t in texts for c in t.lower() if c.isalpha())
-        self.letters = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:MAX_LETTERS]]
+        count = Counter(c.lower() for t in texts for c in t if c.isalpha())
+        self.letters = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))]
         self.size = len(self.letters) + 2
         of = {c: k + 2 for k, c in enumerate(self.letters)}
-        self.table = np.zeros(0x110000, dtype=np.uint8)
+        self.table = np.zeros(0x110000, dtype=np.int32)
         for code in range(0x110000):
             c = chr(code)
             if c.isalpha():
@@ -81,8 +83,8 @@ class Alphabet:
         return s[keep], np.concatenate([[0], np.cumsum(keep)])[first]
 
 
-def automaton(symbols: np.ndarray, size: int) -> np.ndarray:
-    """The suffix automaton of a sequence as a table: next state, or -1; state 0 is the root."""
+def transitions(symbols: np.ndarray) -> list[dict[int, int]]:
+    """The suffix automaton of a sequence: by state, the next state for each symbol; state 0 is the root."""
     n = len(symbols)
     go: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -110,10 +112,22 @@ def automaton(symbols: np.ndarray, size: int) -> np.ndarray:
                 link[q] = link[now] = copy
         last = now
     assert len(go) <= max(1, 2 * n)
+    return go
+
+
+def edges(go: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State, symbol and next state of each transition."""
+    state = np.repeat(np.arange(len(go)), [len(t) for t in go])
+    symbol = np.fromiter((c for t in go for c in t), dtype=np.int64, count=len(state))
+    return state, symbol, np.fromiter((x for t in go for x in t.values()), dtype=np.int64, count=len(state))
+
+
+def automaton(symbols: np.ndarray, size: int) -> np.ndarray:
+    """The suffix automaton of a sequence as a table: next state, or -1."""
+    go = transitions(symbols)
+    state, symbol, after = edges(go)
     table = np.full((len(go), size), -1, dtype=np.int32)
-    for s, t in enumerate(go):
-        for c, x in t.items():
-            table[s, c] = x
+    table[state, symbol] = after
     return table
 
 
@@ -121,18 +135,39 @@ class Parser:
     def __init__(self, texts: dict[str, str]):
         self.langs = list(texts)
         self.alphabet = Alphabet(list(texts.values()))
-        size = self.alphabet.size
-        tables, self.roots = [], []
+        self.size = self.alphabet.size
+        found, self.roots, states = [], [], 0
         for t in texts.values():
             codes = np.array([ord(c) for c in t], dtype=np.int64)
             s, _ = self.alphabet.symbols(codes, np.array([0, len(codes)]))
-            s = s[s != 1]
-            a = automaton(s, size)
-            base = sum(len(x) for x in tables)
-            tables.append(np.where(a < 0, -1, a + base).astype(np.int32))
-            self.roots.append(base)
-        self.size = size
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            go = transitions(s)
+            state, symbol, after = edges(go)
+            found.append((state + states, symbol, after + states))
+            self.roots.append(states)
+            states += len(go)
+        state, symbol, after = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        # classes are in order of frequency: the first ones make a table, the rest sorted keys with a last one that is never met
+        self.dense = min(self.size, max(2, DENSE_BYTES // (4 * max(1, states))))
+        near = symbol < self.dense
+        self.table = np.full(states * self.dense, -1, dtype=np.int32)
+        self.table[state[near] * self.dense + symbol[near]] = after[near]
+        keys = state[~near] * self.size + symbol[~near]
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.after = np.append(after[~near][order], -1).astype(np.int32)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next state, or -1, for states (languages in rows) and one symbol for each column."""
+        if self.dense == self.size:
+            return self.table[state * self.dense + symbol]
+        far = symbol >= self.dense
+        out = self.table[state * self.dense + np.where(far, 0, symbol)]
+        if far.any():
+            state = np.broadcast_to(state, out.shape)
+            key = state[:, far] * self.size + symbol[far]
+            at = np.searchsorted(self.keys, key)
+            out[:, far] = np.where(self.keys[at] == key, self.after[at], -1)
+        return out
 
     def phrases(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Phrases of each document (rows) in each language (columns)."""
@@ -153,9 +188,9 @@ class Parser:
         for k in range(int(size.max(initial=0))):
             live = int(np.searchsorted(smaller, -k, side="left"))
             c = symbols[begin[:live] + k].astype(np.int64)
-            there = self.table[state[:, :live] * self.size + c]
+            there = self.step(state[:, :live], c)
             failed = there < 0
-            anew = self.table[roots * self.size + c]
+            anew = self.step(roots, c)
             anew = np.where(anew < 0, roots, anew)
             state[:, :live] = np.where(failed, anew, there)
             count[:, :live] += failed
