@@ -1,12 +1,13 @@
 """Operator 5, secret scans with corpus-wide ownership frequency. DataFrame functions only.
 
 Candidates are found by regular expressions; each candidate's hash is counted over the corpus by distinct
-documents and distinct owners (the source column). A value that many owners hold is a widely copied example; a
-value of one owner looks live. Long mixed tokens count as secrets only if they are owner-specific.
+documents (they stand for repositories, which the tables do not name) and distinct owners (the source column). A
+value that many owners or many documents hold is a widely copied example; a value of one owner in at most MAX_DOCS
+documents looks live. Long mixed tokens count as secrets only if they are owner-specific in this way.
 
-Defined results: a null text is empty; a null source is an owner of its own; repeated rows are judged alike;
-offsets are code points, end exclusive; an empty table gives an empty result; columns other than doc_id, text
-and source are ignored.
+Defined results: a null text is empty; a null source is an owner of its own; a null doc_id is a document of its
+own; repeated rows are one document and are judged alike; offsets are code points, end exclusive; an empty table
+gives an empty result; columns other than doc_id, text and source are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ KINDS = {
 OWNED = "[A-Za-z0-9+/_-]{32,}"
 MIN_VALUE = 6
 MAX_OWNERS = 1
+#: A credential stands in a few documents of its owner; what stands in more is an example.
+MAX_DOCS = 10
 
 
 def spans(text: Column, kind: int, pattern: str, value_group: int = 0, least: int = 0, mixed: bool = False) -> Column:
@@ -64,17 +67,18 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_docs, n_owners over the corpus. A value's rows are summed by owner before they meet."""
-    each = found.select("owner", F.explode(F.concat("base", "more")).alias("x")).select("owner", "x.hash")
-    return each.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_owners"))
+    """hash, n_docs, n_owners over the corpus, both distinct. A value's rows are made one by document, then summed by owner, before they meet."""
+    unnamed = F.when(F.col("doc_id").isNull(), F.col("row")).alias("unnamed")
+    each = found.select("owner", "doc_id", unnamed, F.explode(F.concat("base", "more")).alias("x")).select("x.hash", "owner", "doc_id", "unnamed").distinct()
+    return each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def secrets(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_docs: int = MAX_DOCS) -> DataFrame:
     """Per document: base spans, live (owner-specific) spans of the base, and added owner-specific tokens."""
     found = scanned(docs)
     each = found.select("row", F.explode(F.concat("base", "more")).alias("x")).select("row", "x", "x.hash")
     judged = each.join(ownership(found), "hash")
-    live = judged.filter(F.col("n_owners") <= max_owners).groupBy("row").agg(F.collect_list("x").alias("live"))
+    live = judged.filter((F.col("n_owners") <= max_owners) & (F.col("n_docs") <= max_docs)).groupBy("row").agg(F.collect_list("x").alias("live"))
     out = found.join(live, "row", "left")
     live_or_none = F.coalesce("live", F.array().cast("array<struct<start:int,kind:int,end:int,hash:string>>"))
     # an added token inside a base span says nothing new
