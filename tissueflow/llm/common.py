@@ -25,9 +25,11 @@ _RI, _SI = _U(pow(int(_R), -1, 1 << 64)), _U(pow(int(_S), -1, 1 << 64))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session has a new temporary one, a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -50,6 +52,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Delete a table that written() made, once nothing reads it any more."""
+    spark = table.sparkSession
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> _U(30))
@@ -126,12 +137,19 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
 
     def hashes(self, table: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        n = len(self.raw)
-        total = np.zeros(n + 1, dtype=_U)
-        np.cumsum(table[self.raw] * _powers(_R, n), out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * _powers(_RI, n + 1)[self.starts]
-        return mix(h)
+        """A 64-bit hash of each word, from stretches of about PASS_BYTES, so a long text needs no more memory than its words."""
+        out = np.empty(len(self.starts), dtype=_U)
+        k = 0
+        while k < len(out):
+            base = self.starts[k]
+            stop = max(k + 1, int(np.searchsorted(self.ends, base + PASS_BYTES, side="right")))
+            part = self.raw[base : self.ends[stop - 1]]
+            total = np.zeros(len(part) + 1, dtype=_U)
+            np.cumsum(table[part] * _powers(_R, len(part)), out=total[1:])
+            start = self.starts[k:stop] - base
+            out[k:stop] = mix((total[self.ends[k:stop] - base] - total[start]) * _powers(_RI, len(part) + 1)[start])
+            k = stop
+        return out
 
     def doc_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, places, side="right") - 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     before = None
     while True:
-        e = written(_small(_large(e)), "edges")
+        last, e = e, written(_small(_large(e)), "edges")
+        dropped(last)
         now = e.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 20))).first()
         if now == before:
             break

@@ -5,19 +5,22 @@ K = floor(1 - log_b(min)), with b so near 1 that two sets share a register with
 similarity. Registers of a union are the maxima, so sketches merge.
 
 1. Equal sets become one class (a hash of the set), whatever the number of copies.
-2. Bands of registers are hashed to buckets; each class is linked to its bucket's smallest class (a star, never all pairs).
-   Components of these links are families of candidates.
-3. A family is compared in blocks of BLOCK classes, each pair of blocks a group of its own; a pair's similarity is
-   estimated from its registers by maximum likelihood (set sizes known). From the likeliest on, pairs not yet
-   connected are verified on full sets. A group returns a forest of verified links, which has the same components.
-4. Components of verified links give each document its class id.
-
-With threshold 0.85 the bands miss a pair at the threshold with probability under 1e-6; there is no cap on bucket
-or family sizes.
+2. Bands of registers are hashed to buckets. Each class is paired with its bucket's smallest class, the head: a star,
+   whose pairs grow with the classes.
+3. A pair's similarity is estimated from both registers by maximum likelihood, with the set sizes known. Pairs that come
+   near the threshold are verified on full sets. Components of the verified links join most copies.
+4. Buckets whose members (the head aside) still lie in several components are open. Their members of different components
+   are compared by registers, in blocks of BLOCK, and a pair in the first bucket alone that it shares. Pairs of one
+   component need no look, so a bucket of n copies and a few others costs their product and not n * n.
+5. What is likely is verified on full sets in rounds: for each class the likeliest pair with each other component,
+   then 16 times as many, until every pair lies in one component or has been verified. Nothing is left out.
+
+Full sets travel with pairs that are verified and with nothing else. With threshold 0.85 the bands miss a pair at the
+threshold with probability under 1e-6; there is no cap on bucket sizes, partners or rounds.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; a null doc_id stands alone
 (component null, kept); rows with one doc_id and different texts are different documents; repeated rows are one
-class and both have its component; an empty table gives an empty result.
+class and both have its component; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_SEPARATORS, Words, byte_table, column_bytes, mix, passes, separators, windows, within, written
@@ -36,8 +39,12 @@ from .graphs import components
 
 REGISTERS = 280
 BASE, RATE, LEVELS = 1.001, 20.0, (1 << 16) - 2
-BLOCK = 256
-BLOCK_SHINGLES = 1 << 20
+#: Classes of an open bucket that one task compares with as many others.
+BLOCK = 4096
+#: Each round of verification takes so many times the pairs of the one before.
+MORE = 16
+#: Pairs whose likelihood is estimated at once (a hundred doubles each).
+ESTIMATED = 2000
 #: A class with this share of all rows is a hot one; there are at most as many.
 HOT = 1000
 MISS = 1e-6
@@ -101,8 +108,17 @@ def sketch(values: np.ndarray, first: np.ndarray, registers: int = REGISTERS) ->
     return k.astype(np.uint16)
 
 
+def _key(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key, which together tell documents apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _key(F.col("text")).alias("key"))
+
+
 def digests(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, cid (16 bytes that equal sets share; null: no shingles) and registers, as a table."""
+    """doc_id, key (a hash of the text), n_shingles, cid (16 bytes that equal sets share; null: no shingles) and registers, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,27 +136,36 @@ def digests(docs: DataFrame, size: int) -> DataFrame:
                 count.append(n)
                 cid += [both[d].tobytes() if n[d] else None for d in range(b - a)]
                 regs += [k[d].tobytes() if n[d] else None for d in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(count) if count else [], pa.int64()), pa.array(cid, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "cid", "registers"])
+            found = [pa.array(np.concatenate(count) if count else [], pa.int64()), pa.array(cid, pa.binary()), pa.array(regs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *found], names=["doc_id", "key", "n_shingles", "cid", "registers"])
+
+    return written(_keyed(docs).mapInArrow(run, "doc_id long, key long, n_shingles long, cid binary, registers binary"), "set-digests")
+
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(d.mapInArrow(run, "doc_id long, n_shingles long, cid binary, registers binary"), "set-digests")
+def _registers(column: pa.Array) -> np.ndarray:
+    """A row of registers for each of some classes."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), -1)
+
+
+def band_hashes(k: np.ndarray, rows: int) -> np.ndarray:
+    """The bucket of each band (columns) of each class (rows)."""
+    bands = k.shape[1] // rows
+    h = np.zeros((len(k), bands), dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+    part = k[:, : bands * rows].reshape(len(k), bands, rows).astype(np.uint64)
+    for j in range(rows):
+        h = mix(h * np.uint64(0x100000001B3) + part[:, :, j])
+    return h.view(np.int64)
 
 
 def _buckets(classes: DataFrame, rows: int) -> DataFrame:
-    """bucket and fid (the first 8 bytes of cid) of each band of each class."""
+    """bucket and fid (the first 7 bytes of cid) of each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1)
-            bands = k.shape[1] // rows
-            h = np.zeros((batch.num_rows, bands), dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
-            part = k[:, : bands * rows].reshape(batch.num_rows, bands, rows).astype(np.uint64)
-            for j in range(rows):
-                h = mix(h * np.uint64(0x100000001B3) + part[:, :, j])
-            fid = np.repeat(np.array(batch.column(0).to_pylist(), dtype=np.int64), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(fid)], names=["bucket", "fid"])
+            if batch.num_rows:
+                h = band_hashes(_registers(batch.column(1)), rows)
+                fid = np.repeat(batch.column(0).to_numpy(), h.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), pa.array(fid)], names=["bucket", "fid"])
 
     return classes.select("fid", "registers").mapInArrow(run, "bucket long, fid long")
 
@@ -158,125 +183,175 @@ def likeliest(same: np.ndarray, more: np.ndarray, less: np.ndarray, n_a: np.ndar
     return np.take_along_axis(np.broadcast_to(j, score.shape), score.argmax(axis=1)[:, None], axis=1)[:, 0]
 
 
-def links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """A forest of verified links between the blocks i and j of a family (within one block if they are the same)."""
-    group = group.sort_values(["part", "cid"], kind="stable").reset_index(drop=True)
-    n, part = group["n_shingles"].to_numpy(), group["part"].to_numpy()
-    cid = group["cid"].tolist()
-    k = np.frombuffer(b"".join(group["registers"]), dtype=np.uint16).reshape(len(group), -1).astype(np.int32)
-    sets = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
-    cross = bool(group["i"].iloc[0] != group["j"].iloc[0]) if len(group) else False
+def _guesses(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
+    """The likeliest similarity of each pair of rows of registers."""
+    same, more = (x == y).sum(axis=1), (x > y).sum(axis=1)
+    return likeliest(same, more, x.shape[1] - same - more, n_x.astype(float), n_y.astype(float))
+
+
+def _alike(n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether two sets of these sizes can be similar enough."""
+    return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a and b (cids) of the pairs (fids a and b) whose estimate comes near the threshold."""
+    least = percent / 100 - MARGIN
+    for c in ("a", "b"):
+        own = classes.select(F.col("fid").alias(c), F.col("cid").alias(f"c{c}"), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
+        pairs = pairs.join(own, c)
+    pairs = pairs.filter(_alike(F.col("na"), F.col("nb"), percent)).select("ca", "cb", "na", "nb", "ra", "rb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, ESTIMATED):
+                batch = whole.slice(k, ESTIMATED)
+                n_a, n_b = (batch.column(c).to_numpy() for c in (2, 3))
+                ok = _guesses(_registers(batch.column(4)), _registers(batch.column(5)), n_a, n_b) >= least
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    return pairs.mapInArrow(run, "a binary, b binary")
+
+
+def compared(group: pd.DataFrame, percent: int, rows: int) -> pd.DataFrame:
+    """Likely pairs of different components between the parts i and j of a bucket (within one part if they are the same)."""
     least = percent / 100 - MARGIN
-    xs, ys, same, more = [], [], [], []
+    group = group.sort_values("cid", kind="stable").reset_index(drop=True)
+    n, part, label = group["n_shingles"].to_numpy(), group["part"].to_numpy(), pd.factorize(group["label"])[0]
+    k = np.frombuffer(b"".join(group["registers"]), dtype=np.uint16).reshape(len(group), -1)
+    band = int(np.flatnonzero(band_hashes(k[:1], rows)[0] == group["bucket"].iloc[0])[0])
+    across = group["i"].iloc[0] != group["j"].iloc[0]
+    xs, ys, guess = [], [], []
     for x in range(len(group) - 1):
         y = np.arange(x + 1, len(group))
-        y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
-        if cross:
-            y = y[part[y] != part[x]]
-        if len(y):
-            eq = (k[y] == k[x]).sum(axis=1)
-            ok = eq >= (least - 0.05) * k.shape[1]
-            y, eq = y[ok], eq[ok]
-            xs.append(np.full(len(y), x))
-            ys.append(y)
-            same.append(eq)
-            more.append((k[x] > k[y]).sum(axis=1))
-    edges: list[tuple[bytes, bytes]] = []
-    if xs:
-        xs, ys, same, more = (np.concatenate(v) for v in (xs, ys, same, more))
-        guess = np.zeros(len(xs))
-        for a in range(0, len(xs), 2000):  # a hundred doubles a pair
-            s = slice(a, a + 2000)
-            guess[s] = likeliest(same[s], more[s], k.shape[1] - same[s] - more[s], n[xs[s]].astype(float), n[ys[s]].astype(float))
-        root = list(range(len(group)))
-
-        def find(v: int) -> int:
-            while root[v] != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        for e in np.argsort(-guess, kind="stable").tolist():
-            if guess[e] < least:
-                break
-            x, y = int(xs[e]), int(ys[e])
-            p, q = find(x), find(y)
-            if p == q:
-                continue
-            small, large = (sets[x], sets[y]) if len(sets[x]) <= len(sets[y]) else (sets[y], sets[x])
-            at = np.searchsorted(large, small)
-            both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            if 100 * both >= percent * (len(small) + len(large) - both):
-                root[p] = q
-                edges.append((cid[x], cid[y]))
-    return pd.DataFrame(edges, columns=["a", "b"])
-
-
-def _members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """wanted(doc_id, cid, ...) with the full set of each class, from the text of its smallest document."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    d = d.join(wanted, "doc_id").select("text", *[c for c in wanted.columns if c != "doc_id"])
-    names = d.columns[1:]
+        ok = (label[y] != label[x]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        if across:
+            ok &= part[y] != part[x]
+        y = y[ok]
+        if not len(y):
+            continue
+        same = k[y] == k[x]
+        before = same[:, : band * rows].reshape(len(y), band, rows).all(axis=2).any(axis=1)
+        y = y[~before & (same.sum(axis=1) >= (least - 0.05) * k.shape[1])]
+        for s in range(0, len(y), ESTIMATED):
+            some = y[s : s + ESTIMATED]
+            g = _guesses(np.broadcast_to(k[x], (len(some), k.shape[1])), k[some], np.full(len(some), n[x]), n[some])
+            xs.append(np.full((g >= least).sum(), x))
+            ys.append(some[g >= least])
+            guess.append(g[g >= least])
+    xs, ys, guess = (np.concatenate(v) if v else np.zeros(0, int) for v in (xs, ys, guess))
+    cid = group["cid"].to_numpy()
+    return pd.DataFrame({"a": cid[xs], "b": cid[ys], "guess": guess.astype(float)})
+
+
+def _open_pairs(classes: DataFrame, bands: DataFrame, full: DataFrame, labels: DataFrame, percent: int, rows: int) -> DataFrame:
+    """a, b, guess: likely pairs of different components in buckets of several components, heads aside."""
+    of = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("fid", "cid", F.coalesce("label", "cid").alias("label"))
+    members = bands.join(full.filter("n > 2"), "bucket").filter("fid <> head").select("bucket", "fid").join(of, "fid")
+    counts = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    opened = counts.filter("labels > 1").select("bucket", F.col("most.label").alias("main"), parts(F.col("most.n")).alias("mains"), parts(F.col("n") - F.col("most.n")).alias("others"))
+    d = members.join(opened, "bucket").join(classes.select("cid", "n_shingles", "registers"), "cid")
+    # the largest component's parts meet the others' only
+    main, h = F.col("label") == F.col("main"), F.xxhash64("cid")
+    d = d.withColumn("part", F.when(main, F.pmod(h, F.col("mains"))).otherwise(F.col("mains") + F.pmod(h, F.col("others"))).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.when(main, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)))
+    d = d.select("bucket", "cid", "label", "n_shingles", "registers", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    return d.groupBy("bucket", "i", "j").applyInPandas(lambda g: compared(g, percent, rows), "a binary, b binary, guess double")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """cid and the full set of each class of wanted(cid, rep), from the text of its first document."""
+    wanted = wanted.select("cid", "rep.doc_id", "rep.key")
+    # repeated rows become one before their text is read
+    d = _keyed(docs).join(wanted, ["doc_id", "key"]).groupBy("doc_id", "key", "cid").agg(F.first("text").alias("text")).select("cid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = column_bytes(batch.column(0))
-            blobs, keep = [], []
-            cids = batch.column(1 + names.index("cid")).to_pylist()
+            raw, offsets = column_bytes(batch.column(1))
             for a, b in passes(offsets):
                 values, first = shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                for i in range(b - a):
-                    own = values[first[i] : first[i + 1]]
-                    # a row of the same doc_id may have another text
-                    own_cid = b"".join(mix((mix(own + np.uint64(s)).sum(dtype=np.uint64) + np.uint64(len(own)))[None]).tobytes() for s in (11, 13))
-                    keep.append(own_cid == cids[a + i])
-                    blobs.append(own.tobytes())
-            out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(blobs, pa.binary())], names=[*names, "shingles"])
-            yield out.filter(pa.array(keep, pa.bool_()))
+                own = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), own], names=["cid", "shingles"])
+
+    return d.mapInArrow(run, "cid binary, shingles array<long>")
 
-    return d.mapInArrow(run, d.drop("text").schema.add("shingles", "binary")).dropDuplicates(["cid"])
 
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs(a, b) of classes whose full sets are similar enough."""
+    pairs = written(pairs.select("a", "b"), "likely-pairs")
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    sets = written(_sets(docs, classes.join(wanted, "cid"), size), "full-sets")
+    for c in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"s{c}")), c)
+    both = F.size(F.array_intersect("sa", "sb"))
+    return written(pairs.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
 
-def _with_component(digest: DataFrame, of: DataFrame) -> DataFrame:
-    """digest with the component of its class. Classes of at least an HOT-th of all rows, HOT at most, are broadcast, so no task gets all copies of one text."""
+
+def _with_first(digest: DataFrame, of: DataFrame) -> DataFrame:
+    """digest with the first document of its class's component. Classes of at least an HOT-th of all rows, HOT at most, are broadcast, so no task gets all copies of one text."""
     of = written(of, "set-components")
     least = max(1, digest.count()) / HOT
-    hot = F.broadcast(of.filter(F.col("copies") >= least).select("cid", F.col("component").alias("hot")))
+    hot = F.broadcast(of.filter(F.col("copies") >= least).select("cid", F.col("first").alias("hot")))
     d = digest.join(hot, "cid", "left")
     rest = d.filter("hot is null").drop("hot").join(of.filter(F.col("copies") < least).drop("copies"), "cid", "left")
-    return d.filter("hot is not null").withColumnRenamed("hot", "component").select(rest.columns).union(rest)
+    return d.filter("hot is not null").withColumnRenamed("hot", "first").select(rest.columns).union(rest)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document: links at 100 * intersection >= percent * union."""
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, key and n_shingles of each row, and first: doc_id and key of the first document of its group (null: no member of any)."""
     digest = digests(docs, size)
-    classes = digest.filter("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.count("*").alias("copies"))
+    classes = digest.filter("cid is not null and doc_id is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.count("*").alias("copies"))
     fid = F.conv(F.hex(F.substring("cid", 1, 7)), 16, 10).cast("long")
     classes = written(classes.withColumn("fid", fid), "set-classes")
-    bands = _buckets(classes, rows_per_band(percent / 100))
-    full = written(bands.groupBy("bucket").agg(F.min("fid").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"), "buckets")
-    family = components(bands.join(full, "bucket").select(F.col("fid").alias("a"), F.col("head").alias("b")))
-    family = family.select(F.col("node").alias("fid"), "label")
-    wanted = classes.join(family, "fid")
-    sizes = wanted.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    wanted = wanted.join(sizes.filter("n > 1").select("label", blocks.alias("blocks")), "label")
-    wanted = wanted.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    sets = _members(docs, wanted.select(F.col("rep").alias("doc_id"), "cid", "n_shingles", "registers", "label", "blocks", "part"), size)
-    groups = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other", "blocks")
-    found = groups.groupBy("label", "i", "j").applyInPandas(lambda g: links(g, percent), "a binary, b binary")
+    rows = rows_per_band(percent / 100)
+    bands = _buckets(classes, rows)
+    full = written(bands.groupBy("bucket").agg(F.min("fid").alias("head"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    star = bands.join(full, "bucket").filter("fid <> head").select(F.col("fid").alias("a"), F.col("head").alias("b")).distinct()
+    found = verified(docs, _likely(star, classes, percent), classes, size, percent)
     labels = components(found)
+    left, most = written(_open_pairs(classes, bands, full, labels, percent, rows), "open-pairs"), 1
+    while True:
+        for c in ("a", "b"):
+            left = left.drop(f"l{c}").join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+        nth = F.row_number().over(Window.partitionBy("a", "lb").orderBy(F.desc("guess"), "b"))
+        left = written(left.filter("la <> lb").withColumn("nth", nth), "pairs-left")
+        if left.isEmpty():
+            break
+        found = found.union(verified(docs, left.filter(F.col("nth") <= most), classes, size, percent))
+        left, most = left.filter(F.col("nth") > most).drop("nth"), most * MORE
+        labels = components(found)
     classes = classes.select("cid", "rep", "copies")
     linked = labels.select(F.col("node").alias("cid"), "label").join(classes, "cid")
-    least = linked.groupBy("label").agg(F.min("rep").alias("component"))
-    of = classes.join(linked.select("cid", "label").join(least, "label").select("cid", "component"), "cid", "left")
-    of = of.select("cid", "copies", F.coalesce("component", "rep").alias("component"))
-    out = _with_component(digest.drop("registers"), of)
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    first = linked.groupBy("label").agg(F.min("rep").alias("first"))
+    of = classes.join(linked.select("cid", "label").join(first, "label").select("cid", "first"), "cid", "left")
+    of = of.select("cid", "copies", F.coalesce("first", "rep").alias("first"))
+    member = F.col("doc_id").isNotNull() & F.col("cid").isNotNull()
+    return _with_first(digest.drop("registers"), of).select("doc_id", "key", "n_shingles", F.when(member, F.col("first")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each document: links at 100 * intersection >= percent * union."""
+    component = F.coalesce("first.doc_id", "doc_id")
+    return grouped(docs, size, percent).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group, its smallest; rows alike in every column are one document."""
-    gone = near_duplicates(docs, size, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    """docs with one row of each group: its first document, by doc_id and then by a hash of the text.
+
+    Rows are told apart by doc_id and text, so a text that shares its doc_id with a copy stays. Rows alike in both are one
+    document, of which the row stays whose other columns have the smallest hash; rows without doc_id are compared with
+    nothing else. Columns keep their names and values, whatever they are called.
+    """
+    members = written(grouped(docs, size, percent), "groups")
+    gone = members.filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("key") != F.col("first.key"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    same = lambda d, rows: d["doc_id"].cast("long").eqNullSafe(rows["_id"]) & (_key(d["text"]) == rows["_key"])
+    out = docs.join(gone, same(docs, gone), "left_anti")
+    again = written(members.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated-rows")
+    if again.isEmpty():
+        return out
+    kinds = {f.name: f.dataType.typeName() for f in docs.schema}
+    others = F.xxhash64(*[F.col(f"`{c}`") for c, kind in kinds.items() if kind not in ("map", "variant")])
+    several = out.join(again, same(out, again), "left_semi")
+    first = several.groupBy("doc_id", "text").agg(F.min_by(F.struct(*[several[f"`{c}`"] for c in docs.columns]), others).alias("_row"))
+    return out.join(again, same(out, again), "left_anti").union(first.select("_row.*"))
