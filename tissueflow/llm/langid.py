@@ -12,8 +12,9 @@ Symbols are lower-case letters; all else is one separator. Every letter of the s
 letters that no sample holds never match.
 
 Defined results: a null text or one without a letter is "und" with score 0; with no labelled rows everything is
-"und"; ties go to the smaller name; repeated rows get equal results; an empty table gives an empty result;
-columns other than those named are ignored.
+"und"; ties go to the smaller name; repeated rows get equal results; an empty table gives an empty result. In
+predicted(), columns of docs that clash with the added names are replaced; accepted() returns every column of docs as it
+was, whatever its name.
 """
 
 from __future__ import annotations
@@ -55,7 +56,6 @@ def training_text(labelled: DataFrame) -> dict[str, str]:
     return {lang: " ".join(t) for lang, t in sorted(out.items())}
 
 
-
 class Alphabet:
     """A class for each code point: 0 separator, 1 a letter of no sample, from 2 on the letters of the samples."""
 
@@ -242,7 +242,9 @@ def predicted(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
 
 def accepted(docs: DataFrame, texts: dict[str, str], most_rate: float = 0.6) -> DataFrame:
     """The documents that read as one of the languages: a letter at least, and phrases of 1 / most_rate symbols on average."""
-    return predicted(docs, texts).filter((F.col("lang_pred") != UNKNOWN) & (F.col("phrase_rate") <= most_rate)).select(*docs.columns)
+    own = [c if c == "text" else f"_column{k}" for k, c in enumerate(docs.columns)]  # no clash with added names
+    kept = predicted(docs.toDF(*own), texts).filter((F.col("lang_pred") != UNKNOWN) & (F.col("phrase_rate") <= most_rate))
+    return kept.select(*own).toDF(*docs.columns)
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

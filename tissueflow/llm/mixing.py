@@ -8,8 +8,9 @@ The cut in that order is found without sorting a source in one task: words are s
 and only the step that holds the cut is put in order.
 
 Defined results: a null text has size 0; null sources are one source, last in order; rows alike in doc_id and
-text share their random number and are taken together; an empty table gives an empty result; columns of docs
-that clash with the added names are replaced. The random numbers hash doc_id and text, so reruns agree.
+text share their random number and are taken together; an empty table gives an empty result. In mixed(), columns of docs
+that clash with the added names are replaced; repeated() returns every column of docs as it was, whatever its name. The
+random numbers hash doc_id and text, so reruns agree.
 """
 
 from __future__ import annotations
@@ -102,4 +103,6 @@ def mixed(docs: DataFrame, ratios: Sequence[float] = (3, 1, 2), share: float = 1
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
-    return mixed(docs, **options).filter("times > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    own = [c if c in ("doc_id", "text", "source") else f"_column{k}" for k, c in enumerate(docs.columns)]  # no clash with added names
+    taken = mixed(docs.toDF(*own), **options).filter("times > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return taken.select(*own).toDF(*docs.columns)
