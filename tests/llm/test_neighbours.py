@@ -54,3 +54,26 @@ def test_walk_is_in_order():
     cells = nn.walk(da, db, counts, np.inf)
     sums = [da[i] + db[j] for i, j in cells]
     assert sums == sorted(sums) and len(cells) == (counts > 0).sum()
+
+
+def test_recall_on_a_given_table(spark):
+    """Ids divisible by 100 against all rows of sf0.1, a fifth of the vectors probed."""
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    got = {(r["query_id"], r["vec_id"]) for r in nn.nearest(spark.read.parquet(path), F.col("id") % 100 == 0).collect()}
+    r = duckdb.connect().execute(f"select vec_id, embedding from '{path}'").fetchnumpy()
+    ids, v = r["vec_id"], np.array([list(x) for x in r["embedding"]], dtype=float)
+    want = nn.brute_force(ids, v, ids[ids % 100 == 0], 5)
+    assert nn.PROBED <= 0.2 and sum(x in got for x in zip(want["query_id"], want["vec_id"], strict=True)) >= 0.9 * len(want)
+
+
+def test_scores_do_not_depend_on_the_walk(spark, monkeypatch):
+    """With all vectors probed the answer is the exact one, over several chunks and packs."""
+    monkeypatch.setattr(nn, "CHUNK", 20)
+    monkeypatch.setattr(nn, "PACK", 4)
+    rng = np.random.default_rng(7)
+    v = np.round(rng.normal(size=(600, 6)), 1)
+    v[np.abs(v).sum(axis=1) == 0] = 1.0
+    d = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    want = nn.brute_force(np.arange(600), v, np.arange(0, 600, 50), 5)
+    for cells in (1, 7, 64):
+        assert [g[:3] for g in rows_of(d, probed=1.0, cells=cells)] == [tuple(x)[:3] for x in want.itertuples(index=False)]

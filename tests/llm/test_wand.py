@@ -10,16 +10,16 @@ import numpy as np
 from tissueflow.llm import decontamination as dc
 
 LONG = """
-import random, resource, sys
+import itertools, random, resource, sys
 from tissueflow.llm import decontamination as dc
 from tissueflow.llm.common import Words
 import numpy as np
 rng = random.Random(1)
 vocab = [f"w{k}" for k in range(30000)]
-weights = [1 / (j + 1) for j in range(30000)]
-items = [(k, " ".join(rng.choices(vocab, weights, k=12))) for k in range(20000)]
+weights = list(itertools.accumulate(1 / (j + 1) for j in range(30000)))
+items = [(k, " ".join(rng.choices(vocab, cum_weights=weights, k=12))) for k in range(20000)]
 index = dc.Index(items)
-words = rng.choices(vocab, weights, k=int(sys.argv[1]) // 5)
+words = rng.choices(vocab, cum_weights=weights, k=int(sys.argv[1]) // 5)
 words[1000:1000] = items[77][1].split()
 raw = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
 got = {i for _, i, *_ in index.leaks(Words(raw, np.array([0, len(raw)]), dc._NOT_WORD), dc.THRESHOLD, dc.OVERLAP)}
