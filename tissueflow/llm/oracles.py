@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .licenses import CONTAINMENT, PHRASES, TEMPLATES, template_words
-from .secrets import KINDS, MAX_OWNERS, MIN_VALUE, OWNED
+from .secrets import KINDS, MAX_DOCS, MAX_OWNERS, MIN_VALUE, OWNED
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -36,8 +36,8 @@ def _op5() -> str:
     return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, source, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(parts)}),
     x AS (SELECT r, doc_id, source, kind, v[i] AS v, CAST({size.format("g[1:i]")} + {size.format("h[1:i - 1]")} AS BIGINT) AS a, length(h[i]) AS len FROM m),
     e AS (SELECT *, a + len AS b FROM x WHERE (kind > 0 OR length(v) >= {MIN_VALUE}) AND (kind < {len(KINDS)} OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')))),
-    o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM e GROUP BY 1),
-    f AS (SELECT e.*, owners <= {MAX_OWNERS} AS live FROM e JOIN o ON e.v = o.v),
+    o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT [coalesce(source, chr(0)), coalesce(CAST(doc_id AS VARCHAR), 'row ' || r)]) AS docs FROM e GROUP BY 1),
+    f AS (SELECT e.*, owners <= {MAX_OWNERS} AND docs <= {MAX_DOCS} AS live FROM e JOIN o ON e.v = o.v),
     k AS (SELECT *, kind < {len(KINDS)} OR (live AND NOT EXISTS (SELECT 1 FROM f q WHERE q.r = f.r AND q.kind < {len(KINDS)} AND q.a <= f.a AND f.b <= q.b)) AS shown FROM f)
     SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = {j}) AS n_{n}" for j, n in enumerate(KINDS))},
     sha256(coalesce(string_agg({text}, ',' ORDER BY a, kind) FILTER (kind < {len(KINDS)}), '')) AS base_sha256, coalesce(string_agg({text}, ',' ORDER BY a, kind) FILTER (shown), '') AS spans,
