@@ -60,3 +60,34 @@ def test_runs_against_a_plain_search(spark):
         want.add((k, ",".join(sorted(labels | base)), 1.0 if base else round(score, 9)))
     got = {(r["doc_id"], r["labels"], round(r["score"], 9)) for r in licenses.licenses(docs).collect()}
     assert got == want and 10 < sum(bool(x[1]) for x in want) < 60
+
+
+def test_sql_knows_wrapped_notices(spark, tmp_path):
+    """The query's SQL on notices wrapped over lines, changed by some words, between other text."""
+    import duckdb
+
+    from tissueflow.llm import oracles, queries
+
+    rng = random.Random(9)
+    rows = []
+    for k in range(80):
+        words = [w for w in rng.choice(licenses.TEMPLATES)[1].split() if rng.random() < 0.93]
+        rows.append((k, "Some words of the text.\n" * rng.randrange(4) + wrapped(" ".join(words), rng.randint(2, 9)) + "\nand more of it", "en", "s", 1))
+    rows += [(100, None, None, None, 1), (101, "", "en", "s", 1)]
+    spark.createDataFrame(rows, DOCUMENTS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    q = c.execute(oracles.OP9)
+    columns = [d[0] for d in q.description]
+    rounded = lambda rows: sorted(tuple(str(round(v, 9)) if isinstance(v, float) else str(v) for v in r) for r in rows)
+    got = rounded(map(tuple, queries.op9_licenses(spark, str(tmp_path)).select(*columns).collect()))
+    assert got == rounded(q.fetchall()) and sum(r[columns.index("labels")] != "" for r in got) > 40
+
+
+def test_positional_filter_drops_no_pair_and_some_candidates(spark):
+    """Blocks that share a rare word too late are dropped before they are counted; those that reach the threshold never are."""
+    template = "alpha beta gamma delta epsilon"
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta x"), (2, "delta epsilon alpha y"), (3, "epsilon delta gamma beta alpha")], "doc_id long, text string")
+    p = licenses.Prefixes(docs, [("t", template)], 0.8)
+    got = {r["key"]: r["score"] for r in licenses.containment_join(docs, [("t", template)]).collect()}
+    assert sorted(got.values()) == [0.8, 1.0] and p.least == 4 and len(p.near) == 2

@@ -48,3 +48,39 @@ def test_occurrences(spark, odd, tmp_path):
     found = token_output.occurrences(spark, path, token_output.END_ID)
     assert found.count() == odd.count()
     assert found.distinct().count() == odd.count()
+
+
+def test_another_tokenizer_file_is_encoded_whole(spark, odd_rows, tmp_path):
+    """A file whose normalisation or splitting is not the known one must not take the path by words."""
+    import json
+
+    import pyarrow as pa
+
+    file = json.loads(open(PATH, encoding="utf-8").read())
+    texts = [t or "" for _, t, *_ in odd_rows if len(t or "") < 1000]
+    assert token_output.Encoder(PATH).by_word
+    changes = {"normalizer": {"type": "NFC"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+    for key, value in changes.items():
+        other = tmp_path / f"{key}.json"
+        other.write_text(json.dumps(file | {key: value}), encoding="utf-8")
+        enc, library = token_output.Encoder(str(other)), Tokenizer.from_file(str(other))
+        ids, n = enc(pa.array(texts))
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert not enc.by_word and ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+
+
+def test_words_are_remembered_in_two_generations():
+    import pyarrow as pa
+
+    enc, library, rng = token_output.Encoder(PATH), Tokenizer.from_file(PATH), random.Random(3)
+    enc.known.most = 50
+    texts = [" ".join(rng.choice(["don't", "l'été&'s", "ab12", "x", "'&a", "&&'s", "5's", "w" + str(rng.randint(0, 99))]) for _ in range(30)) + rng.choice(["", " ", "\n"]) for _ in range(40)]
+    for part in (pa.array(texts), pa.array(["zz", *texts]).slice(1)):
+        ids, n = enc(part)
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+
+
+def test_small_blocks(spark, odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(token_output, "BLOCK_TOKENS", 7)
+    check(odd, odd_rows)

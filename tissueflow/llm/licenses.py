@@ -3,9 +3,10 @@
 Blocks of text are joined with license templates by containment: at least CONTAINMENT of a template's distinct
 words stand in the block. Blocks are lines and, for notices wrapped over several lines, all runs of consecutive
 words twice as long as the template. Template words are put in order of their frequency in the whole corpus,
-rarest first. A block that reaches the threshold must hold one of the first |T| - need + 1 words (prefix filter), have at least
-need distinct words (length filter), and, where its first shared word is the template's i-th, |T| - i must still
-reach need (positional filter). What passes is counted exactly.
+rarest first, and a block's words that stand in any template follow the same order. Of a block B that reaches the threshold of
+a template T, the first shared word is among the first |T| - need + 1 words of T and |B| - need + 1 of B (prefix filters), B has
+need words or more (length filter), and where that word is T's i-th and B's j-th, as many must be left on both sides, so
+|T| - i and |B| - j reach need (positional filter). What passes is counted exactly.
 
 Base labels are places where a phrase's words stand consecutively, found in the text with its separators made
 single spaces.
@@ -44,6 +45,21 @@ TEMPLATES = [
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
+    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("gfdl", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License"),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("bsl-1", "Distributed under the Boost Software License, Version 1.0"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("ofl", "This Font Software is licensed under the SIL Open Font License, Version 1.1"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
 ]
 _WORD = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,11 +114,11 @@ def _some(near: list[str]) -> str:
 
 
 def blocks(docs: DataFrame, near: list[str]) -> DataFrame:
-    """key, block and the distinct words of each line that holds one of the words in near."""
+    """key, block and the words of each line that holds one of the words in near."""
     some = _some(near)
     d = docs.select(_key().alias("key"), lowered(F.coalesce("text", F.lit(""))).alias("t")).filter(F.col("t").rlike(some))
     d = d.select("key", F.posexplode(F.split("t", "\n", -1)).alias("block", "line")).filter(F.col("line").rlike(some))
-    return d.select("key", "block", F.array_distinct(F.split(spaced(F.col("line")), " ", -1)).alias("words"))
+    return d.select("key", "block", F.split(spaced(F.col("line")), " ", -1).alias("words"))
 
 
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -117,20 +133,27 @@ class Prefixes:
 
     def __init__(self, docs: DataFrame, templates: list[tuple[str, str]], threshold: float):
         sets = [(label, template_words(t), RUN * len(re.findall(_WORD, t))) for label, t in templates]
-        count = frequencies(docs, sorted({w for _, s, _ in sets for w in s}))
+        vocabulary = sorted({w for _, s, _ in sets for w in s})
+        count = frequencies(docs, vocabulary)
+        self.order = sorted(vocabulary, key=lambda w: (count[w], w))
+        place = {w: k for k, w in enumerate(self.order)}
         rows = []
         for k, (label, s, run) in enumerate(sets):
-            order = sorted(s, key=lambda w: (count[w], w))
+            order = sorted(s, key=place.__getitem__)
             need = math.ceil(threshold * len(order) - 1e-9)
             rows += [(k, label, w, i, order, need, run) for i, w in enumerate(order[: len(order) - need + 1])]
         self.table = docs.sparkSession.createDataFrame(rows, "template int, label string, word string, i int, ordered array<string>, need int, run int")  # as large as the templates
         self.near = sorted({r[2] for r in rows})
         self.longest = max((r[6] for r in rows), default=1)
+        self.least = min((r[5] for r in rows), default=1)
 
     def pairs(self, words: DataFrame) -> DataFrame:
-        """Rows with words (distinct) and each template of which they hold as many words as it needs, each pair once."""
-        held = words.select("*", F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in self.near]))).alias("word"))
-        pairs = held.join(F.broadcast(self.table), "word").filter((F.size("words") >= F.col("need")) & (F.size("ordered") - F.col("i") >= F.col("need")))
+        """Rows with words and each template of which they hold as many words as it needs, each pair once."""
+        # of the words only those of a template count; array_intersect keeps the order of its first array
+        block = words.withColumn("words", F.array_intersect(F.array(*[F.lit(w) for w in self.order]), "words")).filter(F.size("words") >= self.least)
+        held = block.select("*", F.posexplode(F.slice("words", F.lit(1), F.size("words") - (self.least - 1))).alias("j", "word"))
+        left = F.least(F.size("ordered") - F.col("i"), F.size("words") - F.col("j"))
+        pairs = held.join(F.broadcast(self.table), "word").filter((F.size("words") >= F.col("need")) & (left >= F.col("need")))
         shared = F.array_intersect("ordered", "words")
         return pairs.filter((F.size(shared) >= F.col("need")) & (F.get(shared, F.lit(0)) == F.col("word")))
 
@@ -157,7 +180,7 @@ def _over_lines(docs: DataFrame, p: Prefixes) -> DataFrame:
     places = F.sequence(F.lit(1), F.size("all"), F.lit(STEP))
     d = d.select("key", F.transform(places, lambda k: F.slice("all", k, STEP + p.longest - 1)).alias("stretches"))
     d = d.select("key", F.explode("stretches").alias("stretch")).filter(F.arrays_overlap("stretch", F.array(*[F.lit(w) for w in p.near])))
-    pairs = p.pairs(d.select("key", "stretch", F.array_distinct("stretch").alias("words")))
+    pairs = p.pairs(d.select("key", "stretch", F.col("stretch").alias("words")))
     begin = F.filter(F.sequence(F.lit(1), F.least(F.lit(STEP), F.size("stretch"))), lambda k: F.array_contains("ordered", F.get("stretch", k - 1)))
     overlap = F.array_max(F.transform(begin, lambda k: F.size(F.array_intersect("ordered", F.slice("stretch", k, F.col("run"))))))
     return pairs.select("key", "label", "ordered", "need", overlap.alias("n")).filter(F.col("n") >= F.col("need")).select("key", "label", (F.col("n") / F.size("ordered")).alias("score"))

@@ -1,8 +1,8 @@
 """Operator 1, token-ID output: each shard is one compressed Parquet file of wavelet-matrix blocks.
 
-The documents are range-partitioned by doc_id (the only shuffle), each partition encodes its texts in order and
-writes blocks of about BLOCK_TOKENS ids at document borders. Spark's writer commits the files, so a lost or
-repeated task leaves no half-written shard, and any store that Spark reaches will do.
+The documents are range-partitioned by doc_id (the only shuffle) into shards of about SHARD_BYTES of text, each shard encodes
+its texts in order and writes blocks of about BLOCK_TOKENS ids at document borders (a longer document is a block of its own).
+Spark's writer commits the files, so a lost or repeated task leaves no half-written shard, and any store that Spark reaches will do.
 
 Defined results: a null text is an empty document (the end id alone); a null doc_id sorts first; equal doc_ids
 stay separate documents, ordered by text; columns other than doc_id and text are ignored; an empty table gives
@@ -11,30 +11,39 @@ no blocks.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import column_bytes, passes, shared_folder
 from .wavelet import WaveletMatrix
 
 BLOCK_TOKENS = 1 << 19
-#: Words, and pre-tokens, that a worker remembers before it starts anew.
-REMEMBERED = 250_000
+SHARD_BYTES = 1 << 27
+#: Bytes of text whose words are looked up together, each distinct one once.
+ENCODED_BYTES = 1 << 22
+#: Words that a worker remembers in each of two generations: what the newer one lacks is first looked for in the older.
+REMEMBERED = 300_000
 END_ID = 1
 
 BLOCKS = "shard int, block int, first long, n_tokens long, bits int, planes array<binary>, zeros array<long>, ranks array<binary>, doc_ids array<long>, doc_tokens array<long>"
 
-# The split pattern of the tokenizer file, with its letters narrowed to those of SIMPLE.
+# What the tokenizer file must say of normalisation and splitting for words to be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+# The same split pattern, with its letters narrowed to those of SIMPLE.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\x0b\x0c\r0-9a-zß-öø-ÿ]+")
-#: Texts of these characters only: no normalisation changes them but lower case, and str.split cuts where the tokenizer sees white space.
-_SIMPLE = re.compile("[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]*")
+#: Texts without such a character: no normalisation changes them but lower case, and white space is where the tokenizer sees it.
+_NOT_SIMPLE = "[^\\x00-\\x1b\\x20-\\x7fÀ-ÖØ-öø-ÿ]"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -44,11 +53,31 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
 
 
+class Known(dict):
+    """The ids of words, as bytes; an unknown word is encoded and remembered."""
+
+    def __init__(self, encode: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.encode, self.most, self.older = encode, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.older.get(word)
+        if got is None:
+            parts = _SPLIT.findall(word)
+            got = self.encode(word) if parts == [word] else b"".join([self[p] for p in parts])
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[word] = got
+        return got
+
+
 class Encoder:
     """The tokenizers library, asked once for each distinct pre-token.
 
     BPE never crosses a pre-token and no pre-token crosses white space, so the ids of a text are those of its words
-    in order, and those of a word are those of its pre-tokens. Texts with characters outside SIMPLE go to the library whole.
+    in order, and those of a word are those of its pre-tokens. Texts with characters outside SIMPLE go to the library whole,
+    and so do all texts if the file's normalisation or splitting is another.
     """
 
     def __init__(self, path: str):
@@ -56,7 +85,10 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.bits = max(1, (self.whole.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.model, self.letters, self.parts, self.words = self.whole.model, _byte_letters(), {}, {}
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.by_word = file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]} and file["model"]["type"] == "BPE" and not file["model"].get("dropout")
+        self.model, self.letters, self.known = self.whole.model, _byte_letters(), Known(self._part, REMEMBERED)
         self.four = [k.to_bytes(4, "little") for k in range(1 << self.bits)]
         self.added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
 
@@ -64,32 +96,31 @@ class Encoder:
         letters = part.encode().decode("latin-1").translate(self.letters)
         return b"".join([self.four[t.id] for t in self.model.tokenize(letters)])
 
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        low = text.lower()
-        if not _SIMPLE.fullmatch(text) or any(a in low for a in self.added):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words, known = low.split(), self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
-            return b"".join(map(known.__getitem__, words))
-
-    def _word(self, word: str) -> bytes:
-        out, parts = [], self.parts
-        if len(parts) > REMEMBERED:
-            parts.clear()
-        for p in _SPLIT.findall(word):
-            got = parts.get(p)
-            if got is None:
-                got = parts[p] = self._part(p)
-            out.append(got)
-        return b"".join(out)
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each text has."""
+        low = pc.utf8_lower(texts)
+        odd = pc.match_substring_regex(texts, _NOT_SIMPLE) if self.by_word else pa.array(np.ones(len(texts), dtype=bool))
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(low, token))
+        words = pc.ascii_split_whitespace(pc.if_else(odd, "", low))
+        first = words.offsets.to_numpy()
+        found = words.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
+        ids = list(map(self.known.__getitem__, found.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        of = found.indices.to_numpy()
+        n = sizes[of]
+        ends = np.cumsum(n)
+        flat = flat[np.arange(int(n.sum())) + np.repeat((np.cumsum(sizes) - sizes)[of] - (ends - n), n)]
+        counts = np.diff(np.concatenate([[0], ends])[first - first[0]])
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(odd):
+            return flat, counts
+        pieces = np.split(flat, np.cumsum(counts)[:-1])
+        for k in odd.tolist():
+            pieces[k] = np.array(self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, dtype="<u4")
+            counts[k] = len(pieces[k])
+        return np.concatenate(pieces), counts
 
 
 def _encoder(path: str, kept: dict = {}) -> Encoder:  # noqa: B006  one for each worker process
@@ -101,30 +132,40 @@ def _encoder(path: str, kept: dict = {}) -> Encoder:  # noqa: B006  one for each
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None) -> None:
     """Write the ids of docs(doc_id, text) to path, in ascending doc_id order over the shards."""
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = np.array([end_id], dtype="<u4").tobytes()
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = _encoder(tokenizer), TaskContext.get().partitionId()
-        block, first, parts, ids, sizes = 0, 0, [], [], []
+        bits = max(enc.bits, int(end_id).bit_length())
+        block, first, waiting, parts, ids, sizes = 0, 0, 0, [], [], []
 
         def flush() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(parts), dtype="<u4")
-            wm = WaveletMatrix.build(flat, max(enc.bits, int(end_id).bit_length()))
-            row = [shard, block, first, len(flat), wm.bits, [p.tobytes() for p in wm.planes], wm.zeros, [s.tobytes() for s in wm.samples], ids, sizes]
+            flat = np.concatenate(parts)
+            wm = WaveletMatrix.build(flat, bits)
+            row = [shard, block, first, len(flat), wm.bits, [p.tobytes() for p in wm.planes], wm.zeros, [s.tobytes() for s in wm.samples], np.concatenate(ids), np.concatenate(sizes)]
             return pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(row, _ARROW, strict=True)], names=_NAMES)
 
-        waiting = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = enc(text.as_py() or "") + end
-                parts.append(got)
-                ids.append(doc_id)
-                sizes.append(len(got) // 4)
-                waiting += len(got) // 4
-                if waiting >= BLOCK_TOKENS:
-                    yield flush()
-                    block, first, waiting, parts, ids, sizes = block + 1, first + waiting, 0, [], [], []
+            texts = pc.fill_null(batch.column(1), "")
+            _, offsets = column_bytes(texts)
+            for a, b in passes(offsets, ENCODED_BYTES):
+                flat, n = enc(texts.slice(a, b - a))
+                flat, n = np.insert(flat, np.cumsum(n), end_id), n + 1
+                ends, doc_ids = np.cumsum(n), batch.column(0).slice(a, b - a)
+                k = 0
+                while k < b - a:  # up to the document that fills the block
+                    base = int(ends[k - 1]) if k else 0
+                    stop = min(b - a, int(np.searchsorted(ends, base + BLOCK_TOKENS - waiting)) + 1)
+                    parts.append(flat[base : ends[stop - 1]])
+                    ids.append(np.array(doc_ids.slice(k, stop - k).to_pylist(), dtype=object))
+                    sizes.append(n[k:stop])
+                    waiting += len(parts[-1])
+                    if waiting >= BLOCK_TOKENS:
+                        yield flush()
+                        block, first, waiting, parts, ids, sizes = block + 1, first + waiting, 0, [], [], []
+                    k = stop
         if ids:
             yield flush()
 
