@@ -10,13 +10,12 @@ similarity. Registers of a union are the maxima, so sketches merge.
 3. A pair's similarity is estimated from both registers by maximum likelihood, with the set sizes known. Pairs that come
    near the threshold are verified on full sets. Components of the verified links join most copies.
 4. Buckets whose members (the head aside) still lie in several components are open. Their members of different components
-   are compared by registers, in blocks of BLOCK, and a pair in the first bucket alone that it shares. Pairs of one
-   component need no look, so a bucket of n copies and a few others costs their product and not n * n.
-5. What is likely is verified on full sets in rounds: for each class the likeliest pair with each other component,
-   then 16 times as many, until every pair lies in one component or has been verified. Nothing is left out.
+   are compared, in parts of at most BLOCK classes: by registers first, a pair in the first bucket alone that it shares, and then,
+   from the likeliest on and while the two are not yet connected, on full sets. Pairs of one component need no look, so a
+   bucket of n copies and a few others costs their product and not n * n. A group returns a forest of links.
 
-Full sets travel with pairs that are verified and with nothing else. With threshold 0.85 the bands miss a pair at the
-threshold with probability under 1e-6; there is no cap on bucket sizes, partners or rounds.
+Full sets travel with pairs of step 3 and with members of open buckets, and with nothing else. With threshold 0.85 the bands
+miss a pair at the threshold with probability under 1e-6; there is no cap on bucket sizes or partners.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; a null doc_id stands alone
 (component null, kept); rows with one doc_id and different texts are different documents; repeated rows are one
@@ -31,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_SEPARATORS, Words, byte_table, column_bytes, mix, passes, separators, windows, within, written
@@ -39,10 +38,8 @@ from .graphs import components
 
 REGISTERS = 280
 BASE, RATE, LEVELS = 1.001, 20.0, (1 << 16) - 2
-#: Classes of an open bucket that one task compares with as many others.
-BLOCK = 4096
-#: Each round of verification takes so many times the pairs of the one before.
-MORE = 16
+#: Classes of an open bucket, and their shingles, that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Pairs whose likelihood is estimated at once (a hundred doubles each).
 ESTIMATED = 2000
 #: A class with this share of all rows is a hot one; there are at most as many.
@@ -213,8 +210,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a binary, b binary")
 
 
-def compared(group: pd.DataFrame, percent: int, rows: int) -> pd.DataFrame:
-    """Likely pairs of different components between the parts i and j of a bucket (within one part if they are the same)."""
+def linked(group: pd.DataFrame, percent: int, rows: int) -> pd.DataFrame:
+    """A forest of verified links of different components between the parts i and j of a bucket (within one part if they are the same)."""
     least = percent / 100 - MARGIN
     group = group.sort_values("cid", kind="stable").reset_index(drop=True)
     n, part, label = group["n_shingles"].to_numpy(), group["part"].to_numpy(), pd.factorize(group["label"])[0]
@@ -240,24 +237,47 @@ def compared(group: pd.DataFrame, percent: int, rows: int) -> pd.DataFrame:
             ys.append(some[g >= least])
             guess.append(g[g >= least])
     xs, ys, guess = (np.concatenate(v) if v else np.zeros(0, int) for v in (xs, ys, guess))
-    cid = group["cid"].to_numpy()
-    return pd.DataFrame({"a": cid[xs], "b": cid[ys], "guess": guess.astype(float)})
+    root, links = list(range(label.max() + 1)), []
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    cid, sets = group["cid"].to_numpy(), [np.asarray(x).view(np.uint64) for x in group["shingles"]]  # in order as unsigned numbers
+    for e in np.argsort(-guess, kind="stable").tolist():
+        x, y = int(xs[e]), int(ys[e])
+        p, q = find(label[x]), find(label[y])
+        if p == q:
+            continue
+        small, large = (sets[x], sets[y]) if n[x] <= n[y] else (sets[y], sets[x])
+        both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+        if 100 * both >= percent * (len(small) + len(large) - both):
+            root[p] = q
+            links.append((cid[x], cid[y]))
+    return pd.DataFrame(links, columns=["a", "b"])
 
 
-def _open_pairs(classes: DataFrame, bands: DataFrame, full: DataFrame, labels: DataFrame, percent: int, rows: int) -> DataFrame:
-    """a, b, guess: likely pairs of different components in buckets of several components, heads aside."""
-    of = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("fid", "cid", F.coalesce("label", "cid").alias("label"))
+def _open_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, full: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: links of different components in buckets of several components, heads aside."""
+    of = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("fid", "cid", "n_shingles", F.coalesce("label", "cid").alias("label"))
     members = bands.join(full.filter("n > 2"), "bucket").filter("fid <> head").select("bucket", "fid").join(of, "fid")
-    counts = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
-    parts = lambda n: F.ceil(n / BLOCK).cast("int")
-    opened = counts.filter("labels > 1").select("bucket", F.col("most.label").alias("main"), parts(F.col("most.n")).alias("mains"), parts(F.col("n") - F.col("most.n")).alias("others"))
-    d = members.join(opened, "bucket").join(classes.select("cid", "n_shingles", "registers"), "cid")
+    counts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    counts = counts.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "label")).alias("most"))
+    parts = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    opened = counts.filter("labels > 1").select("bucket", F.col("most.label").alias("main"), parts(F.col("most.n"), F.col("most.s")).alias("mains"), parts(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("others"))
+    members = written(members.join(opened, "bucket"), "open-members")
+    wanted = classes.join(members.select("cid").distinct(), "cid")
+    sets = _sets(docs, wanted, size).join(wanted.select("cid", "registers"), "cid")
+    d = members.join(sets, "cid")
     # the largest component's parts meet the others' only
     main, h = F.col("label") == F.col("main"), F.xxhash64("cid")
     d = d.withColumn("part", F.when(main, F.pmod(h, F.col("mains"))).otherwise(F.col("mains") + F.pmod(h, F.col("others"))).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.when(main, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)))
-    d = d.select("bucket", "cid", "label", "n_shingles", "registers", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    return d.groupBy("bucket", "i", "j").applyInPandas(lambda g: compared(g, percent, rows), "a binary, b binary, guess double")
+    d = d.select("bucket", "cid", "label", "n_shingles", "registers", "shingles", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    rows = rows_per_band(percent / 100)
+    return d.groupBy("bucket", "i", "j").applyInPandas(lambda g: linked(g, percent, rows), "a binary, b binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -304,27 +324,18 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = digest.filter("cid is not null and doc_id is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.count("*").alias("copies"))
     fid = F.conv(F.hex(F.substring("cid", 1, 7)), 16, 10).cast("long")
     classes = written(classes.withColumn("fid", fid), "set-classes")
-    rows = rows_per_band(percent / 100)
-    bands = _buckets(classes, rows)
+    bands = _buckets(classes, rows_per_band(percent / 100))
     full = written(bands.groupBy("bucket").agg(F.min("fid").alias("head"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     star = bands.join(full, "bucket").filter("fid <> head").select(F.col("fid").alias("a"), F.col("head").alias("b")).distinct()
     found = verified(docs, _likely(star, classes, percent), classes, size, percent)
     labels = components(found)
-    left, most = written(_open_pairs(classes, bands, full, labels, percent, rows), "open-pairs"), 1
-    while True:
-        for c in ("a", "b"):
-            left = left.drop(f"l{c}").join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
-        nth = F.row_number().over(Window.partitionBy("a", "lb").orderBy(F.desc("guess"), "b"))
-        left = written(left.filter("la <> lb").withColumn("nth", nth), "pairs-left")
-        if left.isEmpty():
-            break
-        found = found.union(verified(docs, left.filter(F.col("nth") <= most), classes, size, percent))
-        left, most = left.filter(F.col("nth") > most).drop("nth"), most * MORE
-        labels = components(found)
+    more = written(_open_links(docs, classes, bands, full, labels, size, percent), "open-links")
+    if not more.isEmpty():
+        labels = components(found.union(more))
     classes = classes.select("cid", "rep", "copies")
-    linked = labels.select(F.col("node").alias("cid"), "label").join(classes, "cid")
-    first = linked.groupBy("label").agg(F.min("rep").alias("first"))
-    of = classes.join(linked.select("cid", "label").join(first, "label").select("cid", "first"), "cid", "left")
+    joined = labels.select(F.col("node").alias("cid"), "label").join(classes, "cid")
+    first = joined.groupBy("label").agg(F.min("rep").alias("first"))
+    of = classes.join(joined.select("cid", "label").join(first, "label").select("cid", "first"), "cid", "left")
     of = of.select("cid", "copies", F.coalesce("first", "rep").alias("first"))
     member = F.col("doc_id").isNotNull() & F.col("cid").isNotNull()
     return _with_first(digest.drop("registers"), of).select("doc_id", "key", "n_shingles", F.when(member, F.col("first")).alias("first"))

@@ -32,6 +32,7 @@ CELLS = 512
 SAMPLE = 20_000
 PROBED, MIN_SEEN = 0.2, 10
 GROUPS, CHUNK, PACK = 32, 4096, 512
+WALKS = 64
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -167,7 +168,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     held = _packed(held, ["g", "chunk"], "x", ["id", "v", "a", "b"])
     queries = coded.filter(is_query).select("id", "v").dropDuplicates(["id"])
     total = queries.count()
-    probes = _probes(queries, books, count, enough).withColumn("pack", F.pmod(F.xxhash64("query"), F.lit(max(1, -(-total // (PACK // 2))))))
+    # a walk is the work of some ten milliseconds, so few queries to a task
+    probes = _probes(queries.repartition(max(1, -(-total // WALKS))), books, count, enough).withColumn("pack", F.pmod(F.xxhash64("query"), F.lit(max(1, -(-total // (PACK // 2))))))
     packs = _packed(probes, ["g", "pack"], "q", ["query", "v", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
