@@ -1,6 +1,10 @@
 """Hand-computed cases, and numpy for what SQL cannot express."""
 
 import math
+import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -214,3 +218,32 @@ def test_runs(spark, tmp_path):
         (tmp_path / f"r{k}" / "overrides.txt").write_text(f"- a.b.lr={k}\nname=x{k}\n")
     got = tables.load_runs(spark, str(tmp_path)).orderBy("run").collect()
     assert [(r["pcc/a"], r["lr"], r["name"]) for r in got] == [(0, 0.0, "x0"), (1, 1.0, "x1")]
+
+
+def test_runs_with_hydra_folders(spark, tmp_path):
+    """Run folders as a training tool leaves them: overrides in a folder whose name begins with a dot."""
+    for k in range(2):
+        (tmp_path / f"r{k}" / ".hydra").mkdir(parents=True)
+        (tmp_path / f"r{k}" / "metrics.json").write_text('{"pcc": 0.%d}\n' % (k + 1))
+        (tmp_path / f"r{k}" / ".hydra" / "overrides.yaml").write_text(f"- model.lr=0.{k + 3}\n- data.genes=HVG:{k}\n")
+    got = [tuple(r) for r in tables.load_runs(spark, str(tmp_path)).orderBy("run").select("run", "pcc", "lr", "genes").collect()]
+    assert got == [("r0", 0.1, 0.3, "HVG:0"), ("r1", 0.2, 0.4, "HVG:1")]
+    with pytest.raises(ValueError):
+        tables.load_runs(spark, str(tmp_path / "none"))
+
+
+def test_scaling_without_zero_rows(spark):
+    """Absent rows count as zeros: the same ranges as with every zero written out."""
+    rng = random.Random(2)
+    obs = spark.createDataFrame([(s, f"{s}{k}") for s in "ab" for k in range(20)], "sample_id string, spot_id string")
+    dense = [(s, f"{s}{k}", g, rng.random() if rng.random() < p else 0.0) for s in "ab" for k in range(20) for g, p in (("g", 0.3), ("h", 0.02), ("i", 1.0))]
+    every = spark.createDataFrame(dense, "sample_id string, spot_id string, gene string, value double")
+    for mode in ("global_scaling", "slide_scaling"):
+        want = {tuple(r) for r in qc.robust_scale(every, mode).filter("value <> 0").select("sample_id", "spot_id", "gene", "value").collect()}
+        got = {tuple(r) for r in qc.robust_scale(every.filter("value <> 0"), mode, obs=obs).select("sample_id", "spot_id", "gene", "value").collect()}
+        assert got == want
+
+
+def test_each_plan_module_can_be_imported_first():
+    for name in ("matrix", "chosen", "workloads", "registry"):
+        subprocess.run([sys.executable, "-c", f"import tissueflow.plans.{name} as m; from tissueflow.plans import registry; assert len(registry.QUERIES) > 100"], cwd=Path(__file__).parents[1], check=True)

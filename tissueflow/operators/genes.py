@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tissueflow.functions.scalars import CLASS_LABELS
 from tissueflow.operators.qc import without_controls
@@ -82,30 +84,24 @@ def _loess(x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
 def highly_variable(expression: DataFrame, obs: DataFrame, n: int, keys: Sequence[str] = (), span: float = 0.3) -> DataFrame:
     """keys, gene, mean, variance, score (variance of clipped, standardised counts) and rank (from 1) of the n best.
 
-    Two passes over the counts; between them a curve is fitted to one row for each gene.
+    Two passes over the counts; between them a curve is fitted to one row for each gene, batches side by side.
     """
     keys = list(keys)
-    spark = expression.sparkSession
     size = obs.groupBy(*keys).agg(F.count("*").alias("n")) if keys else obs.agg(F.count("*").alias("n"))
     m = expression.groupBy(*keys, "gene").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("ss"))
     m = m.join(size, keys) if keys else m.crossJoin(F.broadcast(size))
     mean = F.col("s") / F.col("n")
     m = m.select(*keys, "gene", "n", mean.alias("mean"), F.try_divide(F.col("ss") - F.col("n") * mean * mean, F.col("n") - 1).alias("variance"))
-    fitted = []
-    groups: dict[tuple, list] = {}
-    for r in m.collect():  # one row for each gene (and key)
-        groups.setdefault(tuple(r[k] for k in keys), []).append(r)
-    for key, rows in groups.items():
-        rows = sorted((r for r in rows if r["variance"] and r["variance"] > 0), key=lambda r: r["gene"])
-        if rows:
-            fit = _loess(np.log10([r["mean"] for r in rows]), np.log10([r["variance"] for r in rows]), span)
-            fitted += [(*key, r["gene"], r["n"], r["mean"], r["variance"], float(np.sqrt(10.0**f))) for r, f in zip(rows, fit, strict=True)]
-    schema = [f.simpleString() for f in m.select(*keys).schema] if keys else []
-    schema = ", ".join([x.replace(":", " ", 1) for x in schema] + ["gene string, n long, mean double, variance double, sd double"])
-    curve = spark.createDataFrame(fitted, schema)
+    schema = StructType([*m.schema.fields, StructField("sd", DoubleType())])
+
+    def fit(one: pd.DataFrame) -> pd.DataFrame:
+        one = one.sort_values("gene")
+        return one.assign(sd=np.sqrt(10.0 ** _loess(np.log10(one["mean"].to_numpy()), np.log10(one["variance"].to_numpy()), span)))
+
+    curve = m.filter("variance > 0").groupBy(*keys or [F.lit("all").alias("_all")]).applyInPandas(fit, schema)  # one row for each gene of a batch
     clipped = F.least(F.col("count").cast("double"), F.col("sd") * F.sqrt("n") + F.col("mean"))
-    sums = expression.join(curve, [*keys, "gene"]).withColumn("c", clipped).groupBy(*keys, "gene").agg(F.sum("c").alias("c1"), F.sum(F.col("c") * F.col("c")).alias("c2"))
-    d = curve.join(sums, [*keys, "gene"])
+    own = [F.first(c).alias(c) for c in ("n", "mean", "variance", "sd")]
+    d = expression.join(curve, [*keys, "gene"]).withColumn("c", clipped).groupBy(*keys, "gene").agg(*own, F.sum("c").alias("c1"), F.sum(F.col("c") * F.col("c")).alias("c2"))
     score = (F.col("n") * F.col("mean") * F.col("mean") + F.col("c2") - 2 * F.col("mean") * F.col("c1")) / ((F.col("n") - 1) * F.col("sd") * F.col("sd"))
     d = d.withColumn("score", score)
     rank = F.row_number().over(Window.partitionBy(*keys or [F.lit(1)]).orderBy(F.desc("score"), "gene"))

@@ -106,19 +106,28 @@ def log10_normalised(expression: DataFrame, target: float = 1e4) -> DataFrame:
 
 
 def densify(values: DataFrame, obs: DataFrame, genes: DataFrame, column: str = "value") -> DataFrame:
-    """A row for every spot and gene, zeros filled in; for a chosen gene panel only."""
-    every = obs.select(*SPOT).crossJoin(genes.select("gene").distinct())
+    """A row for every spot and every gene of the panel that is measured at all, zeros filled in."""
+    every = obs.select(*SPOT).crossJoin(genes.select("gene").distinct().join(values.select("gene").distinct(), "gene", "left_semi"))
     return every.join(values.select(*SPOT, "gene", column), [*SPOT, "gene"], "left").withColumn(column, F.coalesce(column, F.lit(0.0)))
 
 
-def robust_scale(dense: DataFrame, mode: str = "global_scaling", column: str = "value") -> DataFrame:
-    """value / (95th percentile - minimum) of its gene, over all samples or each; no range: unchanged. Other modes: none."""
+def robust_scale(values: DataFrame, mode: str = "global_scaling", column: str = "value", obs: DataFrame | None = None) -> DataFrame:
+    """value / (95th percentile - minimum) of its gene, over all samples or each; no range: unchanged. Other modes: none.
+
+    With obs, rows that are absent are zeros: they stay zeros, and count in the percentile by their number alone.
+    """
     if mode not in ("global_scaling", "slide_scaling"):
-        return dense
-    keys = ["gene"] if mode == "global_scaling" else GENE
-    s = dense.groupBy(*keys).agg((F.percentile(column, 0.95) - F.min(column)).alias("_range"))
+        return values
+    by = [] if mode == "global_scaling" else ["sample_id"]
+    held = values.groupBy(*by, "gene", column).agg(F.count("*").alias("_n"))
+    if obs is not None:
+        spots = obs.groupBy(*by).agg(F.count("*").alias("_spots"))
+        seen = held.groupBy(*by, "gene").agg(F.sum("_n").alias("_n"))
+        zeros = (seen.join(spots, by) if by else seen.crossJoin(F.broadcast(spots))).select(*by, "gene", F.lit(0.0).alias(column), (F.col("_spots") - F.col("_n")).alias("_n"))
+        held = held.union(zeros.filter("_n > 0"))
+    s = held.groupBy(*by, "gene").agg((F.percentile(column, 0.95, F.col("_n")) - F.min(column)).alias("_range"))
     scaled = F.col(column) / F.when(F.col("_range") == 0, 1.0).otherwise(F.col("_range"))
-    return dense.join(s, keys).withColumn(column, scaled).drop("_range")
+    return values.join(s, [*by, "gene"]).withColumn(column, scaled).drop("_range")
 
 
 @dataclass(frozen=True)

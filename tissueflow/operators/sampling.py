@@ -57,8 +57,11 @@ def pair_expression(cells: DataFrame, reference: DataFrame, mode: str, seed: int
     if mode not in ("type", "random"):
         raise ValueError(f"no such mode: {mode}")
     ref = reference.select("cell_id", F.col("cell_type") if mode == "type" else F.lit("any").alias("cell_type"))
-    w = Window.partitionBy("cell_type").orderBy(_order("cell_id", seed), "cell_id")
-    ref = ref.withColumn("draw", F.row_number().over(w) - 1)
+    if mode == "type":
+        w = Window.partitionBy("cell_type").orderBy(_order("cell_id", seed), "cell_id")
+        ref = ref.withColumn("draw", F.row_number().over(w) - 1)
+    else:  # all cells are one type: numbered in ranges of the order
+        ref = _place(ref, "cell_id", seed).withColumn("draw", (F.col("place") - 1).cast("int")).drop("place")
     size = ref.groupBy("cell_type").agg(F.count("*").alias("n"))
     c = cells.withColumn("_type", F.col("cell_type") if mode == "type" else F.lit("any"))
     c = c.join(size.withColumnRenamed("cell_type", "_type"), "_type").withColumn("draw", F.pmod(_order("cell_idx", seed + 1), F.col("n")).cast("int"))

@@ -70,7 +70,7 @@ def _runs(t: Tables) -> DataFrame:
     path = new_path(t.spark, "runs")
     for k in range(3):
         t.raw("part").filter(F.col("p_partkey") % 3 == k).select("p_name", F.col("p_retailprice").alias("score")).write.json(f"{path}/run{k}/metrics.json")
-        t.spark.createDataFrame([(f"model.lr={k / 4}",), (f"- data.genes=HVG:{k}",), (f"seed={k}",)], "value string").write.text(f"{path}/run{k}/overrides.txt")
+        t.spark.createDataFrame([(f"model.lr={k / 4}",), (f"- data.genes=HVG:{k}",), (f"seed={k}",)], "value string").write.text(f"{path}/run{k}/{'.hydra/overrides.yaml' if k else 'overrides.txt'}")
     # Spark's writer makes folders; the files in them are what a run leaves
     return tables.load_runs(t.spark, path)
 

@@ -62,12 +62,20 @@ register("fn6_normalise_median", lambda t: qc.log1p(qc.normalise_median(t.stored
     SELECT r.*, round(ln(1 + count * m / total), 6) AS value FROM ref_expression r JOIN s USING (cell_id) CROSS JOIN m""")
 register("fn7_log1p", lambda t: qc.log_normalised(_prepared(t)), "expression spots", f"{_G} SELECT *, round(ln(1 + count * 10000 / sum(count) OVER (PARTITION BY spot_id)), 6) AS value FROM prepared")
 register("fn16_log10", lambda t: qc.log10_normalised(t.expression), "expression", "SELECT *, round(log10(1 + count * 10000 / sum(count) OVER (PARTITION BY spot_id)), 6) AS value FROM expression")
-_DENSE = f"""{_G}, l AS (SELECT *, ln(1 + count * 10000 / sum(count) OVER (PARTITION BY spot_id)) AS value FROM prepared), genes AS (SELECT DISTINCT gene FROM signature),
+_DENSE = f"""{_G}, l AS (SELECT *, ln(1 + count * 10000 / sum(count) OVER (PARTITION BY spot_id)) AS value FROM prepared), genes AS (SELECT DISTINCT gene FROM signature WHERE gene IN (SELECT gene FROM prepared)),
     dense AS (SELECT s.sample_id, s.spot_id, g.gene, coalesce(value, 0) AS value FROM spots s CROSS JOIN genes g LEFT JOIN l ON l.spot_id = s.spot_id AND l.gene = g.gene)"""
 _dense = lambda t: qc.densify(qc.log_normalised(_prepared(t)), t.spots, t.signature)
+_log = lambda t: written(qc.log_normalised(_prepared(t)), "log-normalised")
+
+
+def _scaled(t, mode):
+    values = _log(t)
+    return qc.densify(qc.robust_scale(values, mode, obs=t.spots), t.spots, t.signature)
+
+
 register("j17_densify", _dense, "expression spots signature", f"{_DENSE} SELECT sample_id, spot_id, gene, round(value, 6) AS value FROM dense")
 for _mode, _by in (("global_scaling", "gene"), ("slide_scaling", "sample_id, gene")):
-    register(f"fn8_{_mode}", lambda t, m=_mode: qc.robust_scale(written(_dense(t), "dense"), m), "expression spots signature", f"""{_DENSE}, r AS (SELECT {_by}, quantile_cont(value, 0.95) - min(value) AS r FROM dense GROUP BY {_by})
+    register(f"fn8_{_mode}", lambda t, m=_mode: _scaled(t, m), "expression spots signature", f"""{_DENSE}, r AS (SELECT {_by}, quantile_cont(value, 0.95) - min(value) AS r FROM dense GROUP BY {_by})
         SELECT d.sample_id, spot_id, d.gene, round(value / CASE WHEN r = 0 THEN 1 ELSE r END, 6) AS value FROM dense d JOIN r USING ({_by})""")
 
 # pseudobulk: a reference cell's total is some thousands here, so limits are set to bite

@@ -30,5 +30,3 @@ def register(name: str, build: Callable[[Tables], DataFrame], uses: str = "", sq
     if sql:
         ORACLE[name] = f"{duckdb_with(*uses.split())} {sql}" if uses else sql
 
-
-from tissueflow.plans import chosen, matrix, places, vectors, workloads  # noqa: E402, F401  they register themselves

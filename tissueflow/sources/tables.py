@@ -71,14 +71,22 @@ def save_results(df: DataFrame, path: str, exp_tag: str, test_slide: str, infer_
     tagged.write.mode("append").partitionBy("exp_tag", "test_slide", "infer_mode").parquet(path)
 
 
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
+
+
 def load_runs(spark: SparkSession, path: str) -> DataFrame:
-    """All runs below path: metrics.json records with the run's k=v overrides (overrides.txt) as columns.
+    """All runs below path: metrics.json records with the run's k=v overrides (.hydra/overrides.yaml, or overrides.txt) as columns.
 
     A key is what follows its last dot. A parameter becomes a number if every value of it parses.
     """
-    run = lambda: F.regexp_extract("_metadata.file_path", r"([^/]+)/(?:metrics\.json|overrides\.txt)", 1)
+    run = lambda: F.regexp_extract("_metadata.file_path", r"([^/]+)/(?:metrics\.json|overrides\.txt|\.hydra/overrides\.yaml)", 1)
+    found = [g for g in (f"{path}/*/.hydra/overrides.yaml", f"{path}/*/overrides.txt") if _exists(spark, g)]
+    if not found:
+        raise ValueError(f"no run of {path} has overrides")
     metrics = spark.read.json(f"{path}/*/metrics.json").withColumn("run", run())
-    lines = spark.read.text(f"{path}/*/overrides.txt").withColumn("run", run())
+    lines = spark.read.text(found).withColumn("run", run())
     pair = F.split(F.trim(F.regexp_replace("value", "^- *", "")), "=", 2)
     params = lines.filter(F.col("value").contains("=")).select("run", F.element_at(F.split(pair[0], "\\."), -1).alias("k"), pair[1].alias("v"))
     numbers = params.groupBy("k").agg(F.every(F.col("v").try_cast("double").isNotNull()).alias("number")).orderBy("k").collect()  # one row for each key
