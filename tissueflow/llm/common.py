@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_SEPARATORS = b" \t\n\x0b\x0c\r"
 #: Bytes of text that one vectorised pass looks at; longer documents are passes of their own.
 PASS_BYTES = 1 << 19
+#: Rows that a task hands to Python at once.
+BATCH_ROWS = 2000
 
 _U = np.uint64
 _R, _S = _U(0x9E3779B97F4A7C17), _U(0xD6E8FEB86659FD95)
@@ -35,20 +38,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends here, and a lost executor takes nothing with it.
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Settings of a job that writes a table: its shuffle files go once the table is there, and Python gets rows in small batches."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
-    The shuffle files of this job are no longer needed once the table is there, so Spark is told to drop them.
-    """
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: lineage ends here, and a lost executor takes nothing with it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
+    with writing(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,7 +83,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(base: np.uint64, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006  the memo of this process
     have = kept.get(base)
     if have is None or len(have) < n:
-        size = max(n, 2 * PASS_BYTES)
+        size = max(n, PASS_BYTES + (PASS_BYTES >> 3))
         have = np.full(size, base, dtype=_U)
         have[0] = 1
         kept[base] = have = np.multiply.accumulate(have)

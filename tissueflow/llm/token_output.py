@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, passes, shared_folder
+from .common import column_bytes, passes, shared_folder, writing
 from .wavelet import WaveletMatrix
 
 BLOCK_TOKENS = 1 << 19
@@ -31,7 +31,7 @@ SHARD_BYTES = 1 << 27
 #: Bytes of text whose words are looked up together, each distinct one once.
 ENCODED_BYTES = 1 << 22
 #: Words that a worker remembers in each of two generations: what the newer one lacks is first looked for in the older.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 END_ID = 1
 
 BLOCKS = "shard int, block int, first long, n_tokens long, bits int, planes array<binary>, zeros array<long>, ranks array<binary>, doc_ids array<long>, doc_tokens array<long>"
@@ -170,7 +170,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shar
             yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, BLOCKS).write.option("compression", "zstd").parquet(path)
+    with writing(spark):
+        ordered.mapInArrow(encode, BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
 _NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
