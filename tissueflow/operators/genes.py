@@ -161,8 +161,8 @@ def merge_groups(df: DataFrame, column: str, merged: Mapping[str, str]) -> DataF
 
 
 def top_markers(scores: DataFrame, n: int = 20, group: str = "cell_type") -> DataFrame:
-    """The n best genes of each group; the gene stays in its row, so equal scores do not fan out."""
-    w = Window.partitionBy(group).orderBy(F.desc("score"), "gene")
+    """The n best genes of each group by score (to nine places, ties by name); the gene stays in its row, so equal scores do not fan out."""
+    w = Window.partitionBy(group).orderBy(F.round("score", 9).desc(), "gene")
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 

@@ -115,7 +115,7 @@ _TYPES = """, s AS (SELECT cell_id, sum(count) AS total FROM ref_expression GROU
     scores AS (SELECT own AS cell_type, gene, coalesce((avg(value) FILTER (own = cell_type) - avg(value) FILTER (own <> cell_type)) / nullif(sqrt((var_samp(value) FILTER (own = cell_type) + var_samp(value) FILTER (own <> cell_type)) / count(*) FILTER (own = cell_type)), 0), 0) AS score FROM every GROUP BY 1, 2)"""
 _scores = lambda t: genes.rank_markers(_value(t), t.ref_cells)
 register("a22_rank_markers", _scores, "ref_cells ref_expression", f"{_TYPES} SELECT cell_type, gene, round(score, 6) AS score FROM scores")
-_TOP = f"{_TYPES}, top AS (SELECT *, row_number() OVER (PARTITION BY cell_type ORDER BY score DESC, gene) AS rank FROM scores QUALIFY rank <= 20)"
+_TOP = f"{_TYPES}, top AS (SELECT *, row_number() OVER (PARTITION BY cell_type ORDER BY round(score, 9) DESC, gene) AS rank FROM scores QUALIFY rank <= 20)"
 register("w4_top_markers", lambda t: genes.top_markers(_scores(t)), "ref_cells ref_expression", f"{_TOP} SELECT cell_type, gene, round(score, 6) AS score, rank FROM top")
 register("w5_marker_union", lambda t: genes.marker_union(genes.top_markers(_scores(t), 5)), "ref_cells ref_expression", f"{_TOP} SELECT DISTINCT gene FROM top WHERE rank <= 5")
 register("w4_merge_groups", lambda t: genes.merge_groups(t.ref_cells, "cell_type", {"t1": "t12", "t2": "t12"}).groupBy("cell_type").agg(F.count("*").alias("n")), "ref_cells", "SELECT CASE WHEN cell_type IN ('t1', 't2') THEN 't12' ELSE cell_type END AS cell_type, count(*) AS n FROM ref_cells GROUP BY 1")
