@@ -247,3 +247,64 @@ def test_scaling_without_zero_rows(spark):
 def test_each_plan_module_can_be_imported_first():
     for name in ("matrix", "chosen", "workloads", "registry"):
         subprocess.run([sys.executable, "-c", f"import tissueflow.plans.{name} as m; from tissueflow.plans import registry; assert len(registry.QUERIES) > 100"], cwd=Path(__file__).parents[1], check=True)
+
+
+def test_sparse_metrics_are_those_of_the_dense_table(spark):
+    rng = np.random.default_rng(5)
+    truth, pred = ([(f"s{s}", f"g{g}", float(rng.integers(-2, 4))) for s in range(12) for g in range(9) if rng.random() < 0.4] for _ in range(2))
+    truth += [("s0", "flat", 2.0), ("elsewhere", "g0", 9.0), ("elsewhere", "away", 1.0)]
+    pred += [("s3", "flat", 0.0), ("s1", "away", 0.0), ("s2", "unmeasured", 1.0)]
+    truth, pred = (frame(spark, rows, "spot_id string, gene string, value double") for rows in (truth, pred))
+    obs = frame(spark, [(f"s{s}",) for s in range(14)], "spot_id string")
+    for by in ("gene", "spot_id"):
+        want = {r[by]: r for r in metrics.regression_metrics(metrics.align(truth, pred, obs), by).collect()}
+        got = {r[by]: r for r in metrics.sparse_metrics(truth, pred, obs, by).collect()}
+        assert set(got) == set(want)
+        for k, r in want.items():
+            for m in ("pcc", "scc", "mse"):
+                assert got[k][m] == (None if r[m] is None else pytest.approx(r[m], abs=1e-12)), (k, m)
+
+
+def test_pseudobulk_checks_and_keeps_empty_profiles(spark):
+    obs = frame(spark, [("c1", "s", "a"), ("c2", "s", "b"), ("c3", "t", "a")], "cell_id string, sample_id string, cell_type string")
+    e = frame(spark, [("c1", "g", 3.0), ("c2", "h", 1.0), ("c3", "g", 2.0)], "cell_id string, gene string, count double")
+    make = lambda e, **o: pseudobulk.pseudobulk(e, obs, groups="cell_type", min_cells=1, min_counts=2, **o)
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in make(e, remove_empty=False).collect()}
+    assert len(got) == 8
+    assert got["s", "a", "g"] == (3.0, 1.0, 1, 3.0)
+    assert got["s", "b", "h"] == (0.0, 0.0, 1, 1.0)
+    assert got["t", "b", "g"] == (0.0, 0.0, None, None)
+    assert {tuple(r)[:3] for r in make(e).collect()} == {("s", "a", "g"), ("t", "a", "g")}
+    for bad in (-1.0, 0.5, float("nan")):
+        odd = e.union(frame(spark, [("c1", "h", bad)], e.schema))
+        with pytest.raises(ValueError, match="counts"):
+            make(odd)
+    make(e.union(frame(spark, [("c1", "h", 0.5)], e.schema)), mode="mean")
+
+
+def test_common_variable_genes_by_median_rank(spark):
+    rng = np.random.default_rng(11)
+    obs = [(f"c{c}", f"b{c % 3}") for c in range(90)]
+    e = [(c, b, f"g{g}", float(v)) for c, b in obs for g in range(30) if (v := rng.negative_binomial(1 + g % 4, 0.2 + g / 60)) > 0]
+    obs, e = frame(spark, obs, "cell_id string, sample_id string"), frame(spark, e, "cell_id string, sample_id string, gene string, count double")
+    ranks = {}
+    for b in ("b0", "b1", "b2"):
+        one = genes.highly_variable(e.filter(F.col("sample_id") == b), obs.filter(F.col("sample_id") == b), 10)
+        for r in one.collect():
+            ranks.setdefault(r["gene"], []).append(r["rank"])
+    want = sorted((float(np.median(v)), -len(v), g) for g, v in ranks.items())[:10]
+    assert [(r["median_rank"], -r["n_batches"], r["gene"]) for r in genes.common_highly_variable(e, obs, 10).collect()] == want
+
+
+def test_clusters_of_embeddings(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(20, 6)) + 20 * np.eye(6)[k] for k in range(3)])
+    got = vectors.cluster_embeddings(frame(spark, [(k, v.tolist()) for k, v in enumerate(x)], "cell_idx long, embedding array<double>"), k=3, dims=2).orderBy("cell_idx").collect()
+    of = np.array([r["cluster"] for r in got])
+    assert [len(set(of[a : a + 20])) for a in (0, 20, 40)] == [1, 1, 1]
+    assert len(set(of)) == 3
+    axes = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:2]
+    flat = x @ axes.T
+    centres = np.stack([flat[of == k].mean(0) for k in range(3)])
+    want = np.linalg.norm(flat[:, None] - centres, axis=2)
+    assert np.allclose(np.array([r["distances"] for r in got]), want, atol=1e-6)

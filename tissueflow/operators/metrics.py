@@ -47,6 +47,35 @@ def regression_metrics(aligned: DataFrame, by: str = "gene") -> DataFrame:
     )
 
 
+def sparse_metrics(truth: DataFrame, pred: DataFrame, obs: DataFrame, by: str = "gene", spot: str = "spot_id") -> DataFrame:
+    """regression_metrics(align(truth, pred, obs), by) from the rows that there are; where both tables lack a row, both are zero.
+
+    The absent rows of a group are one tie: they move ranks by their number and add the same term to each sum. Every shared
+    gene or every spot of obs has a row. A spot and gene stand at most once in a table.
+    """
+    shared = truth.select("gene").distinct().join(pred.select("gene").distinct(), "gene")
+    spots = obs.select(spot).distinct()
+    t, p = (d.select(spot, "gene", F.col("value").cast("double").alias(c)).join(shared, "gene", "left_semi") for d, c in ((truth, "y"), (pred, "p")))
+    d = t.join(p, [spot, "gene"], "full").na.fill(0.0, ["y", "p"]).join(spots, spot, "left_semi")
+    groups, others = (shared, spots) if by == "gene" else (spots, shared)
+    n, r = F.col("n"), F.col("absent")
+    group = Window.partitionBy(by)
+    d = d.crossJoin(F.broadcast(others.agg(F.count("*").alias("n")))).withColumn("absent", n - F.count("*").over(group))
+    d = average_ranks(average_ranks(d, "y", "ry", by), "p", "rp", by)
+    for c in ("y", "p"):
+        place = F.when(F.col(c) < 0, 0.0).when(F.col(c) == 0, 0.5).otherwise(1.0)
+        below, zero = (F.count_if(k).over(group) for k in (F.col(c) < 0, F.col(c) == 0))
+        d = d.withColumns({f"m{c}": F.sum(c).over(group) / n, f"r{c}": F.col(f"r{c}") + r * place, f"z{c}": below + (zero + r + 1) / 2.0})
+    half = (n + 1) / 2.0
+    of = {"y": (F.col("y") - F.col("my"), -F.col("my")), "p": (F.col("p") - F.col("mp"), -F.col("mp")), "ry": (F.col("ry") - half, F.col("zy") - half), "rp": (F.col("rp") - half, F.col("zp") - half)}
+    total = lambda a, b: F.sum(of[a][0] * of[b][0]) + F.first(r * of[a][1] * of[b][1])
+    pearson = lambda a, b: F.try_divide(total(a, b), F.sqrt(total(a, a)) * F.sqrt(total(b, b)))
+    flat = lambda c: (F.max(c) == F.min(c)) & ((F.first(r) == 0) | (F.max(c) == 0))
+    gap = F.col("y") - F.col("p")
+    d = d.groupBy(by).agg(F.when(~flat("y") & ~flat("p"), pearson("y", "p")).alias("pcc"), F.when(~flat("y") & ~flat("p"), pearson("ry", "rp")).alias("scc"), (F.sum(gap * gap) / F.first(n)).alias("mse"))
+    return groups.join(d, by, "left").na.fill(0.0, ["mse"])
+
+
 def mean_metrics(metrics: DataFrame) -> DataFrame:
     """Means over genes; genes without a value are left out."""
     return metrics.agg(*[F.avg(m).alias(m) for m in ("pcc", "scc", "mse")])
@@ -57,6 +86,11 @@ def spot_correlation(aligned: DataFrame) -> DataFrame:
     return regression_metrics(aligned, "spot_id").select("spot_id", "pcc")
 
 
+def sparse_spot_correlation(truth: DataFrame, pred: DataFrame, obs: DataFrame) -> DataFrame:
+    """spot_correlation(align(truth, pred, obs)) from the rows that there are."""
+    return sparse_metrics(truth, pred, obs, "spot_id").select("spot_id", "pcc")
+
+
 def moments(batch: DataFrame) -> DataFrame:
     """Mergeable sums of a batch of aligned rows, by gene."""
     return batch.groupBy("gene").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum("p").alias("sp"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("p") * F.col("p")).alias("spp"), F.sum(F.col("y") * F.col("p")).alias("syp"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tissueflow.operators.qc import check_counts
+
 
 def group_stats(expression: DataFrame, obs: DataFrame, keys: Sequence[str], min_cells: int = 10, min_counts: float = 1000) -> DataFrame:
     """keys, n_cells, counts and passed (both limits, each at least 1)."""
@@ -17,11 +19,14 @@ def group_stats(expression: DataFrame, obs: DataFrame, keys: Sequence[str], min_
     return d.withColumn("passed", (F.col("n_cells") >= max(1, min_cells)) & (F.col("counts") >= max(1, min_counts)))
 
 
-def pseudobulk(expression: DataFrame, obs: DataFrame, sample: str = "sample_id", groups: str | Sequence[str] | None = None, mode: str = "sum", min_cells: int = 10, min_counts: float = 1000) -> DataFrame:
+def pseudobulk(expression: DataFrame, obs: DataFrame, sample: str = "sample_id", groups: str | Sequence[str] | None = None, mode: str = "sum", min_cells: int = 10, min_counts: float = 1000, remove_empty: bool = True, skip_checks: bool = False) -> DataFrame:
     """keys, gene, value, prop (share of cells that express it), n_cells, counts: one profile for each sample (and group).
 
     Profiles below the limits are zero and so, like genes zero everywhere, have no rows. Mode is sum, mean or median; zeros count.
+    Without remove_empty every sample (with every group) has a row for every gene of expression: zeros for profiles below the
+    limits and for absent pairs, whose n_cells and counts are null. Unless skipped, one pass first checks the counts (check_counts).
     """
+    check_counts(expression, mode, skip_checks)
     keys, obs = _keys(obs, sample, groups)
     stats = group_stats(expression, obs, keys, min_cells, min_counts).filter("passed").drop("passed")
     d = expression.filter("count <> 0").join(obs.select("cell_id", *keys), "cell_id").groupBy(*keys, "gene")
@@ -38,7 +43,14 @@ def pseudobulk(expression: DataFrame, obs: DataFrame, sample: str = "sample_id",
             v = v.withColumn("value", F.col("value") / F.col("n_cells"))
         elif mode != "sum":
             raise ValueError(f"no such mode: {mode}")
-    return v.filter("value <> 0").select(*keys, "gene", "value", (F.col("k") / F.col("n_cells")).alias("prop"), "n_cells", "counts")
+    v = v.filter("value <> 0").select(*keys, "gene", "value", (F.col("k") / F.col("n_cells")).alias("prop"), "n_cells", "counts")
+    if remove_empty:
+        return v
+    pairs = obs.select(keys[0]).distinct()
+    for k in keys[1:]:
+        pairs = pairs.crossJoin(obs.select(k).distinct())  # one row for each profile
+    every = pairs.join(group_stats(expression, obs, keys, min_cells, min_counts).drop("passed"), keys, "left").crossJoin(expression.select("gene").distinct())
+    return every.join(v.select(*keys, "gene", "value", "prop"), [*keys, "gene"], "left").na.fill(0.0, ["value", "prop"]).select(*v.columns)
 
 
 def _keys(obs: DataFrame, sample: str, groups: str | Sequence[str] | None) -> tuple[list[str], DataFrame]:

@@ -136,7 +136,7 @@ def _scored(by: str) -> str:
 
 
 _aligned = lambda t: metrics.align(t.stored("truth"), t.stored("pred"), t.spots)
-_metrics = lambda t: metrics.regression_metrics(_aligned(t))
+_metrics = lambda t: metrics.sparse_metrics(t.stored("truth"), t.stored("pred"), t.spots)
 _M = "truth pred spots"
 _R = "round(pcc, 6) AS pcc, round(scc, 6) AS scc, round(mse, 6) AS mse"
 register("s8_save_results", _results, _M, f"{_scored('gene')} SELECT 'a=1;b=HVG:10' AS exp_tag, test_slide, 'bag' AS infer_mode, count(*) AS n FROM metrics CROSS JOIN (SELECT unnest(['SA', 'SN']) AS test_slide) GROUP BY 1, 2, 3")
@@ -145,7 +145,7 @@ register("j6_gene_overlap", lambda t: metrics.gene_overlap(t.stored("truth"), t.
 register("w1_average_ranks", lambda t: metrics.average_ranks(t.expression.select("spot_id", "gene", "count"), "count", "rank"), "expression", "SELECT spot_id, gene, count, rank() OVER (PARTITION BY gene ORDER BY count) + (count(*) OVER (PARTITION BY gene, count) - 1) / 2.0::DOUBLE AS rank FROM expression")
 register("a6_gene_metrics", _metrics, _M, f"{_scored('gene')} SELECT gene, {_R} FROM metrics")
 register("a6_mean_metrics", lambda t: metrics.mean_metrics(_metrics(t)), _M, f"{_scored('gene')} SELECT round(avg(pcc), 6) AS pcc, round(avg(scc), 6) AS scc, round(avg(mse), 6) AS mse FROM metrics")
-register("a7_spot_correlation", lambda t: metrics.spot_correlation(_aligned(t)), _M, f"{_scored('spot_id')} SELECT spot_id, round(pcc, 6) AS pcc FROM metrics")
+register("a7_spot_correlation", lambda t: metrics.sparse_spot_correlation(t.stored("truth"), t.stored("pred"), t.spots), _M, f"{_scored('spot_id')} SELECT spot_id, round(pcc, 6) AS pcc FROM metrics")
 
 
 def _in_batches(t: Tables) -> DataFrame:
