@@ -63,8 +63,11 @@ class Known(dict):
     def __missing__(self, word: str) -> bytes:
         got = self.older.get(word)
         if got is None:
-            parts = _SPLIT.findall(word)
-            got = self.encode(word) if parts == [word] else b"".join([self[p] for p in parts])
+            if word.isalpha():  # letters alone are one pre-token
+                got = self.encode(word)
+            else:
+                parts = _SPLIT.findall(word)
+                got = self.encode(word) if parts == [word] else b"".join([self[p] for p in parts])
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
@@ -93,7 +96,7 @@ class Encoder:
         self.added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
 
     def _part(self, part: str) -> bytes:
-        letters = part.encode().decode("latin-1").translate(self.letters)
+        letters = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(self.letters)
         return b"".join([self.four[t.id] for t in self.model.tokenize(letters)])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
