@@ -58,7 +58,7 @@ def test_another_tokenizer_file_is_encoded_whole(spark, odd_rows, tmp_path):
 
     file = json.loads(open(PATH, encoding="utf-8").read())
     texts = [t or "" for _, t, *_ in odd_rows if len(t or "") < 1000]
-    assert token_output.Encoder(PATH).by_word
+    assert token_output.Encoder(PATH).by_part
     changes = {"normalizer": {"type": "NFC"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
     for key, value in changes.items():
         other = tmp_path / f"{key}.json"
@@ -66,7 +66,7 @@ def test_another_tokenizer_file_is_encoded_whole(spark, odd_rows, tmp_path):
         enc, library = token_output.Encoder(str(other)), Tokenizer.from_file(str(other))
         ids, n = enc(pa.array(texts))
         want = [library.encode(t, add_special_tokens=False).ids for t in texts]
-        assert not enc.by_word and ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+        assert not enc.by_part and ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
 
 
 def test_words_are_remembered_in_two_generations():
@@ -84,3 +84,15 @@ def test_words_are_remembered_in_two_generations():
 def test_small_blocks(spark, odd, odd_rows, monkeypatch):
     monkeypatch.setattr(token_output, "BLOCK_TOKENS", 7)
     check(odd, odd_rows)
+
+
+def test_pre_tokens_of_any_simple_text():
+    """Short random texts of every kind of character that simple texts hold, against the library."""
+    import pyarrow as pa
+
+    enc, library, rng = token_output.Encoder(PATH), Tokenizer.from_file(PATH), random.Random(11)
+    letters = ["'", "'", "s", "t", "r", "e", "v", "l", "d", "m", "S", "a", "é", "Ü", "ß", "ÿ", "3", "0", "&", ".", "\x01", "\x7f", " ", " ", "\n", "\t", "\r"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 9))) for _ in range(20000)]
+    ids, n = enc(pa.array(texts))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
