@@ -98,10 +98,9 @@ def pre_tokens(texts: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray]:
         start[stop] |= kind[stop] == 1
     solid = kind != 0
     starts = np.flatnonzero(start)
-    place = np.cumsum(solid, dtype=np.int64)  # of each byte among those that are not white space
-    ends = np.empty(len(starts) + 1, dtype=np.int64)
-    ends[:-1] = place[starts] - 1
-    ends[-1] = place[-1]
+    ends = np.zeros(len(starts) + 1, dtype=np.int64)  # without white space the pre-tokens stand side by side
+    if len(starts):
+        np.cumsum(np.add.reduceat(solid, starts, dtype=np.int64), out=ends[1:])
     pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(raw[solid]))
     return pieces, np.diff(np.searchsorted(starts, offsets))
 
