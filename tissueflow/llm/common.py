@@ -14,6 +14,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The separators of the contracts' words: space and \x09-\x0D.
 WORD_SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -70,6 +71,11 @@ def dropped(table: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """id (null: after all others) and key tell a row from others; alike rows are one."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> _U(30))

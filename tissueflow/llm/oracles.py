@@ -71,3 +71,29 @@ def _op9() -> str:
 
 
 OP5, OP9 = _op5(), _op9()
+
+OP11 = rf"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+    d AS (SELECT r, doc_id, unnest(t) AS term FROM w), n AS (SELECT r, doc_id, CAST(len(t) AS BIGINT) AS n FROM w WHERE len(t) > 0),
+    s AS (SELECT count(*) AS docs, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM n),
+    i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    tf AS (SELECT r, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM i) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    wt AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS wt FROM df, s),
+    m AS (SELECT r, doc_id, 50 + (50 * n * docs) // total AS m FROM n, s),
+    x AS (SELECT item_id, doc_id, r, CAST(sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM i JOIN tf USING (term) JOIN wt USING (term) JOIN m USING (r) GROUP BY 1, 2, 3),
+    k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50"""
+
+OP12 = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+    l AS (SELECT doc_id, r, unnest(range(1, len(x) + 1)) AS j, unnest(x) AS line FROM d),
+    k AS (SELECT *, {_LOWER.format("trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))")} AS key FROM l),
+    f AS (SELECT key, min(doc_id) AS least FROM k WHERE length(key) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
+    g AS (SELECT k.*, coalesce(k.doc_id > f.least, false) AS gone FROM k LEFT JOIN f USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY r, doc_id"""
+
+OP13 = """WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+    p AS (SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE same) WHERE k <= 5),
+    n AS (SELECT p.a, p.b, p.score AS positive_score, s.b AS negative, s.score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS k
+        FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+    SELECT a AS anchor_id, b AS positive_id, CAST(k AS INTEGER) AS rank, negative AS negative_id, positive_score, score AS negative_score FROM n WHERE k <= 5"""

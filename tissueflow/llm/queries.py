@@ -79,5 +79,24 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted(docs.select("doc_id", "text"), texts).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_substring_dedup, op3_near_duplicates, op4_decontamination, op5_secrets, op6_toxicity, op7_language_id, op8_nearest_neighbours, op9_licenses, op10_mixing)}
-ORACLE: dict[str, str] = {"op2_substring_dedup": oracles.OP2, "op3_near_duplicates": oracles.OP3, "op5_secrets": oracles.OP5, "op9_licenses": oracles.OP9}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import ranked
+
+    return ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import without_repeated_lines
+
+    return without_repeated_lines(_documents(spark, sf_dir)).drop("kept")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hardneg import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0, label)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_substring_dedup, op3_near_duplicates, op4_decontamination, op5_secrets, op6_toxicity, op7_language_id, op8_nearest_neighbours, op9_licenses, op10_mixing, op11_ranked_search, op12_line_dedup, op13_hard_negatives)}
+ORACLE: dict[str, str] = {"op2_substring_dedup": oracles.OP2, "op3_near_duplicates": oracles.OP3, "op5_secrets": oracles.OP5, "op9_licenses": oracles.OP9, "op11_ranked_search": oracles.OP11, "op12_line_dedup": oracles.OP12, "op13_hard_negatives": oracles.OP13}

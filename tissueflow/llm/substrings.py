@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS, Words, byte_table, column_bytes, passes, separators, windows, within, written
+from .common import WORD_SEPARATORS, Words, byte_table, column_bytes, keyed, passes, separators, windows, within, written
 
 WINDOW = 50
 # Perfect difference sets (every residue is a difference of two members, once).
@@ -38,11 +38,6 @@ def period(window: int) -> int:
     return max([m for m in COVERS if window - m + 1 >= 0.4 * window], default=1)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """id (null: after all others) and key tell a row from others; alike rows are one."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
-
-
 def _parts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, Words]]:
     raw, offsets = column_bytes(batch.column(at))
     for a, b in passes(offsets):
@@ -100,13 +95,13 @@ def candidate_windows(keyed: DataFrame, places: DataFrame, window: int) -> DataF
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """id, key, places: where windows begin that a document with a smaller id also holds."""
-    keyed = _keyed(docs)
-    found = anchors(keyed, window)
+    rows = keyed(docs)
+    found = anchors(rows, window)
     several = F.min("id").alias("least"), F.max("id").alias("most")
     shared = written(found.groupBy("h").agg(*several).filter("least < most").select("h"), "shared-anchors")
     places = found.join(shared, "h").groupBy("id", "key").agg(F.collect_list("place").alias("places"))
     places = written(places, "anchor-places")
-    candidates = written(candidate_windows(keyed, places, window), "candidate-windows")
+    candidates = written(candidate_windows(rows, places, window), "candidate-windows")
     first = written(candidates.groupBy("h", "h2").agg(*several).filter("least < most").select("h", "h2", "least"), "first-windows")
     later = candidates.join(first, ["h", "h2"]).filter("id > least")
     return written(later.groupBy("id", "key").agg(F.collect_list("place").alias("places")), "repeated-windows")
@@ -122,7 +117,7 @@ def _covered(w: Words, d: int, places: np.ndarray, window: int) -> np.ndarray:
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) and kept_sha256 of each document."""
-    d = _keyed(docs).join(repeats(docs, window), ["id", "key"], "left").select("id", "text", "places")
+    d = keyed(docs).join(repeats(docs, window), ["id", "key"], "left").select("id", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
