@@ -63,22 +63,53 @@ def unique_names(genes: DataFrame) -> DataFrame:
     return d.withColumn("unique", F.when(F.col("k") == 0, F.col("gene")).otherwise(F.concat_ws("-", "gene", free.cast("string")))).drop("k", "used")
 
 
-def _loess(x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
-    """Local quadratic fit with tricube weights, at each x."""
-    n = len(x)
-    q = max(3, min(n, int(np.ceil(span * n))))
+def _local_fit(xs: np.ndarray, ys: np.ndarray, at: float, q: int) -> tuple[float, float]:
+    """Value and slope at one place of the quadratic fitted to the q nearest points (xs in order), with tricube weights."""
+    left = int(np.clip(np.searchsorted(xs, at) - q // 2, 0, len(xs) - q))
+    while left + q < len(xs) and xs[left + q] - at < at - xs[left]:
+        left += 1
+    while left > 0 and at - xs[left - 1] < xs[left + q - 1] - at:
+        left -= 1
+    a, b = xs[left : left + q] - at, ys[left : left + q]
+    h = max(np.abs(a).max(), 1e-12)
+    w = np.sqrt((1 - np.minimum(np.abs(a) / h, 1) ** 3) ** 3)
+    places = np.unique(a[w > 0])
+    if not len(places):  # all equally far
+        w, places = np.ones_like(a), np.unique(a)
+    m = np.stack([(a / h) ** k for k in range(min(3, len(places)))], axis=1) * w[:, None]
+    value, *slope = np.linalg.lstsq(m, b * w, rcond=None)[0]
+    return float(value), float(slope[0]) / h if slope else 0.0
+
+
+def _vertices(xs: np.ndarray, most: int, margin: float = 0.1) -> np.ndarray:
+    """Ends of the cells of a k-d tree over xs (in order): cells of more than most points are cut at their median."""
+    reach = margin * max(float(xs[-1] - xs[0]), 1e-10 * float(np.abs(xs).max()) + 1e-30)
+    cuts, cells = [float(xs[0]) - reach, float(xs[-1]) + reach], [(0, len(xs))]
+    while cells:
+        a, b = cells.pop()
+        if b - a > most and xs[a] < xs[b - 1]:
+            m = int(np.searchsorted(xs[a:b], xs[(a + b) // 2])) + a  # equal points stay together
+            m = m if m > a else int(np.searchsorted(xs[a:b], xs[a], side="right")) + a
+            cuts.append((float(xs[m - 1]) + float(xs[m])) / 2)
+            cells += [(a, m), (m, b)]
+    return np.unique(cuts)
+
+
+def _loess(x: np.ndarray, y: np.ndarray, span: float, cell: float = 0.2) -> np.ndarray:
+    """Local quadratic regression at each x: fitted with its slope at the vertices of a k-d tree, blended by cubics between them.
+
+    A cell has at most span * cell of all points, so the number of fits does not grow with the points, and the whole is linear in them.
+    """
     order = np.argsort(x, kind="stable")
-    xs, ys, out = x[order], y[order], np.empty(n)
-    left = 0
-    for i in range(n):
-        while left + q < n and xs[left + q] - xs[i] < xs[i] - xs[left]:
-            left += 1
-        a, b = xs[left : left + q] - xs[i], ys[left : left + q]
-        h = max(np.abs(a).max(), 1e-12)
-        w = np.sqrt((1 - np.minimum(np.abs(a) / h, 1) ** 3) ** 3)
-        m = np.stack([np.ones_like(a), a, a * a], axis=1) * w[:, None]
-        out[order[i]] = np.linalg.lstsq(m, b * w, rcond=None)[0][0]
-    return out
+    xs, ys = np.asarray(x, dtype=float)[order], np.asarray(y, dtype=float)[order]
+    n = len(xs)
+    q = max(min(3, n), min(n, int(np.ceil(span * n))))
+    at = _vertices(xs, max(1, int(n * span * cell)))
+    value, slope = np.array([_local_fit(xs, ys, v, q) for v in at]).T
+    k = np.clip(np.searchsorted(at, x, side="right") - 1, 0, len(at) - 2)
+    h = at[k + 1] - at[k]
+    t = (x - at[k]) / h
+    return (1 + 2 * t) * (1 - t) ** 2 * value[k] + t * (1 - t) ** 2 * h * slope[k] + t * t * (3 - 2 * t) * value[k + 1] - t * t * (1 - t) * h * slope[k + 1]
 
 
 def highly_variable(expression: DataFrame, obs: DataFrame, n: int, keys: Sequence[str] = (), span: float = 0.3) -> DataFrame:

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tissueflow.functions.scalars import nb_log_prob
+from tissueflow.functions.scalars import correlation_p_value, nb_log_prob
+from tissueflow.operators.scans import plain, ranged, running
+from tissueflow.sources.store import written
+
+
+def _keys(*tables: DataFrame) -> list[str]:
+    """What tells spots apart: sample and spot where all tables have both."""
+    return [c for c in ("sample_id", "spot_id") if all(c in t.columns for t in tables)]
 
 
 def align(truth: DataFrame, pred: DataFrame, obs: DataFrame) -> DataFrame:
-    """spot_id, gene, y, p for all spots and the genes that both tables have; absent rows are zeros and count."""
+    """spot_id (and sample_id, where all tables have it), gene, y, p for all spots and the genes that both tables have; absent rows are zeros and count."""
+    keys = _keys(truth, pred, obs)
     shared = truth.select("gene").distinct().join(pred.select("gene").distinct(), "gene")
-    every = obs.select("spot_id").distinct().crossJoin(shared)
-    t, p = (d.select("spot_id", "gene", F.col("value").alias(c)) for d, c in ((truth, "y"), (pred, "p")))
-    return every.join(t, ["spot_id", "gene"], "left").join(p, ["spot_id", "gene"], "left").na.fill(0.0, ["y", "p"])
+    every = obs.select(*keys).distinct().crossJoin(shared)
+    t, p = (d.select(*keys, "gene", F.col("value").alias(c)) for d, c in ((truth, "y"), (pred, "p")))
+    return every.join(t, [*keys, "gene"], "left").join(p, [*keys, "gene"], "left").na.fill(0.0, ["y", "p"])
 
 
 def gene_overlap(truth: DataFrame, pred: DataFrame) -> DataFrame:
@@ -22,58 +32,94 @@ def gene_overlap(truth: DataFrame, pred: DataFrame) -> DataFrame:
     return t.join(p, "gene", "full").agg(F.count("t").alias("n_measured"), F.count("p").alias("n_predicted"), F.count_if(F.col("t").isNotNull() & F.col("p").isNotNull()).alias("n_both"))
 
 
+def run_ranks(runs: DataFrame, by: Sequence[str], column: str, count: str, rank: str) -> DataFrame:
+    """runs (a row for each group and value, with its count) with rank, the mean place (from 1) of the value's rows.
+
+    The rows before a value are a running sum over ranges of groups and values, so a group of any size is the work of many tasks.
+    """
+    t = ranged(runs, by, [column], sums={"_upto": count})
+    return plain(running(t, by, count, "_upto", "_before"), "_upto").withColumn(rank, F.col("_before") + (F.col(count) + 1) / 2.0).drop("_before")
+
+
 def average_ranks(df: DataFrame, column: str, rank: str, by: str = "gene") -> DataFrame:
     """Ranks from 1 in each group; ties share their mean rank."""
-    tied = F.count("*").over(Window.partitionBy(by, column))
-    return df.withColumn(rank, F.rank().over(Window.partitionBy(by).orderBy(column)) + (tied - 1) / 2.0)
+    runs = df.groupBy(F.col(by).alias("_by"), F.col(column).alias("_value")).agg(F.count("*").alias("_n"))
+    ranks = run_ranks(runs, ["_by"], "_value", "_n", rank)
+    return df.join(ranks, df[by].eqNullSafe(ranks["_by"]) & df[column].eqNullSafe(ranks["_value"])).drop("_by", "_value", "_n")
 
 
-def _pearson(x: Column, y: Column) -> Column:
-    """From centred values; no variance: null."""
-    return F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y)))
+def _scored(rows: DataFrame, per: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, n, pcc, scc, mse of each group of per (by, n, and what _moments gives); of its n pairs, rows has those that are not both zero, or more.
+
+    Moments are merged (and so centred) by Spark, with the absent pairs as one more part. Ranks come from the counts of each value but zero, which
+    shifts the larger ones. For the product of ranks only pairs without a zero meet the ranks of both sides: what the others add follows from sums over the
+    values. rows and per are stored tables.
+    """
+    by = list(by)
+    y, p, n = F.col("y"), F.col("p"), F.col("n")
+    sides = [rows.filter(F.col(c) != 0).groupBy(*by, F.lit(c).alias("side"), F.col(c).alias("value")).agg(F.count("*").alias("c")) for c in ("y", "p")]
+    ranks = run_ranks(sides[0].union(sides[1]), [*by, "side"], "value", "c", "rank").join(per.select(*by, "n", "ny", "np"), by)
+    zeros = n - F.when(F.col("side") == "y", F.col("ny")).otherwise(F.col("np"))
+    ranks = ranks.withColumn("r", F.col("rank") + F.when(F.col("value") > 0, zeros).otherwise(0) - (n + 1) / 2.0)
+    of = lambda c, what: F.coalesce(F.sum(F.when(F.col("side") == c, what)), F.lit(0.0))
+    r, c = F.col("r"), F.col("c")
+    sums = ranks.groupBy(*by).agg(*[of(k, c * r * r).alias(f"s{k}") for k in ("y", "p")], *[of(k, c * r).alias(f"t{k}") for k in ("y", "p")])
+    both = rows.filter((y != 0) & (p != 0))
+    for k in ("y", "p"):
+        both = both.join(ranks.filter(F.col("side") == k).select(*by, F.col("value").alias(k), F.col("r").alias(f"r{k}")), [*by, k])
+    both = both.groupBy(*by).agg(F.sum(F.col("ry") * F.col("rp")).alias("ayp"), F.sum("ry").alias("ay"), F.sum("rp").alias("ap"))
+    d = per.join(sums, by, "left").join(both, by, "left").na.fill(0.0, ["sy", "sp", "ty", "tp", "ayp", "ay", "ap"])
+    # zeros of a side are one tie: the ranks of all its pairs sum to nothing, so theirs is what balances the others
+    for k in ("y", "p"):
+        d = d.withColumn(f"z{k}", F.coalesce(F.try_divide(-F.col(f"t{k}"), n - F.col(f"n{k}")), F.lit(0.0))).withColumn(f"s{k}", F.col(f"s{k}") + (n - F.col(f"n{k}")) * F.col(f"z{k}") * F.col(f"z{k}"))
+    rank_product = F.col("ayp") + F.col("zp") * (F.col("ty") - F.col("ay")) + F.col("zy") * (F.col("tp") - F.col("ap")) + (n - F.col("ny") - F.col("np") + F.col("nyp")) * F.col("zy") * F.col("zp")
+    k, absent = F.col("k"), n - F.col("k")
+    spread = lambda v, a, b: k * F.col(v) + k * absent / n * F.col(a) * F.col(b)
+    pearson = F.try_divide(spread("vyp", "my", "mp"), F.sqrt(spread("vy", "my", "my")) * F.sqrt(spread("vp", "mp", "mp")))
+    flat = lambda c: (F.col(f"most_{c}") == F.col(f"least_{c}")) & ((absent == 0) | (F.col(f"most_{c}") == 0))
+    varies = (k > 0) & ~flat("y") & ~flat("p")
+    scores = F.when(varies, pearson).alias("pcc"), F.when(varies, F.try_divide(rank_product, F.sqrt("sy") * F.sqrt("sp"))).alias("scc")
+    return d.select(*by, "n", *scores, F.coalesce(F.col("gap") / n, F.lit(0.0)).alias("mse"))
+
+
+def _moments(use: Column | None = None) -> list[Column]:
+    """What _scored needs of a group's rows (those that use keeps)."""
+    y, p = ((F.col(c) if use is None else F.when(use, F.col(c))) for c in ("y", "p"))
+    extremes = [f(c).alias(f"{o}_{name}") for name, c in (("y", y), ("p", p)) for o, f in (("least", F.min), ("most", F.max))]
+    counts = [F.count(y).alias("k"), F.count_if(y != 0).alias("ny"), F.count_if(p != 0).alias("np"), F.count_if((y != 0) & (p != 0)).alias("nyp")]
+    return [F.avg(y).alias("my"), F.avg(p).alias("mp"), F.var_pop(y).alias("vy"), F.var_pop(p).alias("vp"), F.covar_pop(y, p).alias("vyp"), F.sum((y - p) * (y - p)).alias("gap"), *extremes, *counts]
 
 
 def regression_metrics(aligned: DataFrame, by: str = "gene") -> DataFrame:
-    """by, pcc, scc, mse. Ranks, means and sums all follow one partitioning by gene."""
-    d = average_ranks(average_ranks(aligned, "y", "ry", by), "p", "rp", by)
-    mean = lambda c: F.col(c) - F.avg(c).over(Window.partitionBy(by))
-    d = d.select(by, "y", "p", *[mean(c).alias(f"c{c}") for c in ("y", "p", "ry", "rp")])
-    c = {k: F.col(f"c{k}") for k in ("y", "p", "ry", "rp")}
-    flat = lambda a, b: (F.max(a) == F.min(a)) | (F.max(b) == F.min(b))
-    return d.groupBy(by).agg(
-        F.when(~flat("y", "p"), _pearson(c["y"], c["p"])).alias("pcc"),
-        F.when(~flat("y", "p"), _pearson(c["ry"], c["rp"])).alias("scc"),
-        F.avg((F.col("y") - F.col("p")) * (F.col("y") - F.col("p"))).alias("mse"),
-    )
-
-
-def sparse_metrics(truth: DataFrame, pred: DataFrame, obs: DataFrame, by: str = "gene", spot: str = "spot_id") -> DataFrame:
+    """by, pcc, scc, mse of aligned rows (by, y, p)."""
+    rows = written(aligned.select(by, F.col("y").cast("double").alias("y"), F.col("p").cast("double").alias("p")), "aligned-rows")
+    return _scored(rows, written(rows.groupBy(by).agg(F.count("*").alias("n"), *_moments()), "group-moments"), [by]).drop("n")
+
+
+def _sparse_scores(truth: DataFrame, pred: DataFrame, obs: DataFrame, by: str) -> DataFrame:
+    keys = _keys(truth, pred, obs)
+    spots = obs.select(*keys).distinct()
+    t, p = (d.select(*keys, "gene", F.col("value").cast("double").alias(c)) for d, c in ((truth, "y"), (pred, "p")))
+    d = t.withColumn("t", F.lit(True)).join(p.withColumn("m", F.lit(True)), [*keys, "gene"], "full").na.fill(0.0, ["y", "p"])
+    d = written(d.join(spots.withColumn("there", F.lit(True)), keys, "left"), "scored-rows")
+    there = F.col("there").isNotNull()
+    if by == "gene":
+        per = d.groupBy("gene").agg(F.max("t").alias("t"), F.max("m").alias("m"), *_moments(there)).filter("t and m").drop("t", "m")
+        per = written(per.crossJoin(F.broadcast(spots.agg(F.count("*").alias("n")))), "group-moments")
+        return _scored(d.filter(there).join(per.select("gene"), "gene", "left_semi"), per, ["gene"])
+    shared = written(d.groupBy("gene").agg(F.max("t").alias("t"), F.max("m").alias("m")).filter("t and m").select("gene"), "shared-genes")
+    d = d.filter(there).join(shared, "gene", "left_semi")
+    per = spots.join(d.groupBy(*keys).agg(*_moments()), keys, "left").na.fill(0, ["k", "ny", "np", "nyp"])
+    return _scored(d, written(per.crossJoin(F.broadcast(shared.agg(F.count("*").alias("n")))), "group-moments"), keys)
+
+
+def sparse_metrics(truth: DataFrame, pred: DataFrame, obs: DataFrame, by: str = "gene") -> DataFrame:
     """regression_metrics(align(truth, pred, obs), by) from the rows that there are; where both tables lack a row, both are zero.
 
-    The absent rows of a group are one tie: they move ranks by their number and add the same term to each sum. Every shared
-    gene or every spot of obs has a row. A spot and gene stand at most once in a table.
+    Every shared gene or every spot of obs has a row; spots are told apart by sample too, where all tables have it. A spot and gene stand at
+    most once in a table.
     """
-    shared = truth.select("gene").distinct().join(pred.select("gene").distinct(), "gene")
-    spots = obs.select(spot).distinct()
-    t, p = (d.select(spot, "gene", F.col("value").cast("double").alias(c)).join(shared, "gene", "left_semi") for d, c in ((truth, "y"), (pred, "p")))
-    d = t.join(p, [spot, "gene"], "full").na.fill(0.0, ["y", "p"]).join(spots, spot, "left_semi")
-    groups, others = (shared, spots) if by == "gene" else (spots, shared)
-    n, r = F.col("n"), F.col("absent")
-    group = Window.partitionBy(by)
-    d = d.crossJoin(F.broadcast(others.agg(F.count("*").alias("n")))).withColumn("absent", n - F.count("*").over(group))
-    d = average_ranks(average_ranks(d, "y", "ry", by), "p", "rp", by)
-    for c in ("y", "p"):
-        place = F.when(F.col(c) < 0, 0.0).when(F.col(c) == 0, 0.5).otherwise(1.0)
-        below, zero = (F.count_if(k).over(group) for k in (F.col(c) < 0, F.col(c) == 0))
-        d = d.withColumns({f"m{c}": F.sum(c).over(group) / n, f"r{c}": F.col(f"r{c}") + r * place, f"z{c}": below + (zero + r + 1) / 2.0})
-    half = (n + 1) / 2.0
-    of = {"y": (F.col("y") - F.col("my"), -F.col("my")), "p": (F.col("p") - F.col("mp"), -F.col("mp")), "ry": (F.col("ry") - half, F.col("zy") - half), "rp": (F.col("rp") - half, F.col("zp") - half)}
-    total = lambda a, b: F.sum(of[a][0] * of[b][0]) + F.first(r * of[a][1] * of[b][1])
-    pearson = lambda a, b: F.try_divide(total(a, b), F.sqrt(total(a, a)) * F.sqrt(total(b, b)))
-    flat = lambda c: (F.max(c) == F.min(c)) & ((F.first(r) == 0) | (F.max(c) == 0))
-    gap = F.col("y") - F.col("p")
-    d = d.groupBy(by).agg(F.when(~flat("y") & ~flat("p"), pearson("y", "p")).alias("pcc"), F.when(~flat("y") & ~flat("p"), pearson("ry", "rp")).alias("scc"), (F.sum(gap * gap) / F.first(n)).alias("mse"))
-    return groups.join(d, by, "left").na.fill(0.0, ["mse"])
+    return _sparse_scores(truth, pred, obs, by).drop("n")
 
 
 def mean_metrics(metrics: DataFrame) -> DataFrame:
@@ -87,8 +133,9 @@ def spot_correlation(aligned: DataFrame) -> DataFrame:
 
 
 def sparse_spot_correlation(truth: DataFrame, pred: DataFrame, obs: DataFrame) -> DataFrame:
-    """spot_correlation(align(truth, pred, obs)) from the rows that there are."""
-    return sparse_metrics(truth, pred, obs, "spot_id").select("spot_id", "pcc")
+    """spot_id (and sample_id, where all tables have it), pcc of each spot over the shared genes, and its two-sided p-value."""
+    d = _sparse_scores(truth, pred, obs, "spot_id")
+    return d.select(*_keys(d), "pcc", correlation_p_value(F.col("pcc"), F.col("n")).alias("p_value"))
 
 
 def moments(batch: DataFrame) -> DataFrame:
@@ -108,7 +155,7 @@ def merged_metrics(parts: DataFrame) -> DataFrame:
 def nb_loss(df: DataFrame) -> DataFrame:
     """Negative log-likelihood of count under (mu, theta), summed over genes and averaged over spots."""
     d = df.withColumn("ll", nb_log_prob(F.col("count"), F.col("mu"), F.col("theta")))
-    return d.groupBy("spot_id").agg(F.sum("ll").alias("ll")).agg((-F.avg("ll")).alias("loss"))
+    return d.groupBy(*_keys(d)).agg(F.sum("ll").alias("ll")).agg((-F.avg("ll")).alias("loss"))
 
 
 def adjusted_rand_index(labels: DataFrame, a: str = "a", b: str = "b", leave_out: str = "undetermined") -> DataFrame:

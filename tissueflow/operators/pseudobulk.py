@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tissueflow.operators.aggregates import Aggregate, OfAll, aggregated
 from tissueflow.operators.qc import check_counts
 
 
@@ -29,16 +29,14 @@ def pseudobulk(expression: DataFrame, obs: DataFrame, sample: str = "sample_id",
     check_counts(expression, mode, skip_checks)
     keys, obs = _keys(obs, sample, groups)
     stats = group_stats(expression, obs, keys, min_cells, min_counts).filter("passed").drop("passed")
-    d = expression.filter("count <> 0").join(obs.select("cell_id", *keys), "cell_id").groupBy(*keys, "gene")
+    counts = expression.filter("count <> 0").join(obs.select("cell_id", *keys), "cell_id")
     if mode == "median":
-        v = d.agg(F.count("*").alias("k"), F.sort_array(F.collect_list("count")).alias("v")).join(stats, keys)
-        # zeros (counts are not negative) come first: place p of all cells is place p - zeros of v
-        zeros = (F.col("n_cells") - F.col("k")).cast("int")
-        at = lambda p: F.when(p < zeros, F.lit(0.0)).otherwise(F.get("v", (p - zeros).cast("int")))
-        low, high = F.floor((F.col("n_cells") - 1) / 2).cast("int"), F.floor(F.col("n_cells") / 2).cast("int")
-        v = v.withColumn("value", (at(low) + at(high)) / 2)
+        runs = counts.groupBy(*keys, "gene", F.col("count").cast("double").alias("count")).agg(F.count("*").alias("m"))
+        seen = runs.groupBy(*keys, "gene").agg(F.sum("m").alias("k")).join(stats, keys)
+        zeros = seen.select(*keys, "gene", F.lit(0.0).alias("count"), (F.col("n_cells") - F.col("k")).alias("m")).filter("m > 0")
+        v = seen.join(runs.union(zeros).groupBy(*keys, "gene").agg(F.percentile("count", 0.5, F.col("m")).alias("value")), [*keys, "gene"])
     else:
-        v = d.agg(F.count("*").alias("k"), F.sum("count").alias("value")).join(stats, keys)
+        v = counts.groupBy(*keys, "gene").agg(F.count("*").alias("k"), F.sum("count").alias("value")).join(stats, keys)
         if mode == "mean":
             v = v.withColumn("value", F.col("value") / F.col("n_cells"))
         elif mode != "sum":
@@ -62,19 +60,16 @@ def _keys(obs: DataFrame, sample: str, groups: str | Sequence[str] | None) -> tu
     return [sample, name], obs.withColumn(name, F.concat_ws("_", *groups))
 
 
-def pseudobulk_with(expression: DataFrame, obs: DataFrame, keys: Sequence[str], functions: Mapping[str, Callable[[np.ndarray], float]], min_cells: int = 10, min_counts: float = 1000) -> DataFrame:
-    """keys, gene and a column for each user aggregate, called with all values of the group's cells, zeros included."""
+def pseudobulk_with(expression: DataFrame, obs: DataFrame, keys: Sequence[str], functions: Mapping[str, Aggregate | Callable[[np.ndarray], float]], min_cells: int = 10, min_counts: float = 1000) -> DataFrame:
+    """keys, gene and a column for each user aggregate over all values of the group's cells, zeros included.
+
+    Aggregates are merged from parts, so that groups may have any size; a plain function is called with all values at once (see OfAll).
+    """
     keys = list(keys)
     stats = group_stats(expression, obs, keys, min_cells, min_counts).filter("passed").select(*keys, "n_cells")
-    d = expression.filter("count <> 0").join(obs.select("cell_id", *keys), "cell_id").join(stats, keys).select(*keys, "gene", "n_cells", F.col("count").cast("double").alias("count"))
-
-    def apply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.zeros(int(pdf["n_cells"].iloc[0]))
-        values[: len(pdf)] = np.sort(pdf["count"].to_numpy())
-        return pd.DataFrame([[*key, *[float(f(values)) for f in functions.values()]]], columns=[*keys, "gene", *functions])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*keys).schema)
-    return d.groupBy(*keys, "gene").applyInPandas(apply, f"{kinds}, gene string, " + ", ".join(f"`{n}` double" for n in functions))
+    d = expression.filter("count <> 0").join(obs.select("cell_id", *keys), "cell_id").join(stats, keys)
+    kinds = {name: f if hasattr(f, "merge") else OfAll(f) for name, f in functions.items()}
+    return aggregated(d, [*keys, "gene"], "n_cells", "count", kinds)
 
 
 def constant_columns(obs: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> list[str]:
@@ -84,6 +79,19 @@ def constant_columns(obs: DataFrame, keys: Sequence[str], columns: Sequence[str]
     return [c for c in columns if r[c] == 1]
 
 
+def with_constant_columns(profiles: DataFrame, obs: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """profiles with those columns of obs (all by default) that have one value in each group; profiles of absent groups have nulls.
+
+    Groups whose value is null keep it, as null counts as a value.
+    """
+    keys = list(keys)
+    columns = [c for c in (columns or obs.columns) if c not in (*keys, "cell_id") and c not in profiles.columns]
+    same = constant_columns(obs, keys, columns) if columns else []
+    if not same:
+        return profiles
+    return profiles.join(obs.groupBy(*keys).agg(*[F.max(c).alias(c) for c in same]), keys, "left")
+
+
 def distinct_values(obs: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """The most values that each column has in any group."""
     each = obs.groupBy(*keys).agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in columns])

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tissueflow.operators.scans import placed, plain, preceding, ranged, running
+
 
 def _order(key: str, seed: int) -> Column:
     return F.xxhash64(F.col(key).cast("string"), F.lit(seed))
@@ -88,21 +90,23 @@ def pseudo_spot_counts(draws: DataFrame, expression: DataFrame, key: str = "cell
 
 
 def batches(df: DataFrame, key: str, size: int, by: str = "sample_id", shuffle: bool = False, seed: int = 0) -> DataFrame:
-    """df with batch (from 0 in each sample): blocks of size rows that never mix samples."""
-    order = [_order(key, seed), key] if shuffle else [key]
-    w = Window.partitionBy(by).orderBy(*order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    """df with batch (from 0 in each sample): blocks of size rows that never mix samples. A sample of any size is numbered in ranges."""
+    d = df.withColumn("_h", _order(key, seed)) if shuffle else df
+    t = placed(ranged(d, [by], ["_h", key] if shuffle else [key]), [by], "_place")
+    return plain(t.withColumn("batch", F.floor(F.col("_place") / size)), "_place", "_h")
 
 
 def bag_pointers(df: DataFrame, key: str, bag: str, by: Sequence[str] = ("sample_id", "batch")) -> DataFrame:
     """df with pointer: 0 for the batch's first bag, one more wherever the bag changes in key order."""
-    w = Window.partitionBy(*by).orderBy(key)
-    change = F.when(F.lag(bag).over(w) != F.col(bag), 1).otherwise(0)
-    return df.withColumn("_c", change).withColumn("pointer", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
+    by = list(by)
+    t = preceding(ranged(df, by, [key], before={"_kept": bag}), by, bag, "_kept", "_before")
+    change = F.when(F.col("_before") != F.col(bag), 1).otherwise(0).cast("long")
+    t = ranged(plain(t.withColumn("_c", change), "_kept", "_before"), by, [key], sums={"_upto": "_c"})
+    t = running(t, by, "_c", "_upto", "_changes")
+    return plain(t.withColumn("pointer", F.col("_changes") + F.col("_c")), "_c", "_upto", "_changes")
 
 
 def bag_offsets(df: DataFrame, bag: str, by: str = "sample_id") -> DataFrame:
     """by, bag, n and offset: where each bag begins when bags follow each other."""
     n = df.groupBy(by, bag).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(by).orderBy(bag).rowsBetween(Window.unboundedPreceding, 0)
-    return n.withColumn("offset", F.sum("n").over(w) - F.col("n"))
+    return plain(running(ranged(n, [by], [bag], sums={"_upto": "n"}), [by], "n", "_upto", "offset"), "_upto")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tissueflow.sources.store import written
+
 # A patch of 72 pixels at a quarter micron a pixel.
 PATCH, PATCH_MICRONS = 72, 0.25
 #: Offsets of the six neighbours on a hexagonal lattice of array_row and array_col.
@@ -79,15 +83,55 @@ def hex_neighbours(spots: DataFrame) -> DataFrame:
     return a.join(spots.select("sample_id", F.col("spot_id").alias("dst"), "array_row", "array_col"), ["sample_id", "array_row", "array_col"]).select("sample_id", "src", "dst")
 
 
-def nearest_neighbours(spots: DataFrame, reach: float, n: int = 6, longest: float = 1.3) -> DataFrame:
-    """Without lattice places: the n nearest within reach, but for edges of longest times the sample's median or more."""
+def _binned(points: DataFrame, level: int) -> DataFrame:
+    """points with bins of their sample's width times 2 ** level."""
+    size = F.col("width") * float(2.0**level)
+    return points.withColumn("bx", F.floor((F.col("x") - F.col("x0")) / size)).withColumn("by", F.floor((F.col("y") - F.col("y0")) / size))
+
+
+def _first_level(points: DataFrame, most: int = 64, least: int = -20) -> int:
+    """The coarsest level, from 0 down, at which no bin holds more than most points."""
+    level = 0
+    while level > least and (_binned(points, level).groupBy("sample_id", "bx", "by").count().agg(F.max("count")).first()[0] or 0) > most:
+        level -= 1
+    return level
+
+
+def nearest_of_all(spots: DataFrame, n: int = 6) -> DataFrame:
+    """sample_id, src, dst, d, k: the n nearest other spots of each spot of a sample (all, if fewer), ties by name.
+
+    Grid bins double from round to round. A round looks at the nine bins around each open spot, beyond which everything is further than one bin: a spot
+    whose n-th distance is no longer than that is done, and only the others go on. So dense places are done in small bins, and what
+    is far from all others in a few rounds more. Spots without a place take no part.
+    """
+    box = spots.groupBy("sample_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"), F.count("*").alias("size"))
+    width = F.greatest(F.sqrt(2 * F.col("w") * F.col("h") / F.col("size")), 2 * F.greatest("w", "h") / F.col("size"))
+    box = box.select("sample_id", "x0", "y0", F.greatest("w", "h").alias("extent"), F.when(width > 0, width).otherwise(1.0).alias("width"))
+    points = written(spots.select("sample_id", "spot_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x is not null and y is not null").join(box, "sample_id"), "points")
     near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    a = spots.select("sample_id", F.col("spot_id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    a = a.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
-    a = a.withColumn("bx", F.floor(F.col("ax") / reach) + F.col("dx")).withColumn("by", F.floor(F.col("ay") / reach) + F.col("dy"))
-    b = spots.select("sample_id", F.col("spot_id").alias("dst"), F.col("x").alias("cx"), F.col("y").alias("cy")).withColumn("bx", F.floor(F.col("cx") / reach)).withColumn("by", F.floor(F.col("cy") / reach))
-    d = a.join(b, ["sample_id", "bx", "by"]).filter("src <> dst").withColumn("d", F.hypot(F.col("ax") - F.col("cx"), F.col("ay") - F.col("cy"))).filter(F.col("d") <= reach)
-    d = d.withColumn("k", F.row_number().over(Window.partitionBy("sample_id", "src").orderBy("d", "dst"))).filter(F.col("k") <= n)
+    by = Window.partitionBy("sample_id", "src").orderBy("d", "dst")
+    level, open_, done = _first_level(points), points.select("sample_id", "spot_id"), []
+    while True:
+        binned = _binned(points, level)
+        a = binned.join(open_, ["sample_id", "spot_id"], "left_semi").select("sample_id", F.col("spot_id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by", "width", "extent")
+        a = a.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumn("bx", F.col("bx") + F.col("dx")).withColumn("by", F.col("by") + F.col("dy")).drop("dx", "dy")
+        b = binned.select("sample_id", F.col("spot_id").alias("dst"), "x", "y", "bx", "by")
+        d = a.join(b, ["sample_id", "bx", "by"]).filter("src <> dst").withColumn("d", F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y")))
+        found = written(d.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= n).select("sample_id", "src", "dst", "d", "k", "width", "extent"), "neighbours")
+        reach = F.col("width") * float(2.0**level)
+        full = found.groupBy("sample_id", "src").agg(F.count("*").alias("n"), F.max("d").alias("most"), F.first("width").alias("width")).filter((F.col("n") >= n) & (F.col("most") <= reach)).select("sample_id", F.col("src").alias("spot_id"))
+        ended = points.filter(F.col("extent") < reach).select("sample_id", "spot_id")  # nothing of the sample is further away
+        over = full.union(ended).distinct()
+        done.append(found.join(over.withColumnRenamed("spot_id", "src"), ["sample_id", "src"], "left_semi").select("sample_id", "src", "dst", "d", "k"))
+        open_ = written(open_.join(over, ["sample_id", "spot_id"], "left_anti"), "open-spots")
+        if open_.isEmpty():
+            return reduce(DataFrame.union, done)
+        level += 1
+
+
+def nearest_neighbours(spots: DataFrame, n: int = 6, longest: float = 1.3) -> DataFrame:
+    """sample_id, src, dst without lattice places: the n nearest, but for edges of longest times the sample's median or more."""
+    d = nearest_of_all(spots, n)
     middle = d.groupBy("sample_id").agg(F.median("d").alias("m"))
     return d.join(middle, "sample_id").filter(F.col("d") < longest * F.col("m")).select("sample_id", "src", "dst")
 

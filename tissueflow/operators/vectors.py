@@ -7,6 +7,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,43 +15,149 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tissueflow.functions.scalars import class_name, distance
+from tissueflow.sources.store import written
 
-#: Keys that a block of the top-k match holds.
+#: Keys that a block of the top-k match holds, or thereabouts.
 KEY_BLOCK = 4096
+#: Balls of keys at most, and queries that meet a block at once.
+BALLS, QUERY_PACK = 1024, 1024
 # Patches of 72 x 72 colour pixels, of which the middle 48 x 48 count.
 PATCH, CROP = 72, 48
 
 
-def top_matches(queries: DataFrame, keys: DataFrame, k: int) -> DataFrame:
-    """query_id, key_id, similarity, rank: the k keys of highest cosine for each query, ties to the smaller id.
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _stacked(vectors: pa.Array, n: int) -> np.ndarray:
+    return np.asarray(vectors.flatten(), dtype=np.float64).reshape(n, -1)
+
+
+def _with_direction(d: DataFrame) -> DataFrame:
+    """Rows whose vector has a direction: no null or non-finite component, not all zero."""
+    v = F.col("embedding")
+    return d.filter(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
+
+
+def ball_centres(keys: DataFrame, balls: int, sample: int = 64, rounds: int = 8) -> np.ndarray:
+    """Unit centres by k-means on cosine over at most sample keys for each ball, those first in order of a hash."""
+    rows = keys.orderBy(F.xxhash64("key_id"), "key_id").limit(sample * balls).select("embedding").collect()
+    x = _units(np.array([r["embedding"] for r in rows], dtype=np.float64))
+    centres = x[np.linspace(0, len(x) - 1, min(balls, len(x))).astype(int)]
+    for _ in range(rounds):
+        near = (x @ centres.T).argmax(axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, near, x)
+        norm = np.sqrt((total * total).sum(axis=1))
+        centres = np.where(norm[:, None] > 1e-9, total / np.maximum(norm, 1e-9)[:, None], centres)
+    return centres
+
+
+def _in_balls(keys: DataFrame, centres: np.ndarray) -> DataFrame:
+    """key_id, embedding, ball (of the nearest centre) and its cosine."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                s = _units(_stacked(batch.column(1), batch.num_rows)) @ centres.T
+                ball = s.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ball.astype(np.int32)), pa.array(s[np.arange(len(s)), ball])], names=["key_id", "embedding", "ball", "cosine"])
+
+    return keys.select(F.col("key_id").cast("long").alias("key_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "key_id long, embedding array<double>, ball int, cosine double")
+
+
+def _planned(queries: DataFrame, centres: np.ndarray, widest: np.ndarray, first: int, last: int) -> DataFrame:
+    """query_id, embedding, ball: of each query's balls in order of their bound, those from first to last that can hold a match above least.
 
-    Keys are packed into blocks and queries into packs; a pair of blocks is one matrix product, of which only
-    each query's best k leave the task.
+    A ball whose members are at most widest (an angle) from its centre holds no cosine above that of the angle to the centre less widest.
     """
-    blocks = max(1, -(-keys.count() // KEY_BLOCK))
-    packs = max(1, -(-queries.count() // KEY_BLOCK))
-    pack = lambda d, name, n: d.groupBy(F.pmod(F.xxhash64(f"{name}_id"), F.lit(n)).alias(name)).agg(F.collect_list(F.struct(f"{name}_id", "embedding")).alias("rows")).select(F.col(f"rows.{name}_id").alias(f"{name}_ids"), F.col("rows.embedding").alias(f"{name}_vectors"))
-    # blocks against packs, rows never against rows
-    pairs = pack(keys, "key", blocks).crossJoin(pack(queries, "query", packs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                x, q = (np.stack([np.asarray(v, dtype=np.float64) for v in vs]) for vs in (r.key_vectors, r.query_vectors))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    x, q = (v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None] for v in (x, q))
-                s = np.nan_to_num(q @ x.T, nan=-2.0)
-                ids = np.asarray(r.key_ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                q = _units(_stacked(batch.column(1), batch.num_rows))
+                angle = np.arccos(np.clip(q @ centres.T, -1, 1))
+                bound = np.cos(np.clip(angle - widest, 0, np.pi)) + 1e-9
+                order = np.argsort(-bound, axis=1, kind="stable")[:, first:last]
+                ok = np.take_along_axis(bound, order, axis=1) >= batch.column(2).to_numpy()[:, None]
+                row, place = np.nonzero(ok)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(order[row, place].astype(np.int32))], names=["query_id", "embedding", "ball"])
+
+    return queries.mapInArrow(run, "query_id long, embedding array<double>, ball int")
+
+
+def _packed(d: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows of each group as one: ids and their vectors, one after another."""
+    d = d.groupBy(*keys).agg(F.collect_list(F.struct(f"{name}_id", "embedding")).alias("rows"))
+    return d.select(*keys, F.col(f"rows.{name}_id").alias(f"{name}_ids"), F.flatten("rows.embedding").alias(f"{name}_vectors"))
+
+
+def _block_matches(pairs: DataFrame, k: int) -> DataFrame:
+    """query_id, key_id, similarity: the best k keys of a block for each query of a pack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, q_ids = (np.asarray(batch.column(c)[r].values) for c in (0, 2))
+                x, q = (_units(np.asarray(batch.column(c)[r].values, dtype=np.float64).reshape(n, -1)) for c, n in ((1, len(ids)), (3, len(q_ids))))
+                s = np.round(q @ x.T, 12)  # so that equal keys tie
                 n = min(k, len(ids))
-                for j, query in enumerate(r.query_ids):
-                    least = np.partition(s[j], len(ids) - n)[len(ids) - n]
-                    at = np.flatnonzero(s[j] >= least)
-                    at = at[np.lexsort((ids[at], -s[j][at]))][:n]
-                    yield pd.DataFrame({"query_id": query, "key_id": ids[at], "similarity": s[j][at]})
+                row, at = np.nonzero(s >= np.partition(s, len(ids) - n, axis=1)[:, len(ids) - n, None])
+                order = np.lexsort((ids[at], -s[row, at], row))
+                row, at = row[order], at[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q_ids)))[row]
+                row, at = row[rank < n], at[rank < n]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[at]), pa.array(s[row, at])], names=["query_id", "key_id", "similarity"])
+
+    return pairs.select("key_ids", "key_vectors", "query_ids", "query_vectors").mapInArrow(run, "query_id long, key_id long, similarity double")
+
 
-    found = pairs.mapInPandas(run, "query_id long, key_id long, similarity double").filter("similarity > -2")
+def top_matches(queries: DataFrame, keys: DataFrame, k: int, block: int = KEY_BLOCK, report: dict[str, int] | None = None) -> DataFrame:
+    """query_id, key_id, similarity, rank: the k keys of highest cosine for each query, ties to the smaller id.
+
+    Keys lie in balls around at most BALLS centres, balls in blocks of some block keys. A query visits balls in the order of the highest cosine that they can
+    hold, a few more in each round, until its k-th best reaches what the next ball can hold. A pack of queries and a block are one matrix product, of which only
+    each query's best k leave the task. report gets the numbers of pairs of queries and balls there are and that were visited.
+    """
+    keys, queries = _with_direction(keys), _with_direction(queries)
+    n_keys, n_queries = keys.count(), queries.count()
+    empty = keys.sparkSession.createDataFrame([], "query_id long, key_id long, similarity double, rank int")
+    if not n_keys or not n_queries:
+        return empty
+    centres = ball_centres(keys, max(1, min(BALLS, -(-n_keys // block))))
+    held = written(_in_balls(keys, centres), "keys-in-balls")
+    sizes = {r["ball"]: r for r in held.groupBy("ball").agg(F.count("*").alias("n"), F.min("cosine").alias("least")).collect()}  # BALLS rows at most
+    full = sorted(sizes)
+    centres, widest = centres[full], np.array([np.arccos(np.clip(sizes[b]["least"], -1, 1)) + 1e-7 for b in full])
+    number = F.create_map(*[F.lit(x) for i, b in enumerate(full) for x in (b, i)])
+    parts = F.create_map(*[F.lit(x) for b in full for x in (b, max(1, -(-sizes[b]["n"] // block)))])
+    held = held.withColumn("part", F.pmod(F.xxhash64("key_id"), parts[F.col("ball")])).withColumn("ball", number[F.col("ball")])
+    held = written(_packed(held, ["ball", "part"], "key"), "key-blocks")
+    asked = written(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")), "asked")
+    packs = max(1, -(-n_queries // QUERY_PACK))
+    best, first, step, visited = None, 0, 1, 0
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    while first < len(full):
+        least = asked.withColumn("least", F.lit(-2.0))
+        if best is not None:
+            kth = best.filter(F.col("rank") == k).select("query_id", F.col("similarity").alias("kth"))
+            least = asked.join(kth, "query_id", "left").select("query_id", "embedding", F.coalesce("kth", F.lit(-2.0)).alias("least"))
+        plan = written(_planned(least, centres, widest, first, first + step), "planned-visits")
+        n = plan.count()
+        visited += n
+        if n:
+            pack = _packed(plan.withColumn("pack", F.pmod(F.xxhash64("query_id"), F.lit(packs))), ["ball", "pack"], "query")
+            found = _block_matches(held.join(pack, "ball"), k)
+            found = found if best is None else found.union(best.drop("rank"))
+            best = written(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "best-matches")
+        elif best is not None:
+            break  # bounds descend: what follows can hold no more than this
+        first, step = first + step, 4 * step
+    if report is not None:
+        report |= {"pairs": n_queries * len(full), "visited": visited}
+    return empty if best is None else best
 
 
 def match_weights(matches: DataFrame, queries: DataFrame, keys: DataFrame) -> DataFrame:
@@ -143,6 +250,7 @@ def cluster_embeddings(embeddings: DataFrame, k: int = 6, dims: int = 50, seed:
     d = embeddings.withColumn("_v", array_to_vector(F.col("embedding").cast("array<double>")))
     d = PCA(k=dims, inputCol="_v", outputCol="_p").fit(d).transform(d).persist()
     model = KMeans(k=k, seed=seed, featuresCol="_p", predictionCol="cluster").fit(d)
+    d.unpersist()
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
     p = vector_to_array("_p")
     return model.transform(d).withColumn("distances", F.transform(centres, lambda c: distance(p, c))).drop("_v", "_p")

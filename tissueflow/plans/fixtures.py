@@ -19,6 +19,8 @@ def _sample(k: str) -> str:
     return _SAMPLE.replace("{k}", k)
 
 
+#: All genes that expression can have.
+GENES = [f"MT-G{k}" if k < 5 else f"G{k}" for k in range(200)]
 #: Later ones may use earlier ones by name.
 TABLES = {
     "transcripts": f"""SELECT concat('S', l_returnflag) AS sample_id,
@@ -39,16 +41,19 @@ TABLES = {
     "ref_cells": """SELECT DISTINCT concat('r', CAST(l_orderkey % 2000 AS STRING)) AS cell_id, concat('t', CAST(l_orderkey % 2000 % 8 AS STRING)) AS cell_type,
         concat('S', CAST(l_orderkey % 2000 % 3 AS STRING)) AS sample_id, concat('v', CAST(l_orderkey % 2000 % 5 AS STRING)) AS tissue FROM {lineitem}""",
     "ref_expression": f"""SELECT concat('r', CAST(l_orderkey % 2000 AS STRING)) AS cell_id, {_GENE} AS gene, sum(l_quantity) AS count FROM {_LINES} t GROUP BY 1, 2""",
-    "bulk_cells": """SELECT DISTINCT concat('d', CAST(l_orderkey % 120 AS STRING)) AS cell_id, concat('S', CAST(l_orderkey % 120 % 4 AS STRING)) AS sample_id FROM {lineitem}""",
-    "bulk_expression": f"""SELECT concat('d', CAST(l_orderkey % 120 AS STRING)) AS cell_id, {_GENE} AS gene, sum(l_quantity) AS count FROM {_LINES} t GROUP BY 1, 2""",
+    "bulk_cells": """SELECT DISTINCT concat('u', CAST(l_suppkey AS STRING)) AS cell_id, concat('S', CAST(l_suppkey % 4 AS STRING)) AS sample_id FROM {lineitem}""",
+    "bulk_expression": f"""SELECT concat('u', CAST(l_suppkey AS STRING)) AS cell_id, {_GENE} AS gene, sum(l_quantity) AS count FROM (SELECT *, least(l_orderkey % 200, (l_partkey * 7 + l_linenumber * 31) % 200) AS g FROM {{lineitem}}) t GROUP BY 1, 2""",
     "samples": """SELECT CAST(doc_id AS STRING) AS id, CASE WHEN lang = 'en' THEN 'Homo sapiens' ELSE lang END AS species, CASE WHEN doc_id % 4 = 0 THEN 'Visium' WHEN doc_id % 4 = 1 THEN 'Xenium' ELSE source END AS st_technology,
         CASE WHEN doc_id % 3 = 0 THEN 'FFPE' ELSE 'Fresh Frozen' END AS preservation_method, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN concat('block ffpe, "', source, '"') ELSE source END AS subseries,
         concat('o', CAST(doc_id % 6 AS STRING)) AS organ FROM {documents}""",
+    "samples_of_texts": """SELECT CAST(doc_id AS STRING) AS id, CASE WHEN lang = 'en' THEN 'Homo sapiens' ELSE lang END AS species, CASE WHEN doc_id % 4 = 0 THEN 'Visium' WHEN doc_id % 4 = 1 THEN 'Xenium' ELSE source END AS st_technology,
+        CASE WHEN doc_id % 3 = 0 THEN 'FFPE' ELSE 'Fresh Frozen' END AS preservation_method, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN concat(text, ' Ffpe block') ELSE text END AS subseries,
+        concat('o', CAST(doc_id % 6 AS STRING)) AS organ FROM {documents}""",
     "signature": """SELECT concat('G', CAST(p_partkey AS STRING)) AS gene, CASE WHEN p_size % 6 = 0 THEN 'Connective' WHEN p_size % 6 = 1 THEN 'Dead' WHEN p_size % 6 = 2 THEN 'Epithelial' WHEN p_size % 6 = 3 THEN 'Inflammatory' ELSE 'Neoplastic' END AS celltype
         FROM {part} WHERE p_partkey % 3 = 0""",
     "gene_list": "SELECT concat('G', CAST(p_partkey AS STRING)) AS gene FROM {part} WHERE p_partkey % 4 = 0 UNION ALL SELECT concat('G', CAST(p_partkey AS STRING)) FROM {part} WHERE p_partkey % 8 = 0",
     "truth": """SELECT sample_id, spot_id, spot_pos, gene, ln(1 + count * 10000 / (sum(count) OVER (PARTITION BY spot_id))) AS value FROM [expression] e""",
-    "pred": """SELECT spot_id, gene, CAST(0.7 AS DOUBLE) * value + CAST((spot_pos * 31 + length(gene) * 17) % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS value FROM [truth] t WHERE gene <> 'G20'""",
+    "pred": """SELECT sample_id, spot_id, gene, CAST(0.7 AS DOUBLE) * value + CAST((spot_pos * 31 + length(gene) * 17) % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS value FROM [truth] t WHERE gene <> 'G20'""",
     "embedded": f"""SELECT {_sample("vec_id")} AS sample_id, vec_id AS cell_idx, embedding, label, CASE WHEN vec_id % 11 = 0 THEN NULL ELSE concat('s', CAST(vec_id % 40 AS STRING), '_', {_sample("vec_id")}) END AS spot_id FROM {{embeddings}}""",
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tissueflow.operators import counts, pseudobulk, qc
+from tissueflow.operators import aggregates, counts, pseudobulk, qc
 from tissueflow.plans.registry import register
 from tissueflow.sources.store import written
 
@@ -84,13 +84,17 @@ _PB = """, x AS (SELECT c.sample_id, c.cell_type, e.* FROM ref_expression e JOIN
 _pb = lambda t, mode: pseudobulk.pseudobulk(t.stored("ref_expression"), t.ref_cells, groups="cell_type", mode=mode, min_cells=83)
 register("a8_pseudobulk_sum", lambda t: _pb(t, "sum"), "ref_cells ref_expression", f"{_PB} SELECT sample_id, cell_type, gene, sum(count) AS value, round(count(*) / n_cells::DOUBLE, 6) AS prop, n_cells, counts FROM x JOIN st USING (sample_id, cell_type) GROUP BY sample_id, cell_type, gene, n_cells, counts")
 register("a8_pseudobulk_mean", lambda t: _pb(t, "mean"), "ref_cells ref_expression", f"{_PB} SELECT sample_id, cell_type, gene, round(sum(count) / n_cells, 6) AS value, round(count(*) / n_cells::DOUBLE, 6) AS prop, n_cells, counts FROM x JOIN st USING (sample_id, cell_type) GROUP BY sample_id, cell_type, gene, n_cells, counts")
-register("a8b_pseudobulk_median", lambda t: pseudobulk.pseudobulk(t.stored("bulk_expression"), t.bulk_cells, mode="median"), "bulk_cells bulk_expression", """, every AS (SELECT c.sample_id, c.cell_id, g.gene, coalesce(count, 0) AS count FROM bulk_cells c CROSS JOIN (SELECT DISTINCT gene FROM bulk_expression) g LEFT JOIN bulk_expression e ON e.cell_id = c.cell_id AND e.gene = g.gene),
+register("a8b_pseudobulk_median", lambda t: pseudobulk.pseudobulk(t.stored("bulk_expression"), t.bulk_cells, mode="median"), "bulk_cells bulk_expression", """,
+    every AS (SELECT c.sample_id, c.cell_id, g.gene, coalesce(count, 0) AS count FROM bulk_cells c CROSS JOIN (SELECT DISTINCT gene FROM bulk_expression) g LEFT JOIN bulk_expression e ON e.cell_id = c.cell_id AND e.gene = g.gene),
     st AS (SELECT sample_id, count(DISTINCT cell_id) AS n_cells, sum(count) AS counts FROM every GROUP BY 1)
     SELECT sample_id, gene, round(median(count), 6) AS value, round(count(*) FILTER (count <> 0) / n_cells::DOUBLE, 6) AS prop, n_cells, counts FROM every JOIN st USING (sample_id) GROUP BY sample_id, gene, n_cells, counts HAVING median(count) <> 0""")
 register("a8_pseudobulk_by_sample", lambda t: pseudobulk.pseudobulk(t.stored("ref_expression"), t.ref_cells), "ref_cells ref_expression", """, st AS (SELECT c.sample_id, count(*) AS n_cells, sum(t) AS counts FROM ref_cells c LEFT JOIN (SELECT cell_id, sum(count) AS t FROM ref_expression GROUP BY 1) USING (cell_id) GROUP BY ALL HAVING count(*) >= 10 AND sum(t) >= 1000)
     SELECT sample_id, gene, sum(count) AS value, round(count(*) / n_cells::DOUBLE, 6) AS prop, n_cells, counts FROM ref_expression JOIN ref_cells USING (cell_id) JOIN st USING (sample_id) GROUP BY sample_id, gene, n_cells, counts""")
-register("a8c_x1_user_aggregates", lambda t: pseudobulk.pseudobulk_with(t.stored("ref_expression"), t.ref_cells, ["cell_type"], {"spread": lambda v: float(v.max() - v.min()), "mean": lambda v: float(v.mean())}), "ref_cells ref_expression", """, st AS (SELECT cell_type, count(*) AS n FROM ref_cells GROUP BY 1)
+register("a8c_x1_user_aggregates", lambda t: pseudobulk.pseudobulk_with(t.stored("ref_expression"), t.ref_cells, ["cell_type"], {"spread": aggregates.Spread(), "mean": aggregates.Moments()}), "ref_cells ref_expression", """, st AS (SELECT cell_type, count(*) AS n FROM ref_cells GROUP BY 1)
     SELECT cell_type, gene, max(count) - CASE WHEN count(*) = n THEN min(count) ELSE 0 END AS spread, round(sum(count) / n, 6) AS mean FROM ref_expression JOIN ref_cells USING (cell_id) JOIN st USING (cell_type) GROUP BY cell_type, gene, n""")
+_noted = lambda t: t.ref_cells.withColumn("number", F.substring("sample_id", 2, 1)).withColumn("kind", F.when(F.col("cell_type") != "t3", F.concat(F.lit("k"), F.col("cell_type"))))
+register("a9_profile_metadata", lambda t: pseudobulk.with_constant_columns(pseudobulk.pseudobulk(t.stored("ref_expression"), t.ref_cells, groups="cell_type", min_cells=83), _noted(t), ["sample_id", "cell_type"]), "ref_cells ref_expression", f"""{_PB}
+    SELECT sample_id, cell_type, gene, sum(count) AS value, round(count(*) / n_cells::DOUBLE, 6) AS prop, n_cells, counts, substr(sample_id, 2, 1) AS number, CASE WHEN cell_type <> 't3' THEN concat('k', cell_type) END AS kind FROM x JOIN st USING (sample_id, cell_type) GROUP BY sample_id, cell_type, gene, n_cells, counts""")
 register("a9_distinct_values", lambda t: pseudobulk.distinct_values(t.ref_cells.withColumn("half", F.substring("tissue", 1, 1)), ["sample_id", "cell_type"], ["tissue", "half"]), "ref_cells",
     "SELECT max(a) AS tissue, max(b) AS half FROM (SELECT count(DISTINCT tissue) AS a, count(DISTINCT substr(tissue, 1, 1)) AS b FROM ref_cells GROUP BY sample_id, cell_type)")
 register("a10_expressed_genes", lambda t: pseudobulk.expressed_genes(_pb(t, "sum"), 0.1, 2), "ref_cells ref_expression", f"""{_PB}, p AS (SELECT sample_id, cell_type, gene, count(*) / n_cells::DOUBLE AS prop FROM x JOIN st USING (sample_id, cell_type) GROUP BY sample_id, cell_type, gene, n_cells)

@@ -20,29 +20,29 @@ register("j2_cells_of_spot", lambda t: _assigned(t, 40).filter("spot_id = 's77_S
 register("a26_coverage", lambda t: spatial.coverage(_assigned(t), t.spots), "cells spots", f""", {_hit(60)} SELECT a.sample_id, count(*) AS n_cells, count(spot_id) AS n_matched, count(DISTINCT spot_id) AS n_spots_with_cells, 500 AS n_spots, round(100.0::DOUBLE * count(spot_id) / count(*), 6) AS percent FROM assigned a GROUP BY 1""")
 register("a2_spot_cell_lists", lambda t: spatial.spot_cell_lists(_assigned(t)).withColumn("cells", F.array_join(F.col("cells").cast("array<string>"), ",")), "cells spots", f", {_hit(60)} SELECT sample_id, spot_id, string_agg(CAST(cell_idx AS VARCHAR), ',' ORDER BY cell_idx) AS cells FROM assigned WHERE spot_id IS NOT NULL GROUP BY 1, 2")
 register("a3_cells_per_spot", lambda t: spatial.cells_per_spot(t.spots, _assigned(t, 40)).select("sample_id", "spot_id", F.col("n_cells").cast("double").alias("n_cells")), "cells spots", f", {_hit(40)} SELECT s.sample_id, s.spot_id, CAST(nullif(count(a.cell_idx), 0) AS DOUBLE) AS n_cells FROM spots s LEFT JOIN assigned a ON a.spot_id = s.spot_id GROUP BY ALL")
-register("j3_bags", lambda t: spatial.bags(t.expression.filter("spot_pos % 9 <> 0"), _assigned(t, 40)).withColumn("cells", F.array_join(F.col("cells").cast("array<string>"), ",")), "cells spots expression", f", {_hit(40)} SELECT sample_id, spot_id, string_agg(CAST(cell_idx AS VARCHAR), ',' ORDER BY cell_idx) AS cells FROM assigned a WHERE EXISTS (SELECT 1 FROM expression e WHERE e.spot_id = a.spot_id AND e.spot_pos % 9 <> 0) GROUP BY 1, 2")
-register("j3_bag_coverage", lambda t: spatial.bag_coverage(t.expression.filter("spot_pos % 9 <> 0"), _assigned(t, 40)), "cells spots expression", f""", {_hit(40)}, e AS (SELECT DISTINCT sample_id, spot_id FROM expression WHERE spot_pos % 9 <> 0), c AS (SELECT DISTINCT sample_id, spot_id FROM assigned WHERE spot_id IS NOT NULL)
+register("j3_bags", lambda t: spatial.bags(t.expression, _assigned(t, 40)).withColumn("cells", F.array_join(F.col("cells").cast("array<string>"), ",")), "cells spots expression", f", {_hit(40)} SELECT sample_id, spot_id, string_agg(CAST(cell_idx AS VARCHAR), ',' ORDER BY cell_idx) AS cells FROM assigned a WHERE EXISTS (SELECT 1 FROM expression e WHERE e.spot_id = a.spot_id) GROUP BY 1, 2")
+register("j3_bag_coverage", lambda t: spatial.bag_coverage(t.expression, _assigned(t, 40)), "cells spots expression", f""", {_hit(40)}, e AS (SELECT DISTINCT sample_id, spot_id FROM expression), c AS (SELECT DISTINCT sample_id, spot_id FROM assigned WHERE spot_id IS NOT NULL)
     SELECT coalesce(e.sample_id, c.sample_id) AS sample_id, count(e.spot_id) AS n_expression, count(c.spot_id) AS n_cells, count(*) FILTER (e.spot_id IS NOT NULL AND c.spot_id IS NOT NULL) AS n_both, round(count(*) FILTER (e.spot_id IS NOT NULL AND c.spot_id IS NOT NULL) / count(e.spot_id)::DOUBLE, 6) AS of_expression, round(count(*) FILTER (e.spot_id IS NOT NULL AND c.spot_id IS NOT NULL) / count(c.spot_id)::DOUBLE, 6) AS of_cells FROM e FULL JOIN c ON e.spot_id = c.spot_id GROUP BY 1""")
 register("f4_patch_boxes", lambda t: spatial.patch_boxes(t.cells, t.slide_meta).select("cell_idx", "left", "top", "size"), "cells slide_meta", """SELECT cell_idx, CAST(trunc(l) AS BIGINT) AS "left", CAST(trunc(u) AS BIGINT) AS top, CAST(trunc(size) AS BIGINT) AS size
     FROM (SELECT *, x - floor(size / 2) AS l, y - floor(size / 2) AS u FROM (SELECT *, 72 * (0.25 / pixel_size) AS size FROM cells JOIN slide_meta USING (sample_id))) WHERE l + size >= 0 AND l < width AND u + size >= 0 AND u < height""")
 _EDGES = "edges AS (SELECT a.sample_id, a.spot_id AS src, b.spot_id AS dst FROM spots a JOIN spots b ON a.sample_id = b.sample_id AND ((a.array_row = b.array_row AND abs(a.array_col - b.array_col) = 2) OR (abs(a.array_row - b.array_row) = 1 AND abs(a.array_col - b.array_col) = 1)))"
 register("j13_hex_neighbours", lambda t: spatial.hex_neighbours(t.spots), "spots", f", {_EDGES} SELECT * FROM edges")
-register("j13_nearest_neighbours", lambda t: spatial.nearest_neighbours(t.spots, 250), "spots", """, d AS (SELECT a.sample_id, a.spot_id AS src, b.spot_id AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM spots a JOIN spots b ON a.sample_id = b.sample_id AND a.spot_id <> b.spot_id AND abs(a.x - b.x) <= 250 AND abs(a.y - b.y) <= 250),
+register("j13_nearest_neighbours", lambda t: spatial.nearest_neighbours(t.spots), "spots", """, d AS (SELECT a.sample_id, a.spot_id AS src, b.spot_id AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM spots a JOIN spots b ON a.sample_id = b.sample_id AND a.spot_id <> b.spot_id AND abs(a.x - b.x) <= 250 AND abs(a.y - b.y) <= 250),
     k AS (SELECT * FROM d WHERE d <= 250 QUALIFY row_number() OVER (PARTITION BY sample_id, src ORDER BY d, dst) <= 6) SELECT sample_id, src, dst FROM k QUALIFY d < 1.3 * median(d) OVER (PARTITION BY sample_id)""")
 register("j14_position_join", lambda t: spatial.position_join(t.expression.withColumn("id", F.concat(((F.col("spot_pos") % 25) * 100).cast("int"), F.lit("x"), (F.floor(F.col("spot_pos") / 50) * 174).cast("int"))).select("id", "gene", "count"), t.spots.filter("sample_id = 'SA'").select("x", "y")), "expression spots",
     "SELECT concat(CAST(x AS BIGINT), 'x', CAST(y AS BIGINT)) AS id, gene, count, x, y FROM expression JOIN spots s ON s.sample_id = 'SA' AND x = (expression.spot_pos % 25) * 100 AND y = floor(expression.spot_pos / 50) * 174")
 register("fn9_standardised_coordinates", lambda t: spatial.standardise_coordinates(t.spots), "spots", "SELECT * REPLACE (round((x - avg(x) OVER w) / stddev_pop(x) OVER w, 6) AS x, round((y - avg(y) OVER w) / stddev_pop(y) OVER w, 6) AS y) FROM spots WINDOW w AS (PARTITION BY sample_id)")
-# Moran's I against its dense definition, for the genes of the signature
-_MORAN = f"""expr AS (SELECT * FROM expression WHERE gene IN (SELECT gene FROM signature)), {_EDGES}, w AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM edges),
+# Moran's I against its dense definition
+_MORAN = f"""expr AS (SELECT * FROM expression), {_EDGES}, w AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM edges),
     dense AS (SELECT s.sample_id, s.spot_id, g.gene, coalesce(count, 0) AS v FROM spots s JOIN (SELECT DISTINCT sample_id, gene FROM expr) g ON g.sample_id = s.sample_id LEFT JOIN expr e ON e.spot_id = s.spot_id AND e.gene = g.gene),
     z AS (SELECT *, v - avg(v) OVER (PARTITION BY sample_id, gene) AS z FROM dense), moran AS (SELECT n.sample_id, n.gene, n.n / n.sw * x.s / n.zz AS i FROM
     (SELECT z.sample_id, gene, count(*) AS n, sum(z * z) AS zz, any_value(sw) AS sw FROM z JOIN (SELECT sample_id, sum(w) AS sw FROM w GROUP BY 1) t ON t.sample_id = z.sample_id GROUP BY ALL) n JOIN
-    (SELECT a.sample_id, a.gene, sum(w * a.z * b.z) AS s FROM w JOIN z a ON a.spot_id = w.src JOIN z b ON b.spot_id = w.dst AND b.gene = a.gene GROUP BY ALL) x ON x.sample_id = n.sample_id AND x.gene = n.gene)"""
-_expr = lambda t: t.stored("expression").join(t.signature.select("gene").distinct(), "gene", "left_semi")
+    (SELECT a.sample_id, a.gene, sum(a.z * b.around) AS s FROM z a JOIN (SELECT src, gene, sum(w * z) AS around FROM w JOIN z ON z.spot_id = w.dst GROUP BY ALL) b ON a.spot_id = b.src AND a.gene = b.gene GROUP BY ALL) x ON x.sample_id = n.sample_id AND x.gene = n.gene)"""
+_expr = lambda t: t.stored("expression")
 _moran = lambda t: spatial.morans_i(_expr(t), t.spots, spatial.hex_neighbours(t.spots))
-register("a19_morans_i", _moran, "expression spots signature", f", {_MORAN} SELECT sample_id, gene, round(i, 6) AS i FROM moran")
-register("a19_spatially_variable", lambda t: genes.spatially_variable(_expr(t), t.spots, spatial.hex_neighbours(t.spots), 10).select("sample_id", "gene", "rank"), "expression spots signature", f", {_MORAN} SELECT sample_id, gene, row_number() OVER (PARTITION BY sample_id ORDER BY i DESC, gene) AS rank FROM moran QUALIFY rank <= 10")
-register("a20_common_spatially_variable", lambda t: genes.common_spatially_variable(_moran(t), 10), "expression spots signature", f", {_MORAN} SELECT gene, round(exp(avg(ln(CASE WHEN i > 0 THEN i END))), 6) AS score FROM moran GROUP BY 1 HAVING count(CASE WHEN i > 0 THEN 1 END) > 0 ORDER BY exp(avg(ln(CASE WHEN i > 0 THEN i END))) DESC, gene LIMIT 10")
+register("a19_morans_i", _moran, "expression spots", f", {_MORAN} SELECT sample_id, gene, round(i, 6) AS i FROM moran")
+register("a19_spatially_variable", lambda t: genes.spatially_variable(_expr(t), t.spots, spatial.hex_neighbours(t.spots), 10).select("sample_id", "gene", "rank"), "expression spots", f", {_MORAN} SELECT sample_id, gene, row_number() OVER (PARTITION BY sample_id ORDER BY i DESC, gene) AS rank FROM moran QUALIFY rank <= 10")
+register("a20_common_spatially_variable", lambda t: genes.common_spatially_variable(_moran(t), 10), "expression spots", f", {_MORAN} SELECT gene, round(exp(avg(ln(CASE WHEN i > 0 THEN i END))), 6) AS score FROM moran GROUP BY 1 HAVING count(CASE WHEN i > 0 THEN 1 END) > 0 ORDER BY exp(avg(ln(CASE WHEN i > 0 THEN i END))) DESC, gene LIMIT 10")
 
 # samples of cells, batches and bags
 register("w6_batches", lambda t: sampling.batches(t.cells, "cell_idx", 128).select("sample_id", "cell_idx", "batch"), "cells", "SELECT sample_id, cell_idx, CAST(floor((row_number() OVER (PARTITION BY sample_id ORDER BY cell_idx) - 1) / 128) AS BIGINT) AS batch FROM cells")

@@ -46,6 +46,32 @@ register("a11_bag_means", lambda t: vectors.bag_means(_predicted(t), ["G0", "G1"
 register("a12_bag_nb_means", lambda t: vectors.bag_nb_means(vectors.bag_means(_predicted(t), ["G0", "G1", "G2"]), qc.size_factors(t.expression, t.spots)), "embedded expression spots", f"""{_PRED}, s AS (SELECT s.sample_id, s.spot_id, coalesce(sum(count), 0) AS total FROM spots s LEFT JOIN expression e ON e.spot_id = s.spot_id GROUP BY ALL), f AS (SELECT *, total / median(total) OVER (PARTITION BY sample_id) AS size_factor FROM s)
     SELECT p.sample_id, p.spot_id, gene, round(avg(value), 6) AS value, round(any_value(size_factor), 6) AS size_factor, round(avg(value) * any_value(size_factor), 6) AS mu FROM p JOIN f ON f.spot_id = p.spot_id GROUP BY 1, 2, 3""")
 
+# a network of three layers, each activation against SQL; the k-th output of a layer of n inputs has weights ((k * 7 + j * 3 + n) % 5 - 2) / n
+_SIZES = (64, 12, 8, 5)
+_weight = lambda k, j, n: ((k * 7 + j * 3 + n) % 5 - 2) / n
+_DEEP = [(np.array([[_weight(k, j, n) for j in range(n)] for k in range(m)]), np.array([(k % 3 - 1) / 10.0 for k in range(m)])) for n, m in zip(_SIZES, _SIZES[1:], strict=False)]
+
+
+def _deep_sql(out: str) -> str:
+    x = "embedding::DOUBLE[]"
+    parts = []
+    for i, (n, m) in enumerate(zip(_SIZES, _SIZES[1:], strict=False)):
+        z = f"[list_sum([x[j + 1] * (((k * 7 + j * 3 + {n}) % 5 - 2) / {n}.0::DOUBLE) FOR j IN range({n})]) + (k % 3 - 1) / 10.0::DOUBLE FOR k IN range({m})]"
+        z = z if m == _SIZES[-1] else f"[CASE WHEN v > 0 THEN v ELSE 0.01::DOUBLE * v END FOR v IN {z}]"
+        parts.append(f"h{i + 1} AS (SELECT cell_idx, {z} AS x FROM {'(SELECT cell_idx, ' + x + ' AS x FROM embedded)' if i == 0 else f'h{i}'})")
+    return f", {', '.join(parts)}, o AS (SELECT cell_idx, {out} AS y FROM h{len(parts)}) SELECT cell_idx, " + ", ".join(f"round(y[{k + 1}], 6) AS p{k}" for k in range(_SIZES[-1])) + " FROM o"
+
+
+_ACTIVATIONS = {
+    "relu": "[greatest(v, 0) FOR v IN x]",
+    "softplus": "[CASE WHEN 20 * v > 20 THEN v ELSE ln(1 + exp(20 * v)) / 20 END FOR v IN x]",
+    "sigmoid": "[1 / (1 + exp(-v)) FOR v IN x]",
+    "softmax": "[exp(v) / list_sum([exp(u) FOR u IN x]) FOR v IN x]",
+    "identity": "x",
+}
+for _name, _out in _ACTIVATIONS.items():
+    register(f"m3_deep_{_name}", lambda t, a=_name: vectors.predict_cells(t.embedded, _DEEP, a).select("cell_idx", *[F.col("prediction")[k].alias(f"p{k}") for k in range(_SIZES[-1])]), "embedded", _deep_sql(_out))
+
 # distances to fixed centres stand in for fitted ones where SQL has to follow
 _DIST = "d AS (SELECT vec_id AS cell_idx, label AS cluster, c AS centre, list_distance(embedding::DOUBLE[], [CASE WHEN j % 10 = c THEN 0.5::DOUBLE ELSE 0 END FOR j IN range(64)]) AS distance FROM embeddings CROSS JOIN (SELECT unnest(range(10)) AS c))"
 
@@ -69,4 +95,5 @@ def _images(t: Tables) -> DataFrame:
 
 
 register("a5_patch_statistics", lambda t: vectors.patch_statistics(_images(t)).select("sample_id", *[F.col(c)[k].alias(f"{c}{k}") for c in ("mean", "std") for k in range(3)]))
-register("fn10_normalised_patches", lambda t: vectors.normalised_patches(_images(t), (0.5, 0.4, 0.3), (0.2, 0.2, 0.2)).select("sample_id", "cell_idx", F.col("pixels")[0].alias("first"), F.size("pixels").alias("n")))
+_pixels = lambda f: F.aggregate("pixels", F.lit(0.0), lambda a, x: a + f(x.cast("double")))
+register("fn10_normalised_patches", lambda t: vectors.normalised_patches(_images(t), (0.5, 0.4, 0.3), (0.2, 0.2, 0.2)).select("sample_id", "cell_idx", F.size("pixels").alias("n"), F.col("pixels")[0].alias("first"), _pixels(lambda x: x).alias("total"), _pixels(lambda x: x * x).alias("squares"), F.array_min("pixels").alias("least"), F.array_max("pixels").alias("most")))

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tissueflow.sources import cell_store
+
 SAMPLES = "id string, species string, st_technology string, preservation_method string, subseries string, organ string"
 
 
@@ -59,10 +61,11 @@ def export_spot_files(expression: DataFrame, spots: DataFrame, genes: Sequence[s
     return {"radius": 0.5 * spot_diameter, "pixel": 8000 / 2000 * scale}
 
 
-def append_cells(batches: Iterable[DataFrame], path: str) -> None:
-    """Write batches of cells to one store; the first replaces what is there."""
-    for k, batch in enumerate(batches):
-        batch.write.mode("append" if k else "overwrite").partitionBy("sample_id").parquet(path)
+def append_cells(batches: Iterable[DataFrame], path: str, load: str = "cells", replace: bool = True) -> None:
+    """Write batches of cells to the store at path (see cell_store) as one load, which replaces what is there, or with replace=False adds to it."""
+    named = ((f"batch-{k}", b) for k, b in enumerate(batches))
+    spark = SparkSession.active()
+    cell_store.append(spark, path, load, named, replace)
 
 
 def save_results(df: DataFrame, path: str, exp_tag: str, test_slide: str, infer_mode: str) -> None:
