@@ -118,3 +118,13 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = {r["node"]: r["label"] for r in graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: x for v, x in label.items() if any(a != b and v in (a, b) for a, b in edges)}
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Two texts alike but for a word and its Thue-Morse complement: 20 of 26 shingles are shared, not all."""
+    word = lambda letters: "".join(letters[k.bit_count() & 1] for k in range(2048))
+    shared = [f"w{k}" for k in range(24)]
+    rows = [(k, " ".join([*shared[:12], word(letters), *shared[12:]]), None, None, None) for k, letters in enumerate(("ab", "ba"))]
+    check(spark.createDataFrame(rows, DOCUMENTS), rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, DOCUMENTS), size=3, percent=85).collect()
+    assert sorted(r["component_id"] for r in got) == [0, 1]

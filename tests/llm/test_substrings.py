@@ -57,3 +57,36 @@ def test_borders(spark):
     d = spark.createDataFrame(rows, DOCUMENTS)
     for window in (20, 32, 50):
         assert check(d, rows, window) > 0
+
+
+def thue_morse(n, letters):
+    return "".join(letters[k.bit_count() & 1] for k in range(n))
+
+
+def test_words_that_polynomials_confuse(spark):
+    """The Thue-Morse word and its complement: equal under any polynomial modulo 2 ** 64, so a hash must not be one."""
+    shared = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([thue_morse(2048, letters), *shared]), None, None, None) for k, letters in enumerate(("ab", "ba"))]
+    rows += [(k + 10, " ".join([*shared[:20], thue_morse(4096, letters), *shared[20:]]), None, None, None) for k, letters in enumerate(("ab", "ba", "ab"))]
+    d = spark.createDataFrame(rows, DOCUMENTS)
+    assert check(d, rows, 50) > 60
+
+
+def test_word_hashes_tell_words_apart():
+    import numpy as np
+
+    from tissueflow.llm.common import WORD_SEPARATORS, Words, separators
+
+    rng = random.Random(1)
+    words = {thue_morse(n, x) for n in (1, 8, 9, 64, 2048, 8192) for x in ("ab", "ba")} | {"a" * n for n in range(1, 300)} | {"x" * n + "y" for n in range(300)} | {"a\0", "a\0\0", "\0", "\0\0"}
+    words |= {"".join(rng.choice("abc") for _ in range(rng.randint(1, 40))) for _ in range(20000)}
+    words = sorted(words)
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    sep = separators(WORD_SEPARATORS)
+    for seed in (2, 22):
+        h = Words(raw, np.array([0, len(raw)]), sep).hashes(seed)
+        assert len(set(h.tolist())) == len(words) == len(h)
+        alone = [Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), sep).hashes(seed)[0] for w in words[::500]]
+        assert alone == h[::500].tolist()  # whatever stands around a word
+    up = Words(np.frombuffer(b"Ab AB \xc3\x89 \xc3\xa9", np.uint8), np.array([0, 11]), sep).hashes(3, lower=True).tolist()
+    assert up[0] == up[1] and up[2] != up[3]

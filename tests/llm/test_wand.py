@@ -10,7 +10,7 @@ import numpy as np
 from tissueflow.llm import decontamination as dc
 
 LONG = """
-import itertools, random, resource, sys
+import itertools, random, sys
 from tissueflow.llm import decontamination as dc
 from tissueflow.llm.common import Words
 import numpy as np
@@ -24,7 +24,8 @@ words[1000:1000] = items[77][1].split()
 raw = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
 got = {i for _, i, *_ in index.leaks(Words(raw, np.array([0, len(raw)]), dc._NOT_WORD), dc.THRESHOLD, dc.OVERLAP)}
 assert 77 in got
-print(len(raw), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+peak = next(x for x in open("/proc/self/status") if x.startswith("VmHWM"))  # of this program alone; ru_maxrss begins with the parent's
+print(len(raw), int(peak.split()[1]) // 1024)
 """
 
 

@@ -104,6 +104,33 @@ def byte_table(lower: bool, seed: int = 0) -> np.ndarray:
     return t
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: The first n bytes of a little-endian number.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=_U)
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Sums of pseudo-random functions of a word's chunks of eight bytes and their places: no polynomial, so no words with a pattern in common collide.
+
+    Words of at most eight bytes differ in their one chunk or length, and mix() is bijective.
+    """
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    key = mix(_U([seed + 1]))
+    length = ends - starts
+    total = mix((eight[starts] & _FIRST[np.minimum(length, 8)]) + key)
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        more = (length[long] - 1) >> 3  # chunks after the first
+        begin = np.cumsum(more) - more
+        j = np.arange(int(more.sum())) - np.repeat(begin, more) + 1
+        at = np.repeat(starts[long], more) + 8 * j
+        chunk = eight[at] & _FIRST[np.minimum(np.repeat(ends[long], more) - at, 8)]
+        total[long] += np.add.reduceat(mix(mix(chunk + key) + j.astype(_U) * _R), begin)
+    return mix(total + length.astype(_U) * _S)
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n + 1 offsets; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):
@@ -151,18 +178,15 @@ class Words:
             self.ends = self.starts
         self.first = np.searchsorted(self.starts, offsets)
 
-    def hashes(self, table: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each word, from stretches of about PASS_BYTES, so a long text needs no more memory than its words."""
+    def hashes(self, seed: int, lower: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word (with lower, of its A-Z as a-z), from stretches of about PASS_BYTES, so a long text needs no more memory than its words."""
         out = np.empty(len(self.starts), dtype=_U)
         k = 0
         while k < len(out):
             base = self.starts[k]
             stop = max(k + 1, int(np.searchsorted(self.ends, base + PASS_BYTES, side="right")))
             part = self.raw[base : self.ends[stop - 1]]
-            total = np.zeros(len(part) + 1, dtype=_U)
-            np.cumsum(table[part] * _powers(_R, len(part)), out=total[1:])
-            start = self.starts[k:stop] - base
-            out[k:stop] = mix((total[self.ends[k:stop] - base] - total[start]) * _powers(_RI, len(part) + 1)[start])
+            out[k:stop] = _word_hashes(_LOWER[part] if lower else part, self.starts[k:stop] - base, self.ends[k:stop] - base, seed)
             k = stop
         return out
 

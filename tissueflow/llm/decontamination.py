@@ -1,7 +1,8 @@
 """Operator 4, benchmark decontamination: a BM25 inverted index of test items, queried with every training passage.
 
-Texts are cut into passages of twice the longest item, each half a passage after the last, so every copy of an
-item lies whole in some passage. A passage is a query to the index by block-max WAND, for many passages at once:
+Items are indexed by classes of their length, each up to twice as long as the one before. For each class, texts are cut into passages of
+twice its longest length, each half a passage after the last, so every copy of an item lies whole in some passage, and a long item
+does not make the passages of short ones long. A passage is a query to the index by block-max WAND, for many passages at once:
 
 1. A passage's terms are put in order of the most that each can add to any item. An item that holds only terms before
    the pivot, where the bounds first sum to the threshold, cannot reach it; these are the frequent terms, and their
@@ -16,12 +17,12 @@ limit. Each is then verified in the document: the share of the five-word shingle
 last) and of its answer (the last) must both reach OVERLAP, or that of the whole item.
 
 The index is built from items in parts of at most ITEMS, so what is sent to workers is bounded; a larger benchmark means
-more passes over the texts, with the frequencies and the passage length of the whole benchmark in each. Passages are
+more passes over the texts, with the frequencies of the whole benchmark in each. Passages are
 searched in groups whose arrays hold at most ENTRIES numbers (or one passage), so memory does not grow with a text's length
 beyond a few numbers for each word.
 
 Defined results: null and empty texts hold nothing; items without words match nothing; items alike in text all
-match; repeated rows get equal results; an empty table on either side gives no leaks; columns other than those named are
+match; an item without an id is reported as -1; repeated rows get equal results; an empty table on either side gives no leaks; columns other than those named are
 ignored by leaks() and come back unchanged from clean().
 """
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_table, column_bytes, passes, windows
+from .common import Words, column_bytes, passes, windows
 
 THRESHOLD = 0.6
 OVERLAP = 0.8
@@ -46,7 +47,7 @@ ITEMS_BLOCK = 4
 #: Numbers in an array of one group of passages.
 ENTRIES = 1 << 20
 K1, B = 1.2, 0.75
-_TABLE = byte_table(lower=True, seed=4)
+_SEED = 4
 _NOT_WORD = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _SENTENCE_END = np.array([chr(b) in ".!?\n" for b in range(256)])
 
@@ -66,7 +67,7 @@ def item_words(text: str | None) -> tuple[np.ndarray, int]:
     """Hashes of an item's words, and how many of them are its question."""
     raw, offsets = _bytes(text or "")
     w = Words(raw, offsets, _NOT_WORD)
-    h = w.hashes(_TABLE)
+    h = w.hashes(_SEED, lower=True)
     if not len(h):
         return h, 0
     # the answer begins after the last sentence end that has words behind it
@@ -80,7 +81,6 @@ class Benchmark:
 
     n: int
     mean: float
-    longest: int
     terms: np.ndarray
     df: np.ndarray
 
@@ -100,6 +100,10 @@ def _groups(sizes: np.ndarray, most: int) -> Iterator[slice]:
         a = b
 
 
+def length_class(words: int) -> int:
+    return max(0, words - 1).bit_length()
+
+
 class Index:
     """Postings by term in item order: items and impacts (shares of the item's own score), and each block's largest impact."""
 
@@ -118,9 +122,9 @@ class Index:
         t, self.posting = np.divmod(key, max(1, n))
         df = np.bincount(t, minlength=len(self.terms))
         if of is None:
-            of = Benchmark(n, float(lengths.mean()) if n else 1.0, int(lengths.max(initial=1)), self.terms, df)
+            of = Benchmark(n, float(lengths.mean()) if n else 1.0, self.terms, df)
         df = of.df[np.searchsorted(of.terms, self.terms)]
-        self.longest = of.longest
+        self.longest = 1 << length_class(int(lengths.max(initial=1)))  # the same in every part of a benchmark
         score = np.log(1 + (of.n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.posting] / of.mean))
         self.impact = score / np.bincount(self.posting, weights=score, minlength=n)[self.posting]
         self.first = np.searchsorted(t, np.arange(len(self.terms) + 1))
@@ -213,9 +217,9 @@ class Index:
             found.append((where[g][cell // ITEMS_BLOCK], block[g][cell // ITEMS_BLOCK] * ITEMS_BLOCK + cell % ITEMS_BLOCK, score[cell]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def leaks(self, w: Words, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float, float]]:
+    def leaks(self, w: Words, threshold: float, overlap: float, h: np.ndarray | None = None) -> Iterator[tuple[int, int, float, float, float, float]]:
         """document, item, score, and shares of the question, the answer and the whole item, best passage of each."""
-        h = w.hashes(_TABLE)
+        h = w.hashes(_SEED, lower=True) if h is None else h
         term = self.lookup(h)
         half = self.longest
         count = np.diff(w.first)
@@ -259,11 +263,33 @@ class Index:
         return shares
 
 
-def _index(part: tuple, kept: dict = {}) -> Index:  # noqa: B006  one for each worker process
+class Classes:
+    """An index for each class of lengths, with the frequencies of all items."""
+
+    def __init__(self, items: list[tuple[int, str]], of: Benchmark | None = None):
+        classes: dict[int, list] = {}
+        for item in items:
+            if n := len(item_words(item[1])[0]):
+                classes.setdefault(length_class(n), []).append(item)
+        if of is None and len(classes) > 1:
+            every = [item_words(text)[0] for _, text in items]
+            every = [h for h in every if len(h)]
+            terms, df = np.unique(np.concatenate([np.unique(h) for h in every]), return_counts=True)
+            of = Benchmark(len(every), float(np.mean([len(h) for h in every])), terms, df)
+        self.indexes = [Index(classes[c], of) for c in sorted(classes)]
+
+    def leaks(self, w: Words, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float, float]]:
+        """What the indexes find in some documents."""
+        h = w.hashes(_SEED, lower=True)
+        for index in self.indexes:
+            yield from index.leaks(w, threshold, overlap, h)
+
+
+def _index(part: tuple, kept: dict = {}) -> Classes:  # noqa: B006  one for each worker process
     items, of = part
     key = hash(tuple(items))
     if kept.get("key") != key:
-        kept["index"], kept["key"] = Index(items, of), key
+        kept["index"], kept["key"] = Classes(items, of), key
     return kept["index"]
 
 
@@ -282,7 +308,7 @@ def parts_of(items: DataFrame, size: int = ITEMS) -> Iterator[tuple[list[tuple[i
                     yield pa.RecordBatch.from_arrays([pa.array([part] * len(terms), pa.int64()), pa.array(terms), pa.array([len(h)] * len(terms), pa.int64()), pa.array(np.arange(len(terms)) == 0)], names=["part", "term", "words", "head"])
 
         words = items.select("text", "part").mapInArrow(run, "part long, term long, words long, head boolean")
-        n, mean, longest = words.filter("head").agg(F.count("*"), F.avg("words"), F.max("words")).first()
+        n, mean = words.filter("head").agg(F.count("*"), F.avg("words")).first()
         df = words.groupBy("term").agg(F.count("*").alias("df"))
     for k in range(parts):
         own, of = items.filter(F.col("part") == k), None
@@ -290,7 +316,7 @@ def parts_of(items: DataFrame, size: int = ITEMS) -> Iterator[tuple[list[tuple[i
             rows = words.filter(F.col("part") == k).select("term").distinct().join(df, "term").collect()  # the terms of one part
             table = np.array([(r["term"], r["df"]) for r in rows], dtype=np.int64).reshape(-1, 2)
             order = np.argsort(table[:, 0].astype(np.int64).view(np.uint64))
-            of = Benchmark(n, mean or 1.0, longest or 1, np.ascontiguousarray(table[order, 0]).view(np.uint64), table[order, 1])
+            of = Benchmark(n, mean or 1.0, np.ascontiguousarray(table[order, 0]).view(np.uint64), table[order, 1])
         yield sorted((-1 if r["item_id"] is None else r["item_id"], r["text"]) for r in own.collect()), of
 
 

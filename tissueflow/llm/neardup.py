@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS, Words, byte_table, column_bytes, mix, passes, separators, windows, within, written
+from .common import WORD_SEPARATORS, Words, column_bytes, mix, passes, separators, windows, within, written
 from .graphs import components
 
 REGISTERS = 280
@@ -47,7 +47,7 @@ HOT = 1000
 MISS = 1e-6
 #: A pair is verified if its estimate comes within this of the threshold (over four standard deviations).
 MARGIN = 0.13
-_TABLE, _SEP = byte_table(lower=True, seed=3), separators(WORD_SEPARATORS)
+_SEED, _SEP = 3, separators(WORD_SEPARATORS)
 _MULTIPLY = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(77)) | np.uint64(1)
 _ADD = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(131))
 
@@ -64,7 +64,7 @@ def rows_per_band(threshold: float, registers: int = REGISTERS) -> int:
 def shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all documents, in order, and where each document's begin."""
     w = Words(raw, offsets, _SEP)
-    h = w.hashes(_TABLE)
+    h = w.hashes(_SEED, lower=True)
     n = np.diff(w.first)
     runs = windows(h, size)
     at = np.flatnonzero(within(w.first, len(h), size))

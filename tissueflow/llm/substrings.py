@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS, Words, byte_table, column_bytes, keyed, passes, separators, windows, within, written
+from .common import WORD_SEPARATORS, Words, column_bytes, keyed, passes, separators, windows, within, written
 
 WINDOW = 50
 # Perfect difference sets (every residue is a difference of two members, once).
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 73: (0, 1, 3, 7, 15, 31, 36, 54, 63)}
 _SEP = separators(WORD_SEPARATORS)
-_TABLE, _TABLE2 = byte_table(lower=False, seed=2), byte_table(lower=False, seed=22)
+_SEEDS = 2, 22
 _LAST = (1 << 63) - 1
 
 
@@ -55,7 +55,7 @@ def anchors(keyed: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             ids, keys = (batch.column(k).to_numpy() for k in (0, 1))
             for a, _, w in _parts(batch, 2):
-                h = windows(w.hashes(_TABLE), width)
+                h = windows(w.hashes(_SEEDS[0]), width)
                 at = np.flatnonzero(within(w.first, len(w.starts), width))
                 doc = w.doc_of(at)
                 place = at - w.first[doc]
@@ -76,7 +76,7 @@ def candidate_windows(keyed: DataFrame, places: DataFrame, window: int) -> DataF
             ids, keys = (batch.column(k).to_numpy() for k in (0, 1))
             marks = batch.column(3)
             for a, b, w in _parts(batch, 2):
-                h, h2 = windows(w.hashes(_TABLE), window), windows(w.hashes(_TABLE2), window)
+                h, h2 = (windows(w.hashes(s), window) for s in _SEEDS)
                 change = np.zeros(len(w.starts) + 1, dtype=np.int32)
                 for d in range(b - a):
                     p = np.asarray(marks[a + d].values) + w.first[d]
