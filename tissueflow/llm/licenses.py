@@ -1,8 +1,8 @@
 """Operator 9, license scans as an exact set-similarity join. DataFrame functions only.
 
 Blocks of text are joined with license templates by containment: at least CONTAINMENT of a template's distinct
-words stand in the block. Blocks are lines and, for notices wrapped over several lines, all runs of consecutive
-words twice as long as the template. Template words are put in order of their frequency in the whole corpus,
+words stand in the block. Blocks are all runs of consecutive words twice as long as the template, whatever the lines of a text, so
+words far apart do not add up and wrapped notices are found. Template words are put in order of their frequency in the whole corpus,
 rarest first, and a block's words that stand in any template follow the same order. Of a block B that reaches the threshold of
 a template T, the first shared word is among the first |T| - need + 1 words of T and |B| - need + 1 of B (prefix filters), B has
 need words or more (length filter), and where that word is T's i-th and B's j-th, as many must be left on both sides, so
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 CONTAINMENT = 0.8
-#: A notice over line ends is looked for in runs of RUN times a template's words; a stretch has STEP places of a run.
+#: A notice is looked for in runs of RUN times a template's words; a stretch has STEP places of a run.
 RUN, STEP = 2, 64
 
 #: Notices of widely used public licenses, as their holders ask them to be quoted.
@@ -113,14 +113,6 @@ def _some(near: list[str]) -> str:
     return "(?<![0-9a-z\\x{80}-\\x{10FFFF}])(?:" + "|".join(map(re.escape, near)) + ")(?![0-9a-z\\x{80}-\\x{10FFFF}])"
 
 
-def blocks(docs: DataFrame, near: list[str]) -> DataFrame:
-    """key, block and the words of each line that holds one of the words in near."""
-    some = _some(near)
-    d = docs.select(_key().alias("key"), lowered(F.coalesce("text", F.lit(""))).alias("t")).filter(F.col("t").rlike(some))
-    d = d.select("key", F.posexplode(F.split("t", "\n", -1)).alias("block", "line")).filter(F.col("line").rlike(some))
-    return d.select("key", "block", F.split(spaced(F.col("line")), " ", -1).alias("words"))
-
-
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """In how many documents each template word stands; the result is as large as the templates."""
     words = F.array_intersect(F.split(spaced(lowered(F.coalesce("text", F.lit("")))), " ", -1), F.array(*[F.lit(w) for w in vocabulary]))
@@ -158,24 +150,13 @@ class Prefixes:
         return pairs.filter((F.size(shared) >= F.col("need")) & (F.get(shared, F.lit(0)) == F.col("word")))
 
 
-def _lines(docs: DataFrame, p: Prefixes) -> DataFrame:
-    score = F.size(F.array_intersect("ordered", "words")) / F.size("ordered")
-    return p.pairs(blocks(docs, p.near)).select("key", "block", "label", score.alias("score")).distinct()
-
-
-def containment_join(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
-    """key, block, label, score of every line that holds at least threshold of a template's words."""
-    return _lines(docs, Prefixes(docs, templates, threshold))
-
-
-def _over_lines(docs: DataFrame, p: Prefixes) -> DataFrame:
-    """key, label, score of runs of a text's words, whatever its line ends: the best run of each stretch of STEP places.
+def _runs(docs: DataFrame, p: Prefixes) -> DataFrame:
+    """key, label, score of runs of a text's words: the best run of each stretch of STEP places.
 
     A stretch is followed by the words that its last run still needs. The prefix, length and positional filters look
     at it whole; only what passes is counted run by run, from each place that holds a word of the template.
     """
-    d = docs.select(_key().alias("key"), lowered(F.coalesce("text", F.lit(""))).alias("t"))
-    d = d.filter(F.col("t").contains("\n") & F.col("t").rlike(_some(p.near)))
+    d = docs.select(_key().alias("key"), lowered(F.coalesce("text", F.lit(""))).alias("t")).filter(F.col("t").rlike(_some(p.near)))
     d = d.select("key", F.split(spaced(F.col("t")), " ", -1).alias("all"))
     places = F.sequence(F.lit(1), F.size("all"), F.lit(STEP))
     d = d.select("key", F.transform(places, lambda k: F.slice("all", k, STEP + p.longest - 1)).alias("stretches"))
@@ -186,10 +167,14 @@ def _over_lines(docs: DataFrame, p: Prefixes) -> DataFrame:
     return pairs.select("key", "label", "ordered", "need", overlap.alias("n")).filter(F.col("n") >= F.col("need")).select("key", "label", (F.col("n") / F.size("ordered")).alias("score"))
 
 
+def containment_join(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
+    """key, label, score: the best run of each text for each label of which a template reaches the threshold."""
+    return _runs(docs, Prefixes(docs, templates, threshold)).groupBy("key", "label").agg(F.max("score").alias("score"))
+
+
 def licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
     """Per document the base places and labels, the labels of both ways, and the best score."""
-    p = Prefixes(docs, templates, threshold)
-    found = _lines(docs, p).drop("block").unionByName(_over_lines(docs, p)).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
+    found = _runs(docs, Prefixes(docs, templates, threshold)).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
     rows = base(docs).join(found, "key", "left")
     both = F.array_union("base_labels", F.coalesce("found", F.array().cast("array<string>")))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("score", F.lit(0.0)))

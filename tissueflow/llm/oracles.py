@@ -60,11 +60,10 @@ def _op9() -> str:
     split = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_LOWER.format("coalesce(text, '')")} AS t, {split.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
     b AS ({" UNION ALL ".join(places)}), base AS (SELECT r, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b GROUP BY 1),
-    line AS (SELECT r, {split.format("line")} AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)), tpl AS ({" UNION ALL ".join(rows)}),
-    whole AS (SELECT r, label, tw, run, w FROM d CROSS JOIN tpl WHERE contains(t, chr(10)) AND len(list_intersect(tw, w)) >= {CONTAINMENT} * len(tw) - 1e-9),
+    tpl AS ({" UNION ALL ".join(rows)}),
+    whole AS (SELECT r, label, tw, run, w FROM d CROSS JOIN tpl WHERE len(list_intersect(tw, w)) >= {CONTAINMENT} * len(tw) - 1e-9),
     runs AS (SELECT r, label, len(tw) AS size, list_max([len(list_intersect(tw, w[i:i + run - 1])) FOR i IN range(1, len(w) + 1) IF list_contains(tw, w[i])]) AS n FROM whole),
-    c AS (SELECT r, label, len(list_intersect(tw, lw)) / len(tw) AS score FROM line CROSS JOIN tpl WHERE len(list_intersect(tw, lw)) >= {CONTAINMENT} * len(tw) - 1e-9
-        UNION ALL SELECT r, label, n / size FROM runs WHERE n >= {CONTAINMENT} * size - 1e-9),
+    c AS (SELECT r, label, n / size AS score FROM runs WHERE n >= {CONTAINMENT} * size - 1e-9),
     every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM b UNION ALL SELECT r, label FROM c) GROUP BY 1), best AS (SELECT r, max(score) AS score FROM c GROUP BY 1)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels, CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0) END AS score
     FROM d LEFT JOIN base USING (r) LEFT JOIN every USING (r) LEFT JOIN best USING (r)"""
