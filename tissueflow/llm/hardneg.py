@@ -20,7 +20,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -55,14 +55,21 @@ def _order(rows: DataFrame) -> tuple[list[int], float]:
     return [r["k"] for r in energy], float(np.sqrt(most)) if most is not None else 0.0
 
 
-def _blocks(rows: DataFrame, order: Sequence[int], block: int) -> tuple[DataFrame, int]:
-    """label, block, ids, vectors (one array, dimensions in order): rows of a label in blocks of some block rows."""
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # a row for each label
-    count = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, max(1, -(-n // block)))]) if sizes else F.create_map(F.lit(0), F.lit(1))
-    d = rows.select("id", "label", F.array(*[F.get("v", F.lit(k)) for k in order]).alias("v"))
-    d = d.withColumn("block", F.pmod(F.xxhash64("id"), count[F.col("label")]).cast("int"))
-    d = d.groupBy("label", "block").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows"))
-    return d.select("label", "block", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("vectors")), sum(max(1, -(-n // block)) for n in sizes.values())
+def _blocks(rows: DataFrame, order: Sequence[str], block: int) -> tuple[DataFrame, dict[int, range]]:
+    """number, ids, vectors (one array, dimensions in order): rows of a label in blocks of some block rows; and the numbers of each label's blocks."""
+    numbers, n = {}, 0
+    for r in rows.groupBy("label").count().orderBy("label").collect():  # a row for each label
+        numbers[r["label"]] = range(n, n + max(1, -(-r["count"] // block)))
+        n = numbers[r["label"]].stop
+    d = rows.select("id", F.array(*[F.get("v", F.lit(k)) for k in order]).alias("v"), _of(numbers, lambda r: r.start).alias("first"), _of(numbers, len).alias("n"), "label")
+    d = d.withColumn("number", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("n"))).cast("int"))
+    d = d.groupBy("label", "number").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows"))
+    return d.select("label", "number", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("vectors")), numbers
+
+
+def _of(numbers: dict[int, range], what: Callable[[range], int]) -> Column:
+    """what of the block numbers of a row's label."""
+    return F.create_map(*[F.lit(x) for label, r in numbers.items() for x in (label, what(r))])[F.col("label")]
 
 
 class Index:
@@ -114,17 +121,17 @@ def _first(group: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.
     return order[rank < k]
 
 
-def _packs(anchors: DataFrame, blocks: DataFrame, by_label: bool, columns: list[str]) -> DataFrame:
-    """Packs of some PACK anchors of one label, for each block that they meet, beside that block's rows."""
-    # a stated query set against all rows, in blocks
+def _packs(anchors: DataFrame, blocks: DataFrame, numbers: dict[int, range], own: bool, columns: list[str]) -> DataFrame:
+    """Packs of some PACK anchors of one label beside each block that they meet: those of their label, or all others."""
     d = anchors.groupBy("label", "pack").agg(F.collect_list(F.struct(*columns)).alias("rows"))
-    d = d.select(F.col("label").alias("q_label"), *[(F.flatten(f"rows.{c}") if c == "vector" else F.col(f"rows.{c}")).alias(f"q_{c}") for c in columns])
-    met = blocks.select("label", "block").withColumn("q_label", F.col("label")) if by_label else blocks.select("label", "block")
-    met = met.join(d, "q_label") if by_label else met.crossJoin(d).filter("label <> q_label")
-    return blocks.join(met, ["label", "block"])
+    first, last = _of(numbers, lambda r: r.start), _of(numbers, lambda r: r.stop - 1)
+    every = F.sequence(F.lit(0), F.lit(max(r.stop for r in numbers.values()) - 1))
+    met = F.filter(every, lambda k: k.between(first, last) if own else ~k.between(first, last))
+    d = d.select(F.explode(met).alias("number"), F.col("label").alias("q_label"), *[(F.flatten(f"rows.{c}") if c == "vector" else F.col(f"rows.{c}")).alias(f"q_{c}") for c in columns])
+    return blocks.drop("label").join(d, "number")
 
 
-def _positive_round(anchors: DataFrame, blocks: DataFrame, share: float | None, most: float, k: int) -> DataFrame:
+def _positive_round(anchors: DataFrame, blocks: DataFrame, numbers: dict[int, range], share: float | None, most: float, k: int) -> DataFrame:
     """anchor, label, id, score: the best k rows of each anchor's own label that reach the round's threshold, from each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,11 +149,11 @@ def _positive_round(anchors: DataFrame, blocks: DataFrame, share: float | None,
                 at = _first(a, score, ids[b], k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[at]]), pa.array(np.full(len(at), batch.column(2)[r].as_py(), np.int32)), pa.array(ids[b[at]]), pa.array(score[at].astype(np.int64))], names=["anchor", "label", "id", "score"])
 
-    pairs = _packs(anchors, blocks, True, ["anchor", "vector"]).select("ids", "vectors", "q_label", "q_anchor", "q_vector")
+    pairs = _packs(anchors, blocks, numbers, True, ["anchor", "vector"]).select("ids", "vectors", "q_label", "q_anchor", "q_vector")
     return pairs.mapInArrow(run, "anchor long, label int, id long, score long")
 
 
-def _negative_round(anchors: DataFrame, blocks: DataFrame, share: int, k: int) -> DataFrame:
+def _negative_round(anchors: DataFrame, blocks: DataFrame, numbers: dict[int, range], share: int, k: int) -> DataFrame:
     """anchor, positive_score, id, score: the best k rows of other labels in each open window, from each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +180,7 @@ def _negative_round(anchors: DataFrame, blocks: DataFrame, share: int, k: int) -
                     at = at[_first(a[at], score[at], ids[b[at]], k)]
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[at]]), pa.array(p[at]), pa.array(ids[b[at]]), pa.array(score[at])], names=["anchor", "positive_score", "id", "score"])
 
-    pairs = _packs(anchors, blocks, False, ["anchor", "vector", "tops"]).select("ids", "vectors", "q_anchor", "q_vector", "q_tops")
+    pairs = _packs(anchors, blocks, numbers, False, ["anchor", "vector", "tops"]).select("ids", "vectors", "q_anchor", "q_vector", "q_tops")
     return pairs.mapInArrow(run, "anchor long, positive_score long, id long, score long")
 
 
@@ -203,15 +210,16 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column, positiv
     none = spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     if not order:
         return none
-    blocks, n_blocks = _blocks(rows, order, block)
+    blocks, numbers = _blocks(rows, order, block)
     blocks = written(blocks, "hardneg-blocks")
+    dropped(rows)
     anchors = written(_anchors(blocks, is_anchor, len(order)), "hardneg-anchors")
     packs = max(1, -(-anchors.count() // PACK))
     anchors = anchors.withColumn("pack", F.pmod(F.xxhash64("anchor"), F.lit(packs)))
 
     taken, open_ = [], anchors
     for share in POSITIVE_ROUNDS:
-        found = written(_ranked(_positive_round(open_, blocks, share, most, positives), ["anchor", "label"], positives), "positives")
+        found = written(_ranked(_positive_round(open_, blocks, numbers, share, most, positives), ["anchor", "label"], positives), "positives")
         full = found if share is None else found.join(found.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= positives), "anchor", "left_semi")
         taken.append(full)
         open_ = open_.join(full.select("anchor").distinct(), "anchor", "left_anti")
@@ -226,7 +234,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column, positiv
         if left.isEmpty():
             break
         tops = left.groupBy("anchor").agg(F.sort_array(F.collect_list("positive_score")).alias("tops"))
-        found = written(_ranked(_negative_round(anchors.join(tops, "anchor"), blocks, share, negatives), ["anchor", "positive_score"], negatives), "negatives")
+        found = written(_ranked(_negative_round(anchors.join(tops, "anchor"), blocks, numbers, share, negatives), ["anchor", "positive_score"], negatives), "negatives")
         if share != LEAST:
             done = found.groupBy("anchor", "positive_score").agg(F.count("*").alias("n")).filter(F.col("n") >= negatives).select("anchor", "positive_score")
             found = found.join(done, ["anchor", "positive_score"], "left_semi")
