@@ -4,7 +4,7 @@ A key (a line, stripped and lower-cased) of at least MIN_POINTS code points that
 document of the smallest id. The first scan sets, for each key of a document, the bits of its hash in a filter of keys seen
 once; bits that a second document sets again go to the filter of keys seen twice. Filters are built in tasks, moved as
 the positions of their bits and merged segment by segment, so that no key is shuffled for them. The filter of keys seen twice,
-of at most 2 ** BITS bits (64 MB) whatever the corpus, is broadcast; the second scan sends only keys that it holds to an exact
+of at most 2 ** BITS bits (32 MB) whatever the corpus, is broadcast; the second scan sends only keys that it holds to an exact
 confirmation by 128-bit digests, which also finds the first document. A false positive costs a row of that
 shuffle and nothing else; a corpus too large for the filter tends to a plain grouping of digests, with the same results.
 
@@ -30,7 +30,7 @@ from .common import dropped, keyed, written
 
 MIN_POINTS = 10
 #: log2 of the bits of a filter and of one of its segments.
-BITS, SEGMENT = 29, 20
+BITS, SEGMENT = 28, 20
 #: Keys that a task gathers before it hands on their bits.
 GATHERED = 1 << 20
 _LAST = (1 << 63) - 1
@@ -167,13 +167,51 @@ def _later(found: DataFrame, first: DataFrame) -> DataFrame:
     return few.filter("id > least").select("id", "key", "h", "h2").union(marked.filter("id > hot").select("id", "key", "h", "h2"))
 
 
-def _flagged(rows: DataFrame, suspects: Suspects) -> DataFrame:
+#: Rows that are decided at once.
+ROWS = 500
+_RESULT = "doc_id long, n_lines long, n_dropped long, kept string, kept_sha256 string"
+
+
+def _results(ids: pa.Array, texts: pa.Array, gone: list[set[bytes]]) -> pa.RecordBatch:
+    n_lines, n_dropped, kept = [], [], []
+    for text, drop in zip(texts.cast(pa.large_binary()), gone, strict=True):
+        text = text.as_py() or b""
+        lines = text.split(b"\n")
+        left = [x for x, key in zip(lines, line_keys(text), strict=True) if key not in drop] if drop else lines
+        n_lines.append(len(lines))
+        n_dropped.append(len(lines) - len(left))
+        kept.append(b"\n".join(left) if drop else text)
+    shas = [hashlib.sha256(x).hexdigest() for x in kept]
+    doc_ids = [None if i == _LAST else i for i in ids.to_pylist()]
+    columns = [pa.array(doc_ids, pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(shas, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _RESULT.split(", ")])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
+def _clean(rows: DataFrame, suspects: Suspects) -> DataFrame:
+    """The results of documents without a suspect."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flags = [len(suspects.of(d)) > 0 for d in _digests(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], names=["id", "key", "text", "suspect"])
+        for part in _slices(batches):
+            part = part.filter(pa.array([not len(suspects.of(d)) for d in _digests(part.column(2))], pa.bool_()))
+            yield _results(part.column(0), part.column(2), [set()] * part.num_rows)
+
+    return rows.mapInArrow(run, _RESULT)
 
-    return rows.mapInArrow(run, "id long, key long, text string, suspect boolean")
+
+def _marked(rows: DataFrame, suspects: Suspects) -> DataFrame:
+    """The documents with a suspect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            yield part.filter(pa.array([len(suspects.of(d)) > 0 for d in _digests(part.column(2))], pa.bool_()))
+
+    return rows.mapInArrow(run, "id long, key long, text string")
 
 
 def without_repeated_lines(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -185,28 +223,14 @@ def without_repeated_lines(docs: DataFrame, bits: int = BITS) -> DataFrame:
     gone = written(_later(found, first).groupBy("id", "key").agg(F.collect_set(F.struct("h", "h2")).alias("gone")), "dropped-lines")
     for table in (found, first):
         dropped(table)
-    flagged = _flagged(rows, suspects)
-    clean = flagged.filter("not suspect").select("id", "text", F.lit(None).cast("array<struct<h: bigint, h2: bigint>>").alias("gone"))
-    d = flagged.filter("suspect").join(gone.hint("shuffle_hash"), ["id", "key"], "left").select("id", "text", "gone").union(clean)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, lists = batch.column(0).to_pylist(), batch.column(2)
-            n_lines, n_dropped, kept = [], [], []
-            for k, text in enumerate(batch.column(1).cast(pa.large_binary())):
-                text = text.as_py() or b""
-                lines = text.split(b"\n")
-                left = lines
-                if lists[k].is_valid:
-                    h = np.stack([np.asarray(c) for c in lists[k].values.flatten()], axis=1)
-                    drop = {r.tobytes() for r in h.astype("<i8")}
-                    left = [x for x, key in zip(lines, line_keys(text), strict=True) if key not in drop]
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(left))
-                kept.append(b"\n".join(left))
-            shas = [hashlib.sha256(x).hexdigest() for x in kept]
-            doc_ids = [None if i == _LAST else i for i in ids]
-            columns = [pa.array(doc_ids, pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array([x.decode() for x in kept], pa.string()), pa.array(shas, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_lines", "n_dropped", "kept", "kept_sha256"])
-
-    return d.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept string, kept_sha256 string")
+        for part in _slices(batches):
+            lists, drop = part.column(2), []
+            for k in range(part.num_rows):
+                h = [np.asarray(c) for c in lists[k].values.flatten()] if lists[k].is_valid else []
+                drop.append({r.tobytes() for r in np.stack(h, axis=1).astype("<i8")} if h else set())
+            yield _results(part.column(0), part.column(1), drop)
+
+    marked = _marked(rows, suspects).join(gone.hint("shuffle_hash"), ["id", "key"], "left").select("id", "text", "gone")
+    return marked.mapInArrow(run, _RESULT).union(_clean(rows, suspects))
