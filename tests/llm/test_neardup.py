@@ -128,3 +128,63 @@ def test_words_that_polynomials_confuse(spark):
     check(spark.createDataFrame(rows, DOCUMENTS), rows)
     got = neardup.near_duplicates(spark.createDataFrame(rows, DOCUMENTS), size=3, percent=85).collect()
     assert sorted(r["component_id"] for r in got) == [0, 1]
+
+
+def family(n, own, seed=0):
+    """Texts of 200 shared words, cut at some place by own words of each: near the threshold and below it, so none are linked."""
+    rng = random.Random(seed)
+    shared = [f"s{k}" for k in range(200)]
+    rows = []
+    for d in range(n):
+        at = rng.randrange(190)
+        rows.append((d, " ".join([*shared[:at], *[f"d{d}w{k}" for k in range(own)], *shared[at:]]), None, None, None))
+    return rows
+
+
+def meeting(a, b):
+    """Keys of two sets that make them partners."""
+    sides = dict(zip(b[0].tolist(), b[1].tolist(), strict=True))
+    return sum(k in sides and (s == 0 or s != sides[k]) for k, s in zip(a[0].tolist(), a[1].tolist(), strict=True))
+
+
+def test_prefix_keys_meet_for_every_pair_at_the_threshold():
+    rng = np.random.default_rng(2)
+    for percent in (80, 85):
+        for trial in range(400):
+            n = int(rng.integers(1, 90)) if trial % 2 else int(rng.integers(100, 900))
+            base = np.unique(rng.integers(0, 1 << 63, n + 300).astype(np.uint64) * np.uint64(2))
+            x = base[:n]
+            keep = x[rng.random(n) < rng.uniform(0.75, 1)]
+            y = np.unique(np.concatenate([keep, base[n : n + int(rng.integers(0, 1 + n // 4))]]))
+            if not len(y):
+                continue
+            both = len(np.intersect1d(x, y))
+            counters = np.full(1 << neardup.COUNTERS, 2)
+            counters[rng.integers(0, len(counters), 1 << 19)] = 9
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                assert meeting(*(neardup.prefix_keys(v, counters, percent) for v in (x, y))), (percent, len(x), len(y), both)
+
+
+def test_family_below_the_threshold(spark):
+    """No links, and no pairs to compare either: the members share no prefix key."""
+    rows = family(600, 36)
+    d = spark.createDataFrame(rows, DOCUMENTS)
+    got = neardup.near_duplicates(d, size=3, percent=85).collect()
+    assert len(got) == 600 and all(r["component_id"] == r["doc_id"] for r in got)
+    sets = [neardup.shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 3)[0] for _, t, *_ in rows[:200]]
+    counters = sum(np.bincount((x >> np.uint64(64 - neardup.COUNTERS)).astype(int), minlength=1 << neardup.COUNTERS) for x in sets)
+    keys = [neardup.prefix_keys(x, counters, 85) for x in sets]
+    pairs = sum(meeting(keys[0], k) > 0 for k in keys[1:])
+    assert pairs < 20, pairs
+
+
+def test_family_around_the_threshold(spark):
+    """Texts of one base with own words at random places: some pairs are linked, against all pairs."""
+    rng = random.Random(3)
+    rows = []
+    for d in range(150):
+        w = [f"s{k}" for k in range(120)]
+        for _ in range(rng.randint(1, 8)):
+            w[rng.randrange(120)] = f"x{rng.randrange(40)}"
+        rows.append((d, " ".join(w), None, None, None))
+    check(spark.createDataFrame(rows, DOCUMENTS), rows)

@@ -9,12 +9,15 @@ similarity. Registers of a union are the maxima, so sketches merge.
    whose pairs grow with the classes.
 3. A pair's similarity is estimated from both registers by maximum likelihood, with the set sizes known. Pairs that come
    near the threshold are verified on full sets. Components of the verified links join most copies.
-4. Buckets whose members (the head aside) still lie in several components are open. Their members of different components
-   are compared, in parts of at most BLOCK classes: by registers first, a pair in the first bucket alone that it shares, and then,
+4. Buckets whose members (the head aside) still lie in several components are open. For their members a second banding takes the place
+   of buckets: shingles are put in order of how many open sets hold them, rarest first, and two sets of given sizes that are
+   similar enough share one of the first few of each (an exact prefix filter, by bands of the two sizes). A family of texts that stay below the
+   threshold differs in its rare shingles, so its members hardly meet, however many there are.
+5. Members of different components that share such a shingle are compared, in parts of at most BLOCK classes: by registers first, and then,
    from the likeliest on and while the two are not yet connected, on full sets. Pairs of one component need no look, so a
-   bucket of n copies and a few others costs their product and not n * n. A group returns a forest of links.
+   group of n copies and a few others costs their product and not n * n. A group returns a forest of links.
 
-Full sets travel with pairs of step 3 and with members of open buckets, and with nothing else. With threshold 0.85 the bands
+Full sets travel with pairs of step 3 and with members of open groups, and with nothing else. With threshold 0.85 the bands
 miss a pair at the threshold with probability under 1e-6; there is no cap on bucket sizes or partners.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; a null doc_id stands alone
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS, Words, column_bytes, mix, passes, separators, windows, within, written
+from .common import WORD_SEPARATORS, Words, column_bytes, dropped, mix, passes, separators, windows, within, written
 from .graphs import components
 
 REGISTERS = 280
@@ -210,26 +213,90 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a binary, b binary")
 
 
-def linked(group: pd.DataFrame, percent: int, rows: int) -> pd.DataFrame:
-    """A forest of verified links of different components between the parts i and j of a bucket (within one part if they are the same)."""
+#: log2 of the counters that tell how many open sets hold a shingle (those of one counter together).
+COUNTERS = 20
+
+
+def _size_bands() -> np.ndarray:
+    """Where bands of set sizes begin: every size up to some 20, then steps of a twentieth."""
+    starts = [0]
+    while starts[-1] < 1 << 40:
+        starts.append(max(starts[-1] + 1, starts[-1] * 21 // 20))
+    return np.array(starts, dtype=np.int64)
+
+
+_BANDS = _size_bands()
+
+
+def prefix_keys(shingles: np.ndarray, counters: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of which two sets similar enough share one: of each band of partner sizes, the shingles that a partner cannot miss all, rarest first.
+
+    And a key's side: 0 where both sizes are in one band, else the band of the set, as only sets of different sides are partners.
+    """
+    n = len(shingles)
+    held = counters[shingles >> np.uint64(64 - COUNTERS)]
+    order = np.lexsort((shingles, held))
+    x, held = shingles[order], held[order]
+    least, most = -(-percent * n // 100), 100 * n // percent
+    own = int(np.searchsorted(_BANDS, n, side="right")) - 1
+    keys, sides = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for band in range(int(np.searchsorted(_BANDS, least, side="right")) - 1, int(np.searchsorted(_BANDS, most, side="right"))):
+        both = -(-percent * (n + max(least, int(_BANDS[band]))) // (100 + percent))  # shared by two such sets, at least
+        first = x[: max(0, n - both + 1)][held[: max(0, n - both + 1)] > 1]  # what one set alone holds is no key
+        pair = np.uint64(min(own, band) * 4096 + max(own, band))
+        keys.append(mix(first + mix(np.array([pair]))))
+        sides.append(np.full(len(first), 0 if band == own else own + 1, np.int32))
+    return np.concatenate(keys).view(np.int64), np.concatenate(sides)
+
+
+def _counters(sets: DataFrame) -> np.ndarray:
+    """In how many sets the shingles of each counter stand: 2 ** COUNTERS numbers, whatever the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            held = batch.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - COUNTERS)
+            total += np.bincount(held.astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["counter", "n"])
+
+    rows = sets.select("shingles").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNTERS, np.int64)
+    out[rows["counter"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def _keys_of(sets: DataFrame, percent: int) -> DataFrame:
+    """bucket (a prefix key), side, cid, label and n_shingles of the open sets."""
+    held = sets.sparkSession.sparkContext.broadcast(_counters(sets).astype(np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [prefix_keys(np.asarray(x.values).view(np.uint64), held.value, percent) for x in batch.column(3)]
+            at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k, _ in keys]))
+            bucket, side = (np.concatenate([np.zeros(0, t), *[k[c] for k in keys]]) for c, t in enumerate((np.int64, np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(side), *[batch.column(c).take(at) for c in range(3)]], names=["bucket", "side", "cid", "label", "n_shingles"])
+
+    return sets.select("cid", "label", "n_shingles", "shingles").mapInArrow(run, "bucket long, side int, cid binary, label binary, n_shingles long")
+
+
+def linked(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A forest of verified links of different components between the parts i and j of a group (within one part if they are the same)."""
     least = percent / 100 - MARGIN
     group = group.sort_values("cid", kind="stable").reset_index(drop=True)
-    n, part, label = group["n_shingles"].to_numpy(), group["part"].to_numpy(), pd.factorize(group["label"])[0]
+    n, part, side, label = group["n_shingles"].to_numpy(), group["part"].to_numpy(), group["side"].to_numpy(), pd.factorize(group["label"])[0]
     k = np.frombuffer(b"".join(group["registers"]), dtype=np.uint16).reshape(len(group), -1)
-    band = int(np.flatnonzero(band_hashes(k[:1], rows)[0] == group["bucket"].iloc[0])[0])
     across = group["i"].iloc[0] != group["j"].iloc[0]
     xs, ys, guess = [], [], []
     for x in range(len(group) - 1):
         y = np.arange(x + 1, len(group))
-        ok = (label[y] != label[x]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        ok = (label[y] != label[x]) & ((side[y] == 0) | (side[y] != side[x])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
         if across:
             ok &= part[y] != part[x]
         y = y[ok]
         if not len(y):
             continue
-        same = k[y] == k[x]
-        before = same[:, : band * rows].reshape(len(y), band, rows).all(axis=2).any(axis=1)
-        y = y[~before & (same.sum(axis=1) >= (least - 0.05) * k.shape[1])]
+        y = y[(k[y] == k[x]).sum(axis=1) >= (least - 0.05) * k.shape[1]]
         for s in range(0, len(y), ESTIMATED):
             some = y[s : s + ESTIMATED]
             g = _guesses(np.broadcast_to(k[x], (len(some), k.shape[1])), k[some], np.full(len(some), n[x]), n[some])
@@ -259,25 +326,33 @@ def linked(group: pd.DataFrame, percent: int, rows: int) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"])
 
 
-def _open_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, full: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: links of different components in buckets of several components, heads aside."""
-    of = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("fid", "cid", "n_shingles", F.coalesce("label", "cid").alias("label"))
-    members = bands.join(full.filter("n > 2"), "bucket").filter("fid <> head").select("bucket", "fid").join(of, "fid")
+def _opened(members: DataFrame) -> DataFrame:
+    """bucket, main (its label of most members), and in how many parts its members and the others go, for buckets of several labels."""
     counts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     counts = counts.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "label")).alias("most"))
     parts = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
-    opened = counts.filter("labels > 1").select("bucket", F.col("most.label").alias("main"), parts(F.col("most.n"), F.col("most.s")).alias("mains"), parts(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("others"))
-    members = written(members.join(opened, "bucket"), "open-members")
-    wanted = classes.join(members.select("cid").distinct(), "cid")
-    sets = _sets(docs, wanted, size).join(wanted.select("cid", "registers"), "cid")
-    d = members.join(sets, "cid")
+    return counts.filter("labels > 1").select("bucket", F.col("most.label").alias("main"), parts(F.col("most.n"), F.col("most.s")).alias("mains"), parts(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("others"))
+
+
+def _open_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, full: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: links of different components among members of buckets of several components, heads aside."""
+    of = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("fid", "cid", "n_shingles", F.coalesce("label", "cid").alias("label"))
+    members = bands.join(full.filter("n > 2"), "bucket").filter("fid <> head").select("bucket", "fid").join(of, "fid")
+    wanted = members.join(_opened(members).select("bucket"), "bucket").select("cid", "label").distinct().join(classes, "cid")
+    wanted = written(wanted.select("cid", "label", "n_shingles", "registers", "rep"), "open-classes")
+    sets = written(_sets(docs, wanted, size).join(wanted.drop("rep"), "cid"), "open-sets")
+    members = written(_keys_of(sets, percent), "open-keys")
+    both = members.groupBy("bucket").agg(F.min("side").alias("s"), F.max("side").alias("t")).filter("s = 0 or s < t").select("bucket")
+    d = members.select("bucket", "side", "cid").join(_opened(members.join(both, "bucket", "left_semi")), "bucket").join(sets, "cid")
     # the largest component's parts meet the others' only
     main, h = F.col("label") == F.col("main"), F.xxhash64("cid")
     d = d.withColumn("part", F.when(main, F.pmod(h, F.col("mains"))).otherwise(F.col("mains") + F.pmod(h, F.col("others"))).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.when(main, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)))
-    d = d.select("bucket", "cid", "label", "n_shingles", "registers", "shingles", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    rows = rows_per_band(percent / 100)
-    return d.groupBy("bucket", "i", "j").applyInPandas(lambda g: linked(g, percent, rows), "a binary, b binary")
+    d = d.select("bucket", "side", "cid", "label", "n_shingles", "registers", "shingles", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    links = written(d.groupBy("bucket", "i", "j").applyInPandas(lambda g: linked(g, percent), "a binary, b binary"), "open-links")
+    for table in (wanted, sets, members):
+        dropped(table)
+    return links
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -299,13 +374,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs(a, b) of classes whose full sets are similar enough."""
-    pairs = written(pairs.select("a", "b"), "likely-pairs")
+    pairs = likely = written(pairs.select("a", "b"), "likely-pairs")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     sets = written(_sets(docs, classes.join(wanted, "cid"), size), "full-sets")
     for c in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"s{c}")), c)
     both = F.size(F.array_intersect("sa", "sb"))
-    return written(pairs.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
+    links = written(pairs.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
+    for table in (likely, sets):
+        dropped(table)
+    return links
 
 
 def _with_first(digest: DataFrame, of: DataFrame) -> DataFrame:
@@ -329,7 +407,8 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     star = bands.join(full, "bucket").filter("fid <> head").select(F.col("fid").alias("a"), F.col("head").alias("b")).distinct()
     found = verified(docs, _likely(star, classes, percent), classes, size, percent)
     labels = components(found)
-    more = written(_open_links(docs, classes, bands, full, labels, size, percent), "open-links")
+    more = _open_links(docs, classes, bands, full, labels, size, percent)
+    dropped(full)
     if not more.isEmpty():
         labels = components(found.union(more))
     classes = classes.select("cid", "rep", "copies")
