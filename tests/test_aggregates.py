@@ -1,6 +1,6 @@
 """User aggregates in parts, medians with implicit zeros, profile metadata, the append store and the local regression."""
 
-import resource
+import pickle
 import statistics
 import time
 
@@ -46,10 +46,8 @@ def test_a_group_of_a_million_cells(spark):
     """Two million counts of one gene: states stay small, and no task gathers the counts."""
     n = 2_000_000
     d = spark.range(n).select(F.lit("g").alias("gene"), (F.col("id") % 1000 + 1).cast("double").alias("v"), F.lit(3_000_000).alias("n"))
-    before = resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss
     r = aggregates.aggregated(d, ["gene"], "n", "v", {"mean": aggregates.Moments(), "spread": aggregates.Spread(), "top": aggregates.MeanOfLargest(5)}).first()
     assert r["mean"] == pytest.approx(sum(range(1, 1001)) * 2000 / 3_000_000) and r["spread"] == 1000.0 and r["top"] == 1000.0
-    assert before >= 0
 
 
 def test_states_of_a_large_group_are_small():
@@ -58,8 +56,6 @@ def test_states_of_a_large_group_are_small():
         state = kind.init()
         for _ in range(50):
             state = kind.update(state, rng.random(10_000))
-        import pickle
-
         assert len(pickle.dumps(kind.zeros(state, 1_000_000))) < 1000
 
 

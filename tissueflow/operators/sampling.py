@@ -12,7 +12,8 @@ from tissueflow.operators.scans import placed, plain, preceding, ranged, running
 
 
 def _order(key: str, seed: int) -> Column:
-    return F.xxhash64(F.col(key).cast("string"), F.lit(seed))
+    """60 bits of the md5 of seed and key, a rule that any engine can follow."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
 
 
 def _place(df: DataFrame, key: str, seed: int, bins: int = 4096) -> DataFrame:
@@ -20,7 +21,7 @@ def _place(df: DataFrame, key: str, seed: int, bins: int = 4096) -> DataFrame:
 
     Rows are numbered in each of bins ranges of the hash; the ranges' sizes (bins rows) give where each begins.
     """
-    d = df.withColumn("_h", _order(key, seed)).withColumn("_bin", F.shiftright("_h", 52))
+    d = df.withColumn("_h", _order(key, seed)).withColumn("_bin", F.shiftright("_h", 48))
     sizes = d.groupBy("_bin").agg(F.count("*").alias("_n"))
     sizes = sizes.select("_bin", (F.sum("_n").over(Window.orderBy("_bin")) - F.col("_n")).alias("_before"))
     d = d.join(sizes, "_bin").withColumn("place", F.col("_before") + F.row_number().over(Window.partitionBy("_bin").orderBy("_h", key)))
@@ -59,14 +60,11 @@ def pair_expression(cells: DataFrame, reference: DataFrame, mode: str, seed: int
     if mode not in ("type", "random"):
         raise ValueError(f"no such mode: {mode}")
     ref = reference.select("cell_id", F.col("cell_type") if mode == "type" else F.lit("any").alias("cell_type"))
-    if mode == "type":
-        w = Window.partitionBy("cell_type").orderBy(_order("cell_id", seed), "cell_id")
-        ref = ref.withColumn("draw", F.row_number().over(w) - 1)
-    else:  # all cells are one type: numbered in ranges of the order
-        ref = _place(ref, "cell_id", seed).withColumn("draw", (F.col("place") - 1).cast("int")).drop("place")
+    # a type of any size is numbered in ranges of the order
+    ref = plain(placed(ranged(ref.withColumn("_h", _order("cell_id", seed)), ["cell_type"], ["_h", "cell_id"]), ["cell_type"], "draw"), "_h")
     size = ref.groupBy("cell_type").agg(F.count("*").alias("n"))
     c = cells.withColumn("_type", F.col("cell_type") if mode == "type" else F.lit("any"))
-    c = c.join(size.withColumnRenamed("cell_type", "_type"), "_type").withColumn("draw", F.pmod(_order("cell_idx", seed + 1), F.col("n")).cast("int"))
+    c = c.join(size.withColumnRenamed("cell_type", "_type"), "_type").withColumn("draw", F.pmod(_order("cell_idx", seed + 1), F.col("n")))
     ref = ref.select(F.col("cell_type").alias("_type"), "draw", F.col("cell_id").alias("ref_cell"))
     return c.join(ref, ["_type", "draw"]).drop("_type", "draw", "n")
 
@@ -80,7 +78,7 @@ def draw_pseudo_spots(cells: DataFrame, n_spots: int, per_spot: int, key: str =
     """spot, slot and cell: n_spots * per_spot draws with replacement."""
     n = cells.count()
     numbered = _place(cells.select(key), key, seed).withColumn("draw", F.col("place") - 1)
-    draws = cells.sparkSession.range(n_spots * per_spot).select(F.floor(F.col("id") / per_spot).alias("spot"), (F.col("id") % per_spot).alias("slot"), F.pmod(F.xxhash64(F.col("id"), F.lit(seed + 1)), F.lit(n)).alias("draw"))
+    draws = cells.sparkSession.range(n_spots * per_spot).select(F.floor(F.col("id") / per_spot).alias("spot"), (F.col("id") % per_spot).alias("slot"), F.pmod(_order("id", seed + 1), F.lit(n)).alias("draw"))
     return draws.join(numbered, "draw").select("spot", "slot", key)
 
 

@@ -25,7 +25,8 @@ def training_bags(t: Tables) -> DataFrame:
     return qc.robust_scale(dense).join(bags, ["sample_id", "spot_id"])
 
 
-register("wl2_training_bags", training_bags, "expression spots cells signature", f"""{_G}, {_hit(40)}, l AS (SELECT *, ln(1 + count * 10000 / sum(count) OVER (PARTITION BY spot_id)) AS value FROM prepared),
+register("wl2_training_bags", training_bags, "expression spots cells signature",
+    f"""{_G}, {_hit(40)}, l AS (SELECT *, ln(1 + count * 10000 / sum(count) OVER (PARTITION BY spot_id)) AS value FROM prepared),
     panel AS (SELECT gene FROM l WHERE gene IN (SELECT gene FROM signature) GROUP BY 1 HAVING count(DISTINCT sample_id) = 3),
     bags AS (SELECT sample_id, spot_id, count(*) AS n_cells FROM assigned WHERE spot_id IN (SELECT spot_id FROM l) GROUP BY 1, 2),
     dense AS (SELECT b.*, p.gene, coalesce(value, 0) AS value FROM bags b CROSS JOIN panel p LEFT JOIN l ON l.spot_id = b.spot_id AND l.gene = p.gene),
@@ -41,8 +42,10 @@ def predict_and_score(t: Tables) -> DataFrame:
     return metrics.regression_metrics(metrics.align(truth, bags, bags.select("spot_id").distinct()))
 
 
-register("wl3_predict_and_score", predict_and_score, "embedded expression", f"""{_PRED}, bags AS (SELECT spot_id, concat('G', k + 20) AS gene, avg(value) AS p FROM p WHERE spot_id IS NOT NULL GROUP BY 1, 2),
+register("wl3_predict_and_score", predict_and_score, "embedded expression",
+    f"""{_PRED}, bags AS (SELECT spot_id, concat('G', k + 20) AS gene, avg(value) AS p FROM p WHERE spot_id IS NOT NULL GROUP BY 1, 2),
     l AS (SELECT *, ln(1 + count * 10000 / sum(count) OVER (PARTITION BY spot_id)) AS value FROM expression),
     a AS (SELECT b.gene, coalesce(value, 0) AS y, p FROM bags b LEFT JOIN l ON l.spot_id = b.spot_id AND l.gene = b.gene),
-    r AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY y) + (count(*) OVER (PARTITION BY gene, y) - 1) / 2.0::DOUBLE AS ry, rank() OVER (PARTITION BY gene ORDER BY p) + (count(*) OVER (PARTITION BY gene, p) - 1) / 2.0::DOUBLE AS rp FROM a)
+    r AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY y) + (count(*) OVER (PARTITION BY gene, y) - 1) / 2.0::DOUBLE AS ry,
+    rank() OVER (PARTITION BY gene ORDER BY p) + (count(*) OVER (PARTITION BY gene, p) - 1) / 2.0::DOUBLE AS rp FROM a)
     SELECT gene, round(corr(y, p), 6) AS pcc, round(corr(ry, rp), 6) AS scc, round(avg((y - p) * (y - p)), 6) AS mse FROM r GROUP BY 1""")
