@@ -2,13 +2,19 @@
 
 language ID -> near-duplicates -> decontamination -> mixing -> token output. All but the last return the columns
 of documents. Nothing here swallows an import error.
+
+Defined results: a null or empty text, or one without a letter, is rejected by language ID; rows without doc_id are compared with no others
+for copies and stay; of a group of near copies the smallest doc_id stays, of rows alike in doc_id and text one row, by a hash of its other columns; rows of
+one doc_id with other texts are documents of their own; a null source is a source, the last one; ties of the mix are broken by a hash of doc_id and
+text; an empty table gives an empty result; further columns come back from all stages but the last with their names and values, whatever
+they are called.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tissueflow.llm.common import written
+from tissueflow.llm.common import dropped, written
 from tissueflow.llm.decontamination import clean
 from tissueflow.llm.langid import accepted, training_text
 from tissueflow.llm.mixing import repeated
@@ -56,7 +62,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
