@@ -79,3 +79,34 @@ def test_parts_give_what_the_whole_gives(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(dc.parts_of, "__defaults__", (20,))
     assert len(list(dc.parts_of(items))) > 5 and rows() == whole and len(whole) >= 121
+
+
+def test_a_long_item_does_not_slow_the_short_ones():
+    """Short items keep short passages: the same leaks, and no multiple of the time, with one very long item beside them."""
+    import time
+
+    from tissueflow.llm.common import Words
+
+    rng = random.Random(6)
+    vocab = [f"w{k}" for k in range(5000)]
+    pick = lambda n: " ".join(rng.choices(vocab, k=n))
+    items = [(k, pick(12)) for k in range(500)]
+    long = (9999, pick(6000))
+    text = pick(30_000).split()
+    for k in (3, 77, 401):
+        at = rng.randrange(len(text))
+        text[at:at] = items[k][1].split()
+    raw = np.frombuffer(" ".join(text).encode(), dtype=np.uint8)
+    found, took = [], []
+    for more in ([], [long]):
+        index = dc.Classes(items + more)
+        best = []
+        for _ in range(3):
+            start = time.process_time()
+            got = {i for _, i, *_ in index.leaks(Words(raw, np.array([0, len(raw)]), dc._NOT_WORD), dc.THRESHOLD, dc.OVERLAP)}
+            best.append(time.process_time() - start)
+        found.append(got)
+        took.append(min(best))
+    assert found[0] == found[1] == {3, 77, 401} and took[1] < 12 * took[0] + 0.1  # some 40 times with one passage length for all
+    raw = np.frombuffer(long[1].encode(), dtype=np.uint8)
+    assert {i for _, i, *_ in index.leaks(Words(raw, np.array([0, len(raw)]), dc._NOT_WORD), dc.THRESHOLD, dc.OVERLAP)} == {9999}
