@@ -134,16 +134,7 @@ register("m1_cluster_embeddings", lambda t: vectors.cluster_embeddings(t.raw("em
     F.array_min("distances").alias("least")))
 register("m2_medoid_types", lambda t: t.ref_cells.filter(F.col("cell_type").isin(*vectors.medoid_types(pseudobulk.pseudobulk(t.ref_expression,
     t.ref_cells.withColumn("sample_id", F.col("cell_type")), mode="mean").withColumnRenamed("sample_id", "cell_type"),
-    3))).groupBy("cell_type").agg(F.count("*").alias("n")), "ref_cells ref_expression", """, n AS (SELECT cell_type, count(*) AS n FROM ref_cells GROUP BY 1),
-    m AS (SELECT cell_type, gene, sum(count) / any_value(n) AS v FROM ref_expression JOIN ref_cells USING (cell_id) JOIN n USING (cell_type) GROUP BY 1, 2),
-    full_m AS (SELECT t.cell_type, g.gene, coalesce(v, 0) AS v FROM n t CROSS JOIN (SELECT DISTINCT gene FROM m) g LEFT
-    JOIN m ON m.cell_type = t.cell_type AND m.gene = g.gene),
-    d AS (SELECT a.cell_type AS a, b.cell_type AS b, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS d FROM full_m a JOIN full_m b USING (gene) GROUP BY 1, 2),
-    pick AS (SELECT x.cell_type AS p, y.cell_type AS q, z.cell_type AS r FROM n x JOIN n y ON x.cell_type < y.cell_type JOIN n z ON y.cell_type < z.cell_type),
-    cost AS (SELECT p, q, r, sum(least(x.d, y.d, z.d)) AS cost FROM pick JOIN d x ON x.b = p JOIN d y ON y.b = q AND y.a = x.a
-    JOIN d z ON z.b = r AND z.a = x.a GROUP BY 1, 2, 3),
-    best AS (SELECT unnest([p, q, r]) AS cell_type FROM (SELECT * FROM cost ORDER BY cost LIMIT 1))
-    SELECT cell_type, n FROM n WHERE cell_type IN (SELECT cell_type FROM best)""")
+    3))).groupBy("cell_type").agg(F.count("*").alias("n")))
 
 
 def _images(t: Tables) -> DataFrame:
