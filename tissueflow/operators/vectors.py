@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from tissueflow.functions.scalars import class_name, distance
 from tissueflow.sources.store import written
 
-#: Keys that a block of the top-k match holds, or thereabouts.
+#: Keys that a ball of the top-k match holds, or thereabouts.
 KEY_BLOCK = 4096
-#: Balls of keys at most, and queries that meet a block at once.
-BALLS, QUERY_PACK = 1024, 1024
+#: Balls of keys at most, keys of a bucket of balls, and queries that one task matches with a bucket, the latter two roughly.
+BALLS, BUCKET, QUERY_PACK = 1024, 16384, 16384
+#: Rows that numpy takes at once, so that what a task holds does not grow with its batches: of balls and centres, and of queries and a bucket.
+PLAN_SLICE, MATCH_SLICE = 512, 128
 # Patches of 72 x 72 colour pixels, of which the middle 48 x 48 count.
 PATCH, CROP = 72, 48
 
@@ -46,7 +48,7 @@ def ball_centres(keys: DataFrame, balls: int, sample: int = 64, rounds: int = 8)
     x = _units(np.array([r["embedding"] for r in rows], dtype=np.float64))
     centres = x[np.linspace(0, len(x) - 1, min(balls, len(x))).astype(int)]
     for _ in range(rounds):
-        near = (x @ centres.T).argmax(axis=1)
+        near = np.concatenate([(x[i : i + PLAN_SLICE] @ centres.T).argmax(axis=1) for i in range(0, len(x), PLAN_SLICE)])
         total = np.zeros_like(centres)
         np.add.at(total, near, x)
         norm = np.sqrt((total * total).sum(axis=1))
@@ -58,8 +60,9 @@ def _in_balls(keys: DataFrame, centres: np.ndarray) -> DataFrame:
     """key_id, embedding, ball (of the nearest centre) and its cosine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PLAN_SLICE):
+                batch = whole.slice(at, PLAN_SLICE)
                 s = _units(_stacked(batch.column(1), batch.num_rows)) @ centres.T
                 ball = s.argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ball.astype(np.int32)), pa.array(s[np.arange(len(s)), ball])], names=["key_id", "embedding", "ball", "cosine"])
@@ -67,59 +70,125 @@ def _in_balls(keys: DataFrame, centres: np.ndarray) -> DataFrame:
     return keys.select(F.col("key_id").cast("long").alias("key_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "key_id long, embedding array<double>, ball int, cosine double")
 
 
-def _planned(queries: DataFrame, centres: np.ndarray, widest: np.ndarray, first: int, last: int) -> DataFrame:
-    """query_id, embedding, ball: of each query's balls in order of their bound, those from first to last that can hold a match above least.
+def _buckets(sizes: Sequence[int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bucket and number of buckets of each ball: balls in turn share one until it has most keys; a ball of more has several of its own."""
+    first, parts, at, held = [], [], 0, 0
+    for n in sizes:
+        own = -(-n // most)
+        if held and (own > 1 or held + n > most):
+            at, held = at + 1, 0
+        first.append(at)
+        parts.append(max(1, own))
+        at, held = (at + own, 0) if own > 1 else (at, held + n)
+    return np.array(first, dtype=np.int64), np.array(parts, dtype=np.int64)
 
-    A ball whose members are at most widest (an angle) from its centre holds no cosine above that of the angle to the centre less widest.
+
+def _planned(queries: DataFrame, centres: np.ndarray, widest: np.ndarray, buckets: tuple[np.ndarray, np.ndarray], first: int, last: int) -> DataFrame:
+    """query_id, embedding, least, n, visits: of each query's balls in order of their bound, those from first to last that can hold a match above least.
+
+    A ball whose members are at most widest (an angle) from its centre holds no cosine above that of the angle to the centre less widest. n counts the balls;
+    visits names them by the buckets that hold them, so that a query's vector is in one row here, however many it visits. Queries without visits are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PLAN_SLICE):
+                batch = whole.slice(at, PLAN_SLICE)
                 q = _units(_stacked(batch.column(1), batch.num_rows))
                 angle = np.arccos(np.clip(q @ centres.T, -1, 1))
                 bound = np.cos(np.clip(angle - widest, 0, np.pi)) + 1e-9
                 order = np.argsort(-bound, axis=1, kind="stable")[:, first:last]
                 ok = np.take_along_axis(bound, order, axis=1) >= batch.column(2).to_numpy()[:, None]
+                n = ok.sum(axis=1)
+                batch, order, ok, n = batch.take(pa.array(np.flatnonzero(n))), order[n > 0], ok[n > 0], n[n > 0]
+                if not len(n):
+                    continue
                 row, place = np.nonzero(ok)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(order[row, place].astype(np.int32))], names=["query_id", "embedding", "ball"])
-
-    return queries.mapInArrow(run, "query_id long, embedding array<double>, ball int")
-
-
-def _packed(d: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Rows of each group as one: ids and their vectors, one after another."""
-    d = d.groupBy(*keys).agg(F.collect_list(F.struct(f"{name}_id", "embedding")).alias("rows"))
-    return d.select(*keys, F.col(f"rows.{name}_id").alias(f"{name}_ids"), F.flatten("rows.embedding").alias(f"{name}_vectors"))
-
-
-def _block_matches(pairs: DataFrame, k: int) -> DataFrame:
-    """query_id, key_id, similarity: the best k keys of a block for each query of a pack."""
+                ball = order[row, place]
+                many = buckets[1][ball]
+                row, ball, start = np.repeat(row, many), np.repeat(ball, many), np.repeat(np.cumsum(many) - many, many)
+                bucket = buckets[0][ball] + np.arange(len(ball)) - start
+                by = np.lexsort((ball, bucket, row))
+                row, ball, bucket = row[by], ball[by], bucket[by]
+                new = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(bucket) != 0)])
+                balls = pa.ListArray.from_arrays(pa.array(np.r_[new, len(row)].astype(np.int32)), pa.array(ball.astype(np.int32)))
+                each = pa.StructArray.from_arrays([pa.array(bucket[new].astype(np.int32)), balls], names=["bucket", "balls"])
+                visits = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[new], np.arange(len(n) + 1)).astype(np.int32)), each)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int64)), visits], names=["query_id", "embedding", "least", "n", "visits"])
+
+    return queries.mapInArrow(run, "query_id long, embedding array<double>, least double, n long, visits array<struct<bucket int, balls array<int>>>")
+
+
+def _best_of_slice(keys: tuple[np.ndarray, ...], batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """query_id, key_id, similarity: of the keys in the balls that a query visits, its best k that are no worse than least."""
+    key_ids, ball, x = keys
+    q_ids, least = batch.column("id").to_numpy(), batch.column("least").to_numpy()
+    q = _units(_stacked(batch.column("embedding"), batch.num_rows))
+    lists = batch.column("balls")
+    visits = lists.flatten().to_numpy()
+    some = np.unique(visits)
+    wanted = np.isin(ball, some)
+    if not wanted.all():
+        key_ids, ball, x = key_ids[wanted], ball[wanted], x[wanted]
+    seen = np.zeros((len(q), len(some)), dtype=bool)
+    seen[np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy()), np.searchsorted(some, visits)] = True
+    s = q @ x.T
+    if not seen.all():
+        s[~seen[:, np.searchsorted(some, ball)]] = -np.inf
+    if (least < -1).any() and len(x) > k:  # no k-th best yet
+        least = np.maximum(least, np.partition(s, len(x) - k, axis=1)[:, len(x) - k])
+    row, at = np.nonzero(s >= np.maximum(least, -2)[:, None] - 1e-11)
+    found = np.round(s[row, at], 12)  # so that equal keys tie
+    order = np.lexsort((key_ids[at], -found, row))
+    row, at, found = row[order], at[order], found[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q_ids)))[row]
+    ok = rank < k
+    return pa.RecordBatch.from_arrays([pa.array(q_ids[row[ok]]), pa.array(key_ids[at[ok]]), pa.array(found[ok])], names=["query_id", "key_id", "similarity"])
+
+
+def _bucket_matches(keys: DataFrame, plan: DataFrame, k: int) -> DataFrame:
+    """query_id, key_id, similarity: the best k keys of a bucket for each query that visits it.
+
+    A task reads a bucket's keys, then its queries one slice after another, so it holds one bucket, however many queries come. Where these are
+    more than QUERY_PACK, several tasks have the bucket.
+    """
+    asked = plan.select("query_id", "embedding", "least", F.explode("visits").alias("v")).select("v.bucket", "query_id", "embedding", "least", "v.balls")
+    packs = plan.select(F.explode("visits.bucket").alias("bucket")).groupBy("bucket").agg(F.ceil(F.count("*") / QUERY_PACK).cast("int").alias("packs"))
+    asked = asked.join(F.broadcast(packs), "bucket").withColumn("pack", F.pmod(F.xxhash64("query_id"), F.col("packs")).cast("int"))
+    asked = asked.select("bucket", "pack", F.lit(1).alias("side"), F.col("balls")[0].alias("ball"), F.col("query_id").alias("id"), "embedding", "least", "balls")
+    keys = keys.join(F.broadcast(packs), "bucket").withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)))
+    keys = keys.select("bucket", "pack", F.lit(0).alias("side"), "ball", F.col("key_id").alias("id"), "embedding", F.lit(None).cast("double").alias("least"), F.lit(None).cast("array<int>").alias("balls"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                ids, q_ids = (np.asarray(batch.column(c)[r].values) for c in (0, 2))
-                x, q = (_units(np.asarray(batch.column(c)[r].values, dtype=np.float64).reshape(n, -1)) for c, n in ((1, len(ids)), (3, len(q_ids))))
-                s = np.round(q @ x.T, 12)  # so that equal keys tie
-                n = min(k, len(ids))
-                row, at = np.nonzero(s >= np.partition(s, len(ids) - n, axis=1)[:, len(ids) - n, None])
-                order = np.lexsort((ids[at], -s[row, at], row))
-                row, at = row[order], at[order]
-                rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q_ids)))[row]
-                row, at = row[rank < n], at[rank < n]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[at]), pa.array(s[row, at])], names=["query_id", "key_id", "similarity"])
-
-    return pairs.select("key_ids", "key_vectors", "query_ids", "query_vectors").mapInArrow(run, "query_id long, key_id long, similarity double")
+        here, parts, held = None, [], None
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            bucket, pack, side = (whole.column(c).to_numpy() for c in range(3))
+            cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(pack) != 0) | (np.diff(side) != 0)) + 1
+            for start, end in zip([0, *cuts], [*cuts, whole.num_rows], strict=True):
+                batch = whole.slice(start, end - start)
+                if here != (bucket[start], pack[start]):
+                    here, parts, held = (bucket[start], pack[start]), [], None
+                if side[start] == 0:
+                    parts.append((batch.column("id").to_numpy(), batch.column("ball").to_numpy(), _units(_stacked(batch.column("embedding"), batch.num_rows))))
+                elif parts or held:
+                    held = held or tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+                    parts = []
+                    for at in range(0, batch.num_rows, MATCH_SLICE):
+                        yield _best_of_slice(held, batch.slice(at, MATCH_SLICE), k)
+
+    rows = keys.union(asked).repartition("bucket", "pack").sortWithinPartitions("bucket", "pack", "side", "ball", "id")
+    return rows.mapInArrow(run, "query_id long, key_id long, similarity double")
 
 
 def top_matches(queries: DataFrame, keys: DataFrame, k: int, block: int = KEY_BLOCK, report: dict[str, int] | None = None) -> DataFrame:
     """query_id, key_id, similarity, rank: the k keys of highest cosine for each query, ties to the smaller id.
 
-    Keys lie in balls around at most BALLS centres, balls in blocks of some block keys. A query visits balls in the order of the highest cosine that they can
-    hold, a few more in each round, until its k-th best reaches what the next ball can hold. A pack of queries and a block are one matrix product, of which only
-    each query's best k leave the task. report gets the numbers of pairs of queries and balls there are and that were visited.
+    Keys lie in balls of some block keys around at most BALLS centres, balls in buckets of some BUCKET keys. A query visits balls in the order of the highest
+    cosine that they can hold, a few more in each round, until its k-th best reaches what the next ball can hold. It goes once to each bucket that holds some of
+    a round's balls; a slice of queries and a bucket are one matrix product, of which only each query's best k leave the task. report gets the numbers of pairs
+    of queries and balls there are and that were visited.
     """
     keys, queries = _with_direction(keys), _with_direction(queries)
     n_keys, n_queries = keys.count(), queries.count()
@@ -131,12 +200,12 @@ def top_matches(queries: DataFrame, keys: DataFrame, k: int, block: int = KEY_BL
     sizes = {r["ball"]: r for r in held.groupBy("ball").agg(F.count("*").alias("n"), F.min("cosine").alias("least")).collect()}  # BALLS rows at most
     full = sorted(sizes)
     centres, widest = centres[full], np.array([np.arccos(np.clip(sizes[b]["least"], -1, 1)) + 1e-7 for b in full])
-    number = F.create_map(*[F.lit(x) for i, b in enumerate(full) for x in (b, i)])
-    parts = F.create_map(*[F.lit(x) for b in full for x in (b, max(1, -(-sizes[b]["n"] // block)))])
-    held = held.withColumn("part", F.pmod(F.xxhash64("key_id"), parts[F.col("ball")])).withColumn("ball", number[F.col("ball")])
-    held = written(_packed(held, ["ball", "part"], "key"), "key-blocks")
+    buckets = _buckets([sizes[b]["n"] for b in full], BUCKET)
+    places = [(b, i, int(f), int(p)) for i, (b, f, p) in enumerate(zip(full, *buckets, strict=True))]
+    places = keys.sparkSession.createDataFrame(places, "ball int, number int, first int, parts int")
+    held = held.join(F.broadcast(places), "ball").select("key_id", "embedding", F.col("number").alias("ball"),
+        (F.col("first") + F.pmod(F.xxhash64("key_id"), F.col("parts"))).cast("int").alias("bucket"))
     asked = written(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")), "asked")
-    packs = max(1, -(-n_queries // QUERY_PACK))
     best, first, step, visited = None, 0, 1, 0
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key_id")
     while first < len(full):
@@ -144,12 +213,11 @@ def top_matches(queries: DataFrame, keys: DataFrame, k: int, block: int = KEY_BL
         if best is not None:
             kth = best.filter(F.col("rank") == k).select("query_id", F.col("similarity").alias("kth"))
             least = asked.join(kth, "query_id", "left").select("query_id", "embedding", F.coalesce("kth", F.lit(-2.0)).alias("least"))
-        plan = written(_planned(least, centres, widest, first, first + step), "planned-visits")
-        n = plan.count()
+        plan = written(_planned(least, centres, widest, buckets, first, first + step), "planned-visits")
+        n = plan.agg(F.sum("n")).first()[0] or 0
         visited += n
         if n:
-            pack = _packed(plan.withColumn("pack", F.pmod(F.xxhash64("query_id"), F.lit(packs))), ["ball", "pack"], "query")
-            found = _block_matches(held.join(pack, "ball"), k)
+            found = _bucket_matches(held, plan, k)
             found = found if best is None else found.union(best.drop("rank"))
             best = written(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "best-matches")
         elif best is not None:
