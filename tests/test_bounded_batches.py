@@ -1,9 +1,12 @@
 """What a Python task holds at once, and results where its input comes in many pieces."""
 
 import re
+import tracemalloc
 from pathlib import Path
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tissueflow.operators import vectors
@@ -34,3 +37,45 @@ def test_a_query_is_planned_in_one_row(spark, monkeypatch):
             assert got[i, k + 1][0] == j or abs(s[i, j] - s[i, got[i, k + 1][0]]) < 1e-11
     rows = [spark.read.parquet(str(p)).count() for p in set(folder.glob("planned-visits-*")) - old]
     assert rows and max(rows) <= len(q) < report["visited"]
+
+
+def task_of(monkeypatch, build):
+    """The function that build hands to Spark's Python tasks, run here on a batch of images: the peak of what it allocates, in bytes, and its rows."""
+    held = {}
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *a, **b: (held.setdefault("run", (name, a[0])) if name.startswith("mapIn") else None, self)[1]
+
+    monkeypatch.setattr(vectors, "F", MagicMock())
+    build(Frame())
+    kind, run = held["run"]
+    rng = np.random.default_rng(1)
+    images = [rng.integers(0, 256, 72 * 72 * 3, dtype=np.uint8).tobytes() for _ in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"sample_id": ["a"] * len(images), "cell_idx": range(len(images)), "img": pa.array(images, pa.binary())})
+    batch = batch if kind == "mapInArrow" else batch.to_pandas()
+    tracemalloc.start()
+    n = sum(len(out) if kind == "mapInPandas" else out.num_rows for out in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak, n
+
+
+@pytest.mark.parametrize("build", [lambda d: vectors.normalised_patches(d, (0.5, 0.4, 0.3), (0.2, 0.2, 0.2))], ids=["fn10"])
+def test_a_large_batch_of_images_is_taken_in_slices(monkeypatch, build):
+    peak, n = task_of(monkeypatch, build)
+    assert n == 1500
+    assert peak < 30e6  # all as doubles at once: 83 MB and more
+
+
+def test_patches_over_several_slices(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 256, (150, 72, 72, 3), dtype=np.uint8)
+    rows = [("ab"[k % 2], k, bytearray(v.tobytes())) for k, v in enumerate(x)] + [("a", 900, None), ("none", 901, None)]
+    d = spark.createDataFrame(rows, "sample_id string, cell_idx int, img binary").coalesce(1)
+    middle = x[:, 12:60, 12:60] / 255.0
+    got = {r["cell_idx"]: r for r in vectors.normalised_patches(d, (0.5, 0.4, 0.3), (0.2, 0.3, 0.4)).collect()}
+    assert set(got) == set(range(150))
+    for k in (0, 63, 64, 149):
+        assert got[k]["sample_id"] == "ab"[k % 2]
+        assert np.allclose(got[k]["pixels"], ((middle[k] - [0.5, 0.4, 0.3]) / [0.2, 0.3, 0.4]).ravel(), atol=1e-6)

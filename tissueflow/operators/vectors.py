@@ -23,6 +23,8 @@ KEY_BLOCK = 4096
 BALLS, BUCKET, QUERY_PACK = 1024, 16384, 16384
 #: Rows that numpy takes at once, so that what a task holds does not grow with its batches: of balls and centres, and of queries and a bucket.
 PLAN_SLICE, MATCH_SLICE = 512, 128
+#: Images that a task holds as numbers at once.
+IMAGE_SLICE = 64
 # Patches of 72 x 72 colour pixels, of which the middle 48 x 48 count.
 PATCH, CROP = 72, 48
 
@@ -366,6 +368,21 @@ def medoid_types(profiles: DataFrame, k: int, group: str = "cell_type", rounds:
     return sorted(rows[c][group] for c in chosen)
 
 
+def _middles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of a few rows, and the middle of their patches, over 255: a task holds so many images as numbers, however many its batches have."""
+    edge = (PATCH - CROP) // 2
+    for whole in batches:
+        for at in range(0, whole.num_rows, IMAGE_SLICE):
+            batch = whole.slice(at, IMAGE_SLICE)
+            x = np.stack([np.frombuffer(b, dtype=np.uint8).reshape(PATCH, PATCH, 3) for b in batch.column("img").to_pylist()])
+            yield batch, x[:, edge : edge + CROP, edge : edge + CROP] / 255.0
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """The rows of x as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
 def patch_statistics(cells: DataFrame) -> DataFrame:
     """sample_id, mean and std of each colour: per-image values over the middle, averaged over images that exist."""
 
@@ -390,12 +407,10 @@ def read_image_statistics(spark: SparkSession, path: str) -> Mapping[str, list[f
 def normalised_patches(cells: DataFrame, mean: Sequence[float], std: Sequence[float]) -> DataFrame:
     """sample_id, cell_idx, pixels: the middle of each patch as (value / 255 - mean) / std."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edge = (PATCH - CROP) // 2
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack([np.frombuffer(b, dtype=np.uint8).reshape(PATCH, PATCH, 3) for b in pdf["img"]])[:, edge : edge + CROP, edge : edge + CROP]
-                x = ((x / 255.0 - np.asarray(mean)) / np.asarray(std)).astype(np.float32)
-                yield pd.DataFrame({"sample_id": pdf["sample_id"], "cell_idx": pdf["cell_idx"], "pixels": [v.ravel() for v in x]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, x in _middles(batches):
+            x = ((x - np.asarray(mean)) / np.asarray(std)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("sample_id"), batch.column("cell_idx"), _lists(x.reshape(len(x), -1))], names=["sample_id", "cell_idx", "pixels"])
 
-    return cells.select("sample_id", "cell_idx", "img").filter("img is not null").mapInPandas(run, "sample_id string, cell_idx long, pixels array<float>")
+    d = cells.select(F.col("sample_id").cast("string").alias("sample_id"), F.col("cell_idx").cast("long").alias("cell_idx"), "img").filter("img is not null")
+    return d.mapInArrow(run, "sample_id string, cell_idx long, pixels array<float>")
