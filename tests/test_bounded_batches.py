@@ -61,7 +61,7 @@ def task_of(monkeypatch, build):
     return peak, n
 
 
-@pytest.mark.parametrize("build", [lambda d: vectors.normalised_patches(d, (0.5, 0.4, 0.3), (0.2, 0.2, 0.2))], ids=["fn10"])
+@pytest.mark.parametrize("build", [lambda d: vectors.normalised_patches(d, (0.5, 0.4, 0.3), (0.2, 0.2, 0.2)), vectors.patch_statistics], ids=["fn10", "a5"])
 def test_a_large_batch_of_images_is_taken_in_slices(monkeypatch, build):
     peak, n = task_of(monkeypatch, build)
     assert n == 1500
@@ -79,3 +79,8 @@ def test_patches_over_several_slices(spark):
     for k in (0, 63, 64, 149):
         assert got[k]["sample_id"] == "ab"[k % 2]
         assert np.allclose(got[k]["pixels"], ((middle[k] - [0.5, 0.4, 0.3]) / [0.2, 0.3, 0.4]).ravel(), atol=1e-6)
+    stats = {r["sample_id"]: r for r in vectors.patch_statistics(d).collect()}
+    assert set(stats) == {"a", "b"}
+    for i, s in enumerate("ab"):
+        one = middle[i::2].reshape(75, -1, 3)
+        assert np.allclose(stats[s]["mean"], one.mean(axis=1).mean(axis=0)) and np.allclose(stats[s]["std"], one.std(axis=1, ddof=1).mean(axis=0))

@@ -386,15 +386,12 @@ def _lists(x: np.ndarray) -> pa.Array:
 def patch_statistics(cells: DataFrame) -> DataFrame:
     """sample_id, mean and std of each colour: per-image values over the middle, averaged over images that exist."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edge = (PATCH - CROP) // 2
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack([np.frombuffer(b, dtype=np.uint8).reshape(PATCH, PATCH, 3) for b in pdf["img"]])[:, edge : edge + CROP, edge : edge + CROP]
-                x = x.reshape(len(pdf), -1, 3) / 255.0
-                yield pd.DataFrame({"sample_id": pdf["sample_id"].to_numpy(), "mean": list(x.mean(axis=1)), "std": list(x.std(axis=1, ddof=1))})
-
-    d = cells.select("sample_id", "img").filter("img is not null").mapInPandas(run, "sample_id string, mean array<double>, std array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, x in _middles(batches):
+            x = x.reshape(len(x), -1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column("sample_id"), _lists(x.mean(axis=1)), _lists(x.std(axis=1, ddof=1))], names=["sample_id", "mean", "std"])
+
+    d = cells.select(F.col("sample_id").cast("string").alias("sample_id"), "img").filter("img is not null").mapInArrow(run, "sample_id string, mean array<double>, std array<double>")
     avg = lambda c: F.array(*[F.avg(F.col(c)[k]) for k in range(3)]).alias(c)
     return d.groupBy("sample_id").agg(avg("mean"), avg("std"))
 
