@@ -84,3 +84,10 @@ def test_patches_over_several_slices(spark):
     for i, s in enumerate("ab"):
         one = middle[i::2].reshape(75, -1, 3)
         assert np.allclose(stats[s]["mean"], one.mean(axis=1).mean(axis=0)) and np.allclose(stats[s]["std"], one.std(axis=1, ddof=1).mean(axis=0))
+
+
+def test_buckets_hold_no_more_than_their_share():
+    first, parts = vectors._buckets([30, 30, 50, 250, 1, 99, 1, 0, 100], 100)
+    assert first.tolist() == [0, 0, 1, 2, 5, 5, 6, 6, 7]
+    assert parts.tolist() == [1, 1, 1, 3, 1, 1, 1, 1, 1]
+    assert [a.tolist() for a in vectors._buckets([250], 100)] == [[0], [3]]
