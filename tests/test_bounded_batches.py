@@ -91,3 +91,48 @@ def test_buckets_hold_no_more_than_their_share():
     assert first.tolist() == [0, 0, 1, 2, 5, 5, 6, 6, 7]
     assert parts.tolist() == [1, 1, 1, 3, 1, 1, 1, 1, 1]
     assert [a.tolist() for a in vectors._buckets([250], 100)] == [[0], [3]]
+
+
+def bucket_task(monkeypatch, n_keys, n_queries, ties):
+    """Peak bytes of a task that matches queries with a bucket of keys, and its matches; ties: keys of equal cosine."""
+    held = {}
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *a, **b: (held.setdefault("run", a[0]) if name == "mapInArrow" else None, self)[1]
+
+    rng = np.random.default_rng(3)
+    x = np.tile(rng.normal(size=(1, 64)), (n_keys, 1)) if ties else rng.normal(size=(n_keys, 64))
+    q = rng.normal(size=(n_queries, 64))
+    with monkeypatch.context() as m:
+        m.setattr(vectors, "F", MagicMock())
+        vectors._bucket_matches(Frame(), Frame(), 8)
+
+    def batches():
+        for side, v in ((0, x), (1, q)):
+            for at in range(0, len(v), 4096):
+                part = v[at : at + 4096]
+                n = len(part)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 64), pa.array(part.ravel()))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([0] * n, pa.int32()), "pack": pa.array([0] * n, pa.int32()), "side": pa.array([side] * n, pa.int32()),
+                    "ball": pa.array([0] * n, pa.int32()), "id": pa.array(np.arange(at, at + n)), "embedding": lists, "least": pa.array([-2.0 if side else None] * n, pa.float64()),
+                    "balls": pa.array([[0] if side else None] * n, pa.list_(pa.int32()))})
+
+    tracemalloc.start()
+    got = [out for out in held["run"](batches())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak, pa.Table.from_batches(got), x, q
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_a_full_bucket_is_matched_in_little_memory(monkeypatch, ties):
+    peak, got, x, q = bucket_task(monkeypatch, vectors.BUCKET, 300, ties)
+    assert got.num_rows == 8 * 300
+    ids = got["key_id"].to_numpy().reshape(300, 8)
+    if ties:
+        assert (ids == np.arange(8)).all()
+    else:
+        s = (q / np.linalg.norm(q, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T
+        assert (ids == np.argsort(-s, axis=1)[:, :8]).all()
+    assert peak < (60e6 if ties else 25e6)  # by slices of 128 queries: 160 and 42 MB

@@ -22,7 +22,7 @@ KEY_BLOCK = 4096
 #: Balls of keys at most, keys of a bucket of balls, and queries that one task matches with a bucket, the latter two roughly.
 BALLS, BUCKET, QUERY_PACK = 1024, 16384, 16384
 #: Rows that numpy takes at once, so that what a task holds does not grow with its batches: of balls and centres, and of queries and a bucket.
-PLAN_SLICE, MATCH_SLICE = 512, 128
+PLAN_SLICE, MATCH_SLICE = 512, 32
 #: Images that a task holds as numbers at once.
 IMAGE_SLICE = 64
 # Patches of 72 x 72 colour pixels, of which the middle 48 x 48 count.
@@ -203,8 +203,8 @@ def top_matches(queries: DataFrame, keys: DataFrame, k: int, block: int = KEY_BL
     full = sorted(sizes)
     centres, widest = centres[full], np.array([np.arccos(np.clip(sizes[b]["least"], -1, 1)) + 1e-7 for b in full])
     buckets = _buckets([sizes[b]["n"] for b in full], BUCKET)
-    places = [(b, i, int(f), int(p)) for i, (b, f, p) in enumerate(zip(full, *buckets, strict=True))]
-    places = keys.sparkSession.createDataFrame(places, "ball int, number int, first int, parts int")
+    places = {"ball": full, "number": range(len(full)), "first": buckets[0], "parts": buckets[1]}
+    places = keys.sparkSession.createDataFrame(pa.table({c: pa.array(v, pa.int32()) for c, v in places.items()}))  # of Arrow: a list would start Python workers
     held = held.join(F.broadcast(places), "ball").select("key_id", "embedding", F.col("number").alias("ball"),
         (F.col("first") + F.pmod(F.xxhash64("key_id"), F.col("parts"))).cast("int").alias("bucket"))
     asked = written(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")), "asked")
