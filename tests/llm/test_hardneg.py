@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,32 @@ def test_index_leaves_nothing_out():
             want = np.argwhere(exact >= t[:, None])
             assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(map(tuple, want.tolist())) and (score == exact[a, b]).all()
         assert share is None or share < 0.2 or index.cut.max() > 0
+
+
+def test_nothing_is_broadcast_by_way_of_the_driver(spark):
+    """Packs times blocks grow faster than the input: no plan that runs may send them, or what grows with the anchors, to the driver."""
+    rows = vectors(900, 8, 3, 4)
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    ran = lambda: [(bus.waitUntilEmpty(), store.executionsList())[1].apply(k) for k in range(store.executionsList().size())]
+    old = {e.executionId() for e in ran()}
+    assert found(spark, rows, block=100) == brute(rows)
+    plans = [e.physicalPlanDescription() for e in ran() if e.executionId() not in old]
+    assert sum("MapInArrow" in p for p in plans) > 1
+    assert [p for p in plans if "Broadcast" in p] == []
+
+
+def test_packs_follow_their_block_over_batches():
+    """Packs meet the last block before them; those of a block without rows meet none; of rows with one id the first counts."""
+    kind = pa.schema([("number", pa.int32()), ("ids", pa.list_(pa.int64())), ("vectors", pa.list_(pa.float64())), ("q_anchor", pa.list_(pa.int64()))])
+    block = lambda n, ids, v: {"number": n, "ids": ids, "vectors": v, "q_anchor": None}
+    pack = lambda n, a: {"number": n, "ids": None, "vectors": None, "q_anchor": a}
+    batches = [[pack(0, [100]), block(1, [1, 1, 2], [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])], [], [pack(1, [200]), pack(1, [300, 400]), pack(2, [500]), block(3, [7], [8.0, 9.0]), pack(3, [600])]]
+    got = [(ids.tolist(), x.tolist(), row["q_anchor"].as_py()) for ids, x, row in hardneg._met(iter(pa.RecordBatch.from_pylist(b, kind) for b in batches))]
+    one = ([1, 2], [[1.0, 2.0], [5.0, 6.0]])
+    assert got == [(*one, [200]), (*one, [300, 400]), ([7], [[8.0, 9.0]], [600])]
+
+
+def test_a_block_without_rows(spark):
+    """Blocks are counted by a label's rows; where many of them have one id, some blocks stay empty."""
+    rows = vectors(300, 4, 2, 5) + [(1000, [float(k), 1.0, 0.0, 0.0], 4) for k in range(90)] + [(k, [1.0, 1.0, float(k % 3), 0.0], 4) for k in (401, 402)]
+    assert found(spark, rows, block=20) == brute(rows)
